@@ -38,7 +38,7 @@ def correlation_pairs(
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], PAIRS)
     if len(columns) > AGGREGATE_COLUMNS:
-        return _by_matrix(df, columns)
+        return correlation_by_matrix(df, columns)
     pairs = list(combinations(columns, 2))
     wide = df.agg(*[
         pearson(col(a).cast("double"), col(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)
@@ -81,7 +81,9 @@ def target_ranking(pairs: DataFrame, target: str) -> DataFrame:
     )
 
 
-def _by_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+def correlation_by_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The same pairs from one matrix of sums per task: for many columns."""
+    df, columns = nan_to_null(df), list(columns)
     numbers = df.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
     means = numbers.agg(*[F.avg(F.col(c)) for c in numbers.columns]).first()
     centre = np.array([0.0 if m is None else m for m in means])

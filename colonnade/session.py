@@ -24,6 +24,7 @@ def local_session(app_name: str = "colonnade", cores: int | None = None, **setti
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
     )
     for key, value in settings.items():
