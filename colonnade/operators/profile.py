@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,10 +41,10 @@ class ColumnFacts:
         return self.rows - self.present
 
 
-def _sketchable(name: str, kind: str):
-    if kind == INTEGER:
-        return col(name).cast("bigint")
-    return as_text(name, kind)
+def _sketched(name: str, kind: str):
+    """Counted by 64-bit hash: collisions are far below the error of the sketch."""
+    value = col(name).cast("double") + F.lit(0.0) if kind == FLOAT else col(name)
+    return F.when(col(name).isNotNull(), F.xxhash64(value))
 
 
 def column_facts(df: DataFrame) -> list[ColumnFacts]:
@@ -55,7 +56,7 @@ def column_facts(df: DataFrame) -> list[ColumnFacts]:
         parts.append(F.count(col(c)).alias(f"present{i}"))
         if kind[c] != OTHER:
             parts.append(
-                F.hll_sketch_estimate(F.hll_sketch_agg(_sketchable(c, kind[c]), F.lit(SKETCH_SIZE))).alias(f"distinct{i}")
+                F.hll_sketch_estimate(F.hll_sketch_agg(_sketched(c, kind[c]), F.lit(SKETCH_SIZE))).alias(f"distinct{i}")
             )
         if kind[c] == INTEGER:
             parts += [F.min(col(c)).alias(f"low{i}"), F.max(col(c)).alias(f"high{i}")]
@@ -77,19 +78,38 @@ def value_histogram(df: DataFrame, columns: Sequence[str], digest: bool = False)
     """
     df = nan_to_null(df)
     kind = kinds(df)
-    text = value_key if digest else as_text
-    columns = list(columns)
-    if len(columns) == 1:
-        cells = df.select(F.lit(columns[0]).alias("column"), text(columns[0], kind[columns[0]]).alias("value"))
+    # Values are counted in their own type and written as text afterwards. The
+    # groups read disjoint columns, so together they are one scan of the table.
+    typed: dict[str, list[str]] = {}
+    for c in columns:
+        typed.setdefault(_counted_type(df, c, kind[c]), []).append(c)
+    parts = [_counted(df, names, as_type, digest) for as_type, names in typed.items()]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _counted_type(df: DataFrame, name: str, kind: str) -> str:
+    if kind == INTEGER:
+        return "bigint"
+    if kind == FLOAT:
+        return "double"
+    return df.schema[name].dataType.simpleString() if kind == DATETIME else "string"
+
+
+def _counted(df: DataFrame, names: list[str], as_type: str, digest: bool) -> DataFrame:
+    def value(c: str):
+        if as_type == "double":
+            return col(c).cast("double") + F.lit(0.0)
+        if as_type == "string":
+            kind = kinds(df)[c]
+            return value_key(c, kind) if digest else as_text(c, kind)
+        return col(c).cast(as_type)
+
+    if len(names) == 1:
+        cells = df.select(F.lit(names[0]).alias("column"), value(names[0]).alias("value"))
     else:
-        cells = df.select(*[text(c, kind[c]).alias(c) for c in columns]).unpivot(
-            [], [col(c) for c in columns], "column", "value"
-        )
-    return (
-        cells.where(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+        cells = df.select(*[value(c).alias(c) for c in names]).unpivot([], [col(c) for c in names], "column", "value")
+    counted = cells.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("column", F.col("value").cast("string").alias("value"), "n")
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from colonnade.functions.columns import col
 
 # ``percentile`` is used while rows x columns stay below this.
-DIRECT_CELLS = 1_000_000
+DIRECT_CELLS = 200_000
 # A rank is read off directly once at most this many rows are left around it.
 SMALL_INTERVAL = 2_000
 SKETCH_ACCURACY = 5_000

@@ -99,25 +99,35 @@ class _Classes:
 
     def __init__(self, df: DataFrame, hashed: Column, label: str, shares: list[float]):
         self.key = value_key(label, kinds(df)[label])
-        # The sketch is exact while classes stay below half its accuracy.
-        sketch = F.percentile_approx("h", [float(s) for s in shares], 2 * EXACT_CLASS)
-        uniform = F.array(*[F.lit(int(s * _HASH_RANGE)) for s in shares])
-        table = (
-            nan_to_null(df.select(hashed.alias("h"), col(label)))
-            .select("h", self.key.alias("key"))
-            .where(F.col("key").isNotNull())
-            .groupBy("key")
-            .agg(F.count(F.lit(1)).alias("n"), sketch.alias("cuts"))
-            .select("key", "n", F.when(F.col("n") < EXACT_CLASS, F.col("cuts")).otherwise(uniform).alias("cuts"))
-        )
-        seen = table.limit(INLINE_CLASSES + 1).collect()
-        if len(seen) <= INLINE_CLASSES:
-            table = df.sparkSession.createDataFrame(seen, table.schema)
+        hashes = nan_to_null(df.select(hashed.alias("h"), col(label))).select(
+            "h", self.key.alias("key")).where(F.col("key").isNotNull())
+        sizes = hashes.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        seen = sizes.limit(INLINE_CLASSES + 1).collect()
+        inline = len(seen) <= INLINE_CLASSES
+        if inline:
             self.count, rows = len(seen), sum(r["n"] for r in seen)
             self.smallest = min((r["n"] for r in seen), default=0)
+            small = [(r["key"],) for r in seen if r["n"] < EXACT_CLASS]
+            # Only rows of small classes need a sketch; there are at most
+            # INLINE_CLASSES x EXACT_CLASS of them.
+            names = df.sparkSession.createDataFrame(small, "key string")
+            hashes = hashes.join(F.broadcast(names), "key", "left_semi")
         else:
-            size = table.agg(F.count(F.lit(1)), F.sum("n"), F.min("n")).first()
+            size = sizes.agg(F.count(F.lit(1)), F.sum("n"), F.min("n")).first()
             self.count, rows, self.smallest = size
+        # The sketch is exact while a class stays below half its accuracy.
+        sketch = F.percentile_approx("h", [float(s) for s in shares], 2 * EXACT_CLASS)
+        uniform = [int(s * _HASH_RANGE) for s in shares]
+        if inline:
+            found = hashes.groupBy("key").agg(sketch.alias("cuts")).collect() if small else []
+            exact = {r["key"]: r["cuts"] for r in found}
+            table = df.sparkSession.createDataFrame(
+                [(r["key"], exact.get(r["key"], uniform), r["n"]) for r in seen],
+                "key string, cuts array<bigint>, n bigint")
+        else:
+            table = hashes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), sketch.alias("sketched")).select(
+                "key", "n", F.when(F.col("n") < EXACT_CLASS, F.col("sketched"))
+                .otherwise(F.array(*[F.lit(c) for c in uniform])).alias("cuts"))
         self.table = table.select(
             "key", F.col("cuts").alias("value"), (F.col("n") / F.lit(float(rows or 1))).alias("share")
         )

@@ -27,6 +27,7 @@ from colonnade.operators.validate import drop_missing_target
 from colonnade.plans.candidates import Factory, Shape, candidates, with_columns_of_ours
 from colonnade.plans.labels import LABEL, PREDICTION, LabelDecoder, indexed, sorted_labels
 from colonnade.plans.prepare import feature_names, feature_roles, fit_preparation
+from colonnade.session import scratch_path
 
 log = logging.getLogger(__name__)
 
@@ -81,8 +82,16 @@ class Task:
         return df.withColumn(LABEL, col(self.target).cast("double"))
 
     def folded(self, folds: int) -> DataFrame:
+        """The training table with its folds, written once and partitioned by fold.
+
+        Every fold reads it many times; written, it is read column by column and
+        fold by fold, needs no recomputation and outlives lost executors.
+        """
         stratify = self.target if self.problem == CLASSIFICATION else None
-        return with_folds(self.train, folds, self.key_cols or None, self.seed, stratify, FOLD)
+        placed = with_folds(self.train, folds, self.key_cols or None, self.seed, stratify, FOLD)
+        spark, path = placed.sparkSession, scratch_path(placed.sparkSession, "folds")
+        spread_out(placed).write.partitionBy(FOLD).parquet(path)
+        return spark.read.schema(placed.schema).parquet(path)
 
     def prepare(self, df: DataFrame) -> PipelineModel:
         return fit_preparation(df, self.roles, self.scaling, missing=self.missing)
@@ -90,6 +99,10 @@ class Task:
     def vectors(self, prepared: PipelineModel, df: DataFrame) -> DataFrame:
         return prepared.transform(self.labelled(df)).select(F.col(LABEL), F.col("features"))
 
+    def kept_vectors(self, prepared: PipelineModel, df: DataFrame) -> DataFrame:
+        """Persisted vectors, to be unpersisted by the caller."""
+        return self.vectors(prepared, spread_out(df)).persist(StorageLevel.MEMORY_AND_DISK)
+
     def shape(self, vectors: DataFrame, prepared: PipelineModel) -> Shape:
         return Shape(vectors.count(), len(feature_names(prepared)), len(self.labels or ()))
 
@@ -104,7 +117,7 @@ class Task:
     def fit(self, estimator: Factory | Estimator) -> PipelineModel:
         """Preparation, model and label decoding, fitted on all training rows."""
         prepared = self.prepare(self.train)
-        vectors = self.vectors(prepared, self.train).persist(StorageLevel.MEMORY_AND_DISK)
+        vectors = self.kept_vectors(prepared, self.train)
         try:
             model = made(estimator, self.shape(vectors, prepared)).fit(vectors)
         finally:
@@ -113,6 +126,17 @@ class Task:
         return PipelineModel([*prepared.stages, model, decoder])
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """Spreads a table that is read in fewer parts than there are cores.
+
+    Learners work a part per task and pass over the data many times. A larger
+    table stays as it is and costs no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df.select(F.spark_partition_id().alias("part")).agg(F.max("part")).first()[0]
+    return df.repartition(cores) if parts is not None and parts + 1 < cores else df
+
+
 def made(estimator: Factory | Estimator, shape: Shape) -> Estimator:
     return with_columns_of_ours(estimator if isinstance(estimator, Estimator) else estimator(shape))
 
@@ -130,8 +154,8 @@ def cross_validate(
     for k in range(folds):
         training, held_out = folded.where(F.col(FOLD) != k).drop(FOLD), folded.where(F.col(FOLD) == k).drop(FOLD)
         prepared = task.prepare(training)
-        seen = task.vectors(prepared, training).persist(StorageLevel.MEMORY_AND_DISK)
-        unseen = task.vectors(prepared, held_out).persist(StorageLevel.MEMORY_AND_DISK)
+        seen = task.kept_vectors(prepared, training)
+        unseen = task.kept_vectors(prepared, held_out)
         try:
             shape = task.shape(seen, prepared)
 
