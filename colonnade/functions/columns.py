@@ -92,11 +92,16 @@ def row_keys(df: DataFrame, columns: Sequence[str] | None = None) -> list[Column
     return plain
 
 
+HASH_BITS = 52
+
+
 def row_hash(df: DataFrame, key_cols: Sequence[str] | None, seed: int) -> Column:
-    """A 63-bit hash of the key, or of the whole row where there is no key.
+    """A 52-bit hash of the key, or of the whole row where there is no key.
+
+    52 bits are held exactly by a double, in which Spark's sketches compute.
 
     It depends on nothing but the values and the seed, so a split made from it
     stays the same under any partitioning and any re-run.
     """
     named = [col(c) for c in (key_cols or df.columns)]
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *named), 1)
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *named), 64 - HASH_BITS)

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.functions.columns import col, kinds, nan_to_null, row_hash, value_key
+from colonnade.functions.columns import HASH_BITS, col, kinds, nan_to_null, row_hash, value_key
 from colonnade.operators.lookup import lookup
 
 # Fixed values of the training setup.
@@ -29,7 +29,7 @@ EXACT_CLASS = 10_000
 INLINE_CLASSES = 10_000
 
 _GRAIN = 1_000_000
-_HASH_RANGE = 2**63
+_HASH_RANGE = 2**HASH_BITS
 
 
 def _below(hashed: Column, share: float) -> Column:

@@ -116,6 +116,9 @@ def with_columns_of_ours(estimator: Estimator) -> Estimator:
     ours = {"featuresCol": "features", "labelCol": LABEL, "predictionCol": PREDICTION,
             "probabilityCol": PROBABILITY, "rawPredictionCol": RAW}
     copy = estimator.copy()
+    if isinstance(copy, OneVsRest):
+        # It reads the raw column of its inner models under their own name.
+        del ours["rawPredictionCol"]
     copy._set(**{name: value for name, value in ours.items() if copy.hasParam(name)})
     return copy
 

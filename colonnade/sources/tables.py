@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,19 +32,18 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     Lines that do not fit the schema are an error, as is a table without rows.
     ``schema`` saves the pass that infers types.
     """
-    encoding = encoding or (ENCODINGS[0] if _decodes(spark, path) else ENCODINGS[1])
-    reader = (
-        spark.read.option("header", True).option("encoding", encoding)
-        .option("mode", "FAILFAST").option("enforceSchema", False)
-    )
     try:
+        encoding = encoding or (ENCODINGS[0] if _decodes(spark, path) else ENCODINGS[1])
+        reader = (
+            spark.read.option("header", True).option("encoding", encoding)
+            .option("mode", "FAILFAST").option("enforceSchema", False)
+        )
         df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
-        if df.isEmpty():
-            raise TableError(f"{path} has no rows")
-    except TableError:
-        raise
-    except Exception as error:
+        empty = df.isEmpty()
+    except PySparkException as error:
         raise TableError(f"{path} cannot be read as CSV: {error}") from error
+    if empty:
+        raise TableError(f"{path} has no rows")
     return nan_to_null(df)
 
 
@@ -53,17 +53,15 @@ def _decodes(spark: SparkSession, path: str) -> bool:
     return lines.where(~F.is_valid_utf8(F.col("value"))).isEmpty()
 
 
-def malformed_lines(spark: SparkSession, path: str, schema: T.StructType, encoding: str = ENCODINGS[0]) -> DataFrame:
-    """``(line)`` of every line that does not fit the schema."""
+def malformed_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """``(line)`` of every line that does not fit the schema; the header lines are left out."""
+    lines = spark.read.text(path)
+    header = lines.limit(1).collect()
     wide = T.StructType([*schema.fields, T.StructField(BAD_LINE, T.StringType())])
-    rows = (
-        spark.read.schema(wide).option("header", True).option("encoding", encoding)
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_LINE).csv(path)
-    )
-    # The last column keeps Spark from answering from the bad-line column alone.
-    return rows.select(F.col(BAD_LINE).alias("line"), *[col(c) for c in schema.names]).where(
-        F.col("line").isNotNull()
-    ).select("line")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE}
+    parsed = F.from_csv(F.col("value"), F.lit(wide.toDDL()), options)
+    return lines.where(F.col("value") != F.lit(header[0]["value"] if header else "")).where(
+        parsed[BAD_LINE].isNotNull()).select(F.col("value").alias("line"))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
