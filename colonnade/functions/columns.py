@@ -92,6 +92,14 @@ def row_keys(df: DataFrame, columns: Sequence[str] | None = None) -> list[Column
     return plain
 
 
+TASK_GROUPS = 256
+
+
+def by_task_group(df: DataFrame):
+    """Groups rows by the number of their task, for merging large buffers in two steps."""
+    return df.withColumn("__group", F.spark_partition_id() % TASK_GROUPS).groupBy("__group")
+
+
 HASH_BITS = 52
 
 

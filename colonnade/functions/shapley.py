@@ -9,7 +9,7 @@ satisfies, and features only z satisfies.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from math import factorial
 
@@ -33,13 +33,28 @@ class Leaf:
         return ((part > self.low) & (part <= self.high)).astype(float)
 
 
-@dataclass(frozen=True)
 class Ensemble:
-    """Leaves whose values add up over the trees; ``logistic`` marks margins of log-odds halves."""
-
-    leaves: Sequence[Leaf]
-    n_features: int
-    logistic: bool = False
+    """Leaves whose values add up over the trees; ``logistic`` marks margins of log-odds halves.
+
+    The leaves are kept in flat arrays, so that a large forest travels to the
+    tasks as a few buffers.
+    """
+
+    def __init__(self, leaves: Sequence[Leaf], n_features: int, logistic: bool = False):
+        self.n_features, self.logistic = n_features, logistic
+        self.depth = max((len(leaf.features) for leaf in leaves), default=0)
+        self._ends = np.cumsum([len(leaf.features) for leaf in leaves], dtype=np.int64)
+        self._features = np.concatenate([np.zeros(0, np.int32), *[leaf.features for leaf in leaves]]).astype(np.int32)
+        self._low = np.concatenate([np.zeros(0), *[leaf.low for leaf in leaves]])
+        self._high = np.concatenate([np.zeros(0), *[leaf.high for leaf in leaves]])
+        self._values = np.array([leaf.value for leaf in leaves], dtype=float)
+
+    @property
+    def leaves(self) -> Iterator[Leaf]:
+        start = 0
+        for end, value in zip(self._ends, self._values):
+            yield Leaf(self._features[start:end], self._low[start:end], self._high[start:end], value)
+            start = end
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
@@ -89,7 +104,7 @@ def _weights(depth: int) -> tuple[np.ndarray, np.ndarray]:
 def shapley_values(ensemble: Ensemble, x: np.ndarray, background: np.ndarray) -> np.ndarray:
     """Rows x features, averaged over the background; rows sum to output minus mean background output."""
     values = np.zeros((len(x), ensemble.n_features))
-    own, other = _weights(max((len(leaf.features) for leaf in ensemble.leaves), default=0))
+    own, other = _weights(ensemble.depth)
     raw_z = ensemble.raw(background) if ensemble.logistic else None
     for start in range(0, len(x), CHUNK):
         rows = slice(start, start + CHUNK)

@@ -40,7 +40,7 @@ TOP_GLOBAL, TOP_BEESWARM, TOP_WATERFALL = 15, 12, 10
 
 BACKGROUND_ROWS = 100
 # Nodes are sent to every task, so an ensemble larger than this is refused.
-MAX_NODES = 2_000_000
+MAX_NODES = 1_000_000
 
 _FORESTS = (RandomForestClassificationModel, RandomForestRegressionModel)
 _BOOSTED = (GBTClassificationModel, GBTRegressionModel)

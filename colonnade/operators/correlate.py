@@ -22,7 +22,7 @@ from colonnade.operators.roles import NUMERICAL, infer_roles, of_role
 # Fixed value: pairs at least this strongly correlated are reported.
 STRONG = 0.8
 # Up to this many columns all pairs fit one aggregate.
-AGGREGATE_COLUMNS = 20
+AGGREGATE_COLUMNS = 10
 
 PAIRS = "col_a string, col_b string, corr double"
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colonnade.functions.columns import (
-    DATETIME, FLOAT, INTEGER, OTHER, STRING, as_text, col, kinds, nan_to_null, value_key,
+    DATETIME, FLOAT, INTEGER, OTHER, STRING, as_text, by_task_group, col, kinds, nan_to_null, value_key,
 )
 
 # 2^14 registers: about 0.8 % standard error, 16 KB a column.
@@ -48,22 +48,26 @@ def _sketched(name: str, kind: str):
 
 
 def column_facts(df: DataFrame) -> list[ColumnFacts]:
-    """One aggregate over all columns; the answer is one row on the driver."""
+    """One aggregate over all columns; the answer is one row on the driver.
+
+    The sketches of all tasks are merged in groups first and then once more.
+    """
     df = nan_to_null(df)
     kind = kinds(df)
-    parts = [F.count(F.lit(1)).alias("rows")]
+    first, second = [F.count(F.lit(1)).alias("rows")], [F.sum("rows").alias("rows")]
     for i, c in enumerate(df.columns):
-        parts.append(F.count(col(c)).alias(f"present{i}"))
+        first.append(F.count(col(c)).alias(f"present{i}"))
+        second.append(F.sum(f"present{i}").alias(f"present{i}"))
         if kind[c] != OTHER:
-            parts.append(
-                F.hll_sketch_estimate(F.hll_sketch_agg(_sketched(c, kind[c]), F.lit(SKETCH_SIZE))).alias(f"distinct{i}")
-            )
+            first.append(F.hll_sketch_agg(_sketched(c, kind[c]), F.lit(SKETCH_SIZE)).alias(f"distinct{i}"))
+            second.append(F.hll_sketch_estimate(F.hll_union_agg(f"distinct{i}")).alias(f"distinct{i}"))
         if kind[c] == INTEGER:
-            parts += [F.min(col(c)).alias(f"low{i}"), F.max(col(c)).alias(f"high{i}")]
-    row = df.agg(*parts).first().asDict()
+            first += [F.min(col(c)).alias(f"low{i}"), F.max(col(c)).alias(f"high{i}")]
+            second += [F.min(f"low{i}").alias(f"low{i}"), F.max(f"high{i}").alias(f"high{i}")]
+    row = by_task_group(df).agg(*first).agg(*second).first().asDict()
     return [
         ColumnFacts(
-            c, kind[c], row["rows"], row[f"present{i}"], row.get(f"distinct{i}") or 0,
+            c, kind[c], row["rows"] or 0, row[f"present{i}"] or 0, row.get(f"distinct{i}") or 0,
             row.get(f"low{i}"), row.get(f"high{i}"),
         )
         for i, c in enumerate(df.columns)

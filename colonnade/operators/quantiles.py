@@ -5,7 +5,8 @@ aggregation buffer. That is the quickest way for little data and impossible for
 a lot, so beyond a checked number of cells the wanted ranks are found by
 narrowing: a bounded sketch gives an interval around each rank, one aggregate
 counts what lies below and inside, and the sketch of the inside narrows again.
-Every round is one scan with constant-size buffers.
+Every round is two scans with constant-size buffers. The sketches only propose
+where to cut; the counts are exact, and so is the result.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.functions.columns import col
+from colonnade.functions.columns import by_task_group, col
 
 # ``percentile`` is used while rows x columns stay below this.
 DIRECT_CELLS = 200_000
 # A rank is read off directly once at most this many rows are left around it.
 SMALL_INTERVAL = 2_000
-SKETCH_ACCURACY = 5_000
+# Size of a sketch, and a margin well above its rank error.
+SKETCH_SIZE, SKETCH_SLACK = 4_000, 0.004
 
 
 def linear_percentile(x: Column, probabilities: Sequence[float]) -> Column:
@@ -124,23 +126,35 @@ def _neighbours(n: int, p: float) -> list[int]:
     return [below] if position == below else [below, min(below + 1, n - 1)]
 
 
+def _places(members: list[_Rank]) -> list[float]:
+    """Where to cut an interval: a little before and after every rank searched in it."""
+    shares = set()
+    for r in members:
+        place = (r.rank - r.below) / r.inside
+        shares |= {max(0.0, place - SKETCH_SLACK), min(1.0, place + SKETCH_SLACK)}
+    return sorted(shares)
+
+
 def _narrow(numbers: DataFrame, ranks: list[_Rank]) -> None:
     """One round: read off the ranks in small intervals, cut the wide ones down."""
     small: dict[tuple, list[_Rank]] = {}
     wide: dict[tuple, list[_Rank]] = {}
     for r in ranks:
         (small if r.inside <= SMALL_INTERVAL else wide).setdefault(r.interval, []).append(r)
-    slack = 2.0 / SKETCH_ACCURACY
-    parts = []
-    for c, low, high in small:
-        parts.append(F.array_sort(F.collect_list(F.when(_between(col(c), low, high), col(c)))))
-    for (c, low, high), members in wide.items():
-        shares = set()
-        for r in members:
-            place = (r.rank - r.below) / r.inside
-            shares |= {max(0.0, place - slack), min(1.0, place + slack)}
-        parts.append(F.percentile_approx(F.when(_between(col(c), low, high), col(c)), sorted(shares), SKETCH_ACCURACY))
-    seen = numbers.agg(*[part.alias(f"p{i}") for i, part in enumerate(parts)]).first()
+    # The buffers of all tasks are merged in groups first, then once more: one
+    # task merging them all would be the bottleneck of a large table.
+    gathered, merged = [], []
+    for i, interval in enumerate([*small, *wide]):
+        c, low, high = interval
+        inside = F.when(_between(col(c), low, high), col(c))
+        if interval in small:
+            gathered.append(F.collect_list(inside).alias(f"p{i}"))
+            merged.append(F.array_sort(F.flatten(F.collect_list(f"p{i}"))))
+        else:
+            gathered.append(F.kll_sketch_agg_double(inside, SKETCH_SIZE).alias(f"p{i}"))
+            places = F.array(*[F.lit(p) for p in _places(wide[interval])])
+            merged.append(F.kll_sketch_get_quantile_double(F.kll_merge_agg_double(f"p{i}"), places))
+    seen = by_task_group(numbers).agg(*gathered).agg(*[m.alias(f"m{i}") for i, m in enumerate(merged)]).first()
     for values, members in zip(seen, small.values()):
         for r in members:
             r.value = values[r.rank - r.below]

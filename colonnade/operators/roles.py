@@ -120,12 +120,14 @@ def of_role(roles: Mapping[str, str], *wanted: str) -> list[str]:
 def problem_type(df: DataFrame, target: str) -> str:
     """Classification for texts, flags and few distinct numbers; otherwise regression.
 
-    ``n`` distinct numbers are told from ``FEW_VALUES`` by collecting at most
-    ``FEW_VALUES + 1`` of them.
+    The sketch of the profile pass tells many from few; only near ``FEW_VALUES``
+    are the values counted.
     """
     if kind_of(df.schema[target].dataType) not in NUMERIC_KINDS:
         return CLASSIFICATION
     clean = nan_to_null(df.select(col(target).alias("y")))
+    if column_facts(clean)[0].distinct_estimate > 2 * FEW_VALUES:
+        return REGRESSION
     values = clean.where(F.col("y").isNotNull()).distinct().limit(FEW_VALUES + 1).count()
     return CLASSIFICATION if values <= FEW_VALUES else REGRESSION
 

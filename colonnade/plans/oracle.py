@@ -370,7 +370,7 @@ SELECT o_orderkey, round((o_custkey - l1)::DOUBLE / (h1 - l1), 6) AS o_custkey,
 WITH imputed AS ({IMPUTED_ORDERS}),
 s AS (SELECT avg(o_custkey) AS m1, stddev_pop(o_custkey) AS s1, avg(o_totalprice) AS m2, stddev_pop(o_totalprice) AS s2 FROM imputed)
 SELECT o_orderkey AS row_key, round((o_custkey - m1) / s1, 6) AS o_custkey, round((o_totalprice - m2) / s2, 6) AS o_totalprice,
-  round(o_custkey * o_totalprice, 6) AS o_custkey_x_o_totalprice, {_PARTS_OF_DATE},
+  round(o_custkey * o_totalprice, 4) AS o_custkey_x_o_totalprice, {_PARTS_OF_DATE},
   {_indicators("o_orderpriority", PRIORITIES)}, {_indicators("o_orderstatus", STATUSES)} FROM imputed, s""",
     "split_shares": "SELECT o_orderstatus, count(*) AS n, TRUE AS near_share FROM orders GROUP BY o_orderstatus",
     "fold_shares": "SELECT o_orderstatus, 5::BIGINT AS folds, count(*) AS n, TRUE AS even FROM orders GROUP BY o_orderstatus",
