@@ -343,9 +343,9 @@ FROM ({_PLANTED_PAIRS}) WHERE 'l_extendedprice' IN (col_a, col_b)""",
     "outlier_report": f"""
 SELECT table_name, "column", count(value) AS n_present, round(any_value(q1 - 1.5 * (q3 - q1)), 4) AS lower,
   round(any_value(q3 + 1.5 * (q3 - q1)), 4) AS upper,
-  count_if(value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS iqr_count,
+  count_if(value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1))::BIGINT AS iqr_count,
   round(count_if(value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) * 100.0::DOUBLE / count(value), 2) AS iqr_pct,
-  count_if(abs((value - mean) / std) > 3) AS zscore_count,
+  count_if(abs((value - mean) / std) > 3)::BIGINT AS zscore_count,
   round(count_if(abs((value - mean) / std) > 3) * 100.0::DOUBLE / count(value), 2) AS zscore_pct
 FROM ({_OUTLYING}) GROUP BY table_name, "column" """,
     "outlier_rows": f"""SELECT table_name, row_key, "column", value FROM ({_OUTLYING})
