@@ -273,14 +273,15 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
     return map_rows(source, lambda rows: _encoded(rows, vocabulary_path), shape, 1024)
 
 
-def digests(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every row; nothing is shuffled."""
+def digests(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """``id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if asked for, ``ids`` of every row; nothing is shuffled."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def rows(found: Iterable[tuple]) -> Iterator[tuple]:
         for doc, ids, text in _encoded(found, vocabulary_path):
             plain = text.encode("utf-8", "surrogatepass")
-            yield doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(plain).hexdigest()
+            row = doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(plain).hexdigest()
+            yield (*row, ids) if with_ids else row
 
     shape = f"id {source.schema['id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return map_rows(source, rows, shape)
+    return map_rows(source, rows, shape + ", ids binary" if with_ids else shape)

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colonnade.llm import bpe, html_text, line_dedup, mixing, quality_rules, spot_signatures, toxicity, url_filter
+from colonnade.llm import bpe, html_text, line_dedup, mixing, ngram_join, quality_rules, spot_signatures, suffix_dedup, toxicity, url_filter
 from colonnade.llm.frames import map_rows
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,13 @@ def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), vocabulary_path()).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, folder, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
