@@ -28,7 +28,7 @@ LEAST = 75
 #: Sets of a family that a task handles at once; larger families are joined part by part.
 PART = 1024
 #: Words whose hash a worker remembers.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 250_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
