@@ -70,7 +70,9 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``text`` and ``next_text``: that of the next smaller id, for the smallest that of the largest.
+    """``id``, ``text``, its signatures ``own``, and ``next_text`` with its signatures ``following``.
+
+    The next text is that of the next smaller id, for the smallest that of the largest.
 
     A null id is smaller than all others. Rows of one id follow each other by the hash of their text. Ids are dealt into
     buckets at sampled quantiles, each cut evenly again, and every bucket gets a copy of the last row before it. So each text
@@ -103,10 +105,12 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         .select("id", "text", F.col("to").alias("bucket"), "row", F.lit(0).alias("own"))
     )
     both = dealt.select("id", "text", "bucket", "row", F.lit(1).alias("own")).unionByName(copies)
+    # Signatures are computed after the shuffle, which then carries texts only, and once for each text.
+    signed = both.repartition("bucket").withColumn("own_signatures", signatures(F.col("text")))
     neighbours = Window.partitionBy("bucket").orderBy("own", F.col("id").asc_nulls_first(), "row")
     return (
-        both.select("id", "text", "bucket", "row", "own", F.lag("text").over(neighbours).alias("next_text"))
-        .where(F.col("own") == 1).select("id", "text", "next_text")
+        signed.select("id", "text", "own", F.col("own_signatures"), F.lag("text").over(neighbours).alias("next_text"), F.lag("own_signatures").over(neighbours).alias("following"))
+        .where(F.col("own") == 1).select("id", "text", F.col("own_signatures").alias("own"), "next_text", "following")
     )
 
 
@@ -121,11 +125,9 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null texts are empty. An empty table gives no rows.
     """
-    pairs = with_next(docs, id_col, text_col)
-    return pairs.select(
-        "id", F.char_length("text").alias("n_chars"), edited(F.col("text"), F.col("next_text")).alias("edited_text"),
-        signatures(F.col("text")).alias("own"), signatures(edited(F.col("text"), F.col("next_text"))).alias("changed"),
-        signatures(F.col("next_text")).alias("following"),
+    changed = edited(F.col("text"), F.col("next_text"))
+    return with_next(docs, id_col, text_col).select(
+        "id", F.char_length("text").alias("n_chars"), changed.alias("edited_text"), "own", signatures(changed).alias("changed"), "following",
     )
 
 
