@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from colonnade.llm.frames import staged
 
+#: Ways that the nodes of one label are spread over.
+SALTS = 16
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``label`` (the smallest node that links reach) of every node of ``links``; links to null are left out.
@@ -20,7 +23,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # The labels of a node's neighbours, with its own.
         around = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
         moved = labels.join(around, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        further = moved.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = staged(moved.join(further, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"), "was"), "labels")
+        # Most labels are final and head many nodes: those that are not are few, so these are copied for each salt.
+        salt = F.pmod(F.xxhash64("node"), F.lit(SALTS))
+        further = (
+            moved.where(F.col("node") != F.col("label")).select(F.col("node").alias("label"), F.col("label").alias("next"))
+            .withColumn("salt", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALTS)))))
+        )
+        labels = staged(moved.withColumn("salt", salt).join(further, ["label", "salt"], "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"), "was"), "labels")
         if labels.where(F.col("label") != F.col("was")).isEmpty():
             return labels.select("node", "label")

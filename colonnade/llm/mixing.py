@@ -16,8 +16,8 @@ from colonnade.llm.frames import WORD, staged
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
-#: Words of each budget that are left to the exact fill at least.
-FILL_WORDS = 4096
+#: Words of each budget that are left to the exact fill: more of them only where fewer do not meet the budget.
+FILL_WORDS = (1 << 12, 1 << 16, 1 << 18)
 #: Documents of one length are told apart by this many ranges of their hash first, and ranked within one range only.
 RANGES = 1 << 12
 
@@ -61,17 +61,33 @@ def fit_counts(counts: dict[int, int], budget: int) -> dict[int, int]:
         return counts
     if budget <= 0:
         return {}
+    best: dict[int, int] = {}
+    for fill in FILL_WORDS:
+        taken = _fill(counts, budget, total, fill)
+        if _words(taken) > _words(best):
+            best = taken
+        if _words(best) == budget or fill >= budget:
+            break
+    return best
+
+
+def _words(taken: dict[int, int]) -> int:
+    return sum(size * n for size, n in taken.items())
+
+
+def _fill(counts: dict[int, int], budget: int, total: int, fill: int) -> dict[int, int]:
+    """A share of every length's count, and about ``fill`` words by the knapsack table."""
     # The same share of every length, the rounding carried on from long to short, short of what is left to the fill.
-    first = max(0, budget - max(FILL_WORDS, min(counts)))
+    first = max(0, budget - max(fill, min(counts)))
     taken, due = {}, 0.0
     for size in sorted(counts, reverse=True):
         due += counts[size] * size * first / total
         taken[size] = min(counts[size], int(due // size))
         due -= taken[size] * size
-    rest = budget - sum(size * n for size, n in taken.items())
+    rest = budget - _words(taken)
     for size in sorted(counts, reverse=True):
         # A carry that no shorter length could take up.
-        more = min(counts[size] - taken[size], max(0, rest - FILL_WORDS) // size)
+        more = min(counts[size] - taken[size], max(0, rest - fill) // size)
         taken[size] += more
         rest -= more * size
     # Sums that can be reached, as the bits of one integer, after each part of each length's count.

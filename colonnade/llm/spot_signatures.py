@@ -33,12 +33,14 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
     """The sorted distinct hashes (32 bits) of a text's spot signatures; empty for null and for texts without words.
 
     Words are runs of letters and digits, in lower case. A chain is cut off by the end of the text. In a text without anchors
-    each content word starts a chain.
+    before content words each word starts a chain.
     """
     plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     # "of the cat sat" becomes "of|the|cat sat": each piece is a content word with the anchors before it.
     marked = F.regexp_replace(plain, rf"(?<= )({'|'.join(sorted(set(ANCHORS)))}) ", f"$1{MARK}")
-    pieces = F.filter(F.split(marked, " "), lambda p: p != "")
+    some = F.filter(F.split(marked, " "), lambda p: (p != "") & ~F.endswith(p, F.lit(MARK)))
+    # Nothing but anchors: they are the content.
+    pieces = F.when(F.size(some) > 0, some).otherwise(F.filter(F.split(plain, " "), lambda p: p != ""))
 
     def of_piece(pieces: Column, words: Column, bare: Column) -> Column:
         def chained(piece: Column, i: Column) -> Column:

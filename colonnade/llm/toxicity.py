@@ -71,7 +71,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> Model:
     """A model from at most ``train_rows`` labelled rows. An id with two labels counts as toxic; null labels and ids are not used.
 
-    With labels of one kind only, the score is that kind's share, smoothed, for every text.
+    With labels of one kind only, or too few to count on, the score is the share of toxic rows, smoothed, for every text.
     """
     known = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -88,15 +88,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     featured = staged(map_rows(rows.select("label", "text"), bins, "label int, bins array<int>", 512), "toxic-bins")
     sizes = {r["label"]: r["n"] for r in featured.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sum(n for label, n in sizes.items() if label)
+    share = (n1 + SMOOTH) / (n0 + n1 + 2 * SMOOTH)
+    plain = Model(np.zeros(1 << BITS), float(np.log(share / (1 - share))))
     if not n0 or not n1:
-        share = (n1 + SMOOTH) / (n0 + n1 + 2 * SMOOTH)
-        return Model(np.zeros(1 << BITS), float(np.log(share / (1 - share))))
+        return plain
     # As many rows as there are bins, at most.
     counts = (
         featured.select("label", F.explode("bins").alias("bin")).groupBy("bin")
         .agg(F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("clean"), F.sum(F.when(F.col("label") != 0, 1).otherwise(0)).alias("toxic"))
         .where(F.col("clean") + F.col("toxic") >= MIN_ROWS).toPandas().sort_values("bin")
     )
+    if counts.empty:
+        return plain
     p = (counts["toxic"].to_numpy(float) + SMOOTH) / (n1 + 2 * SMOOTH)
     q = (counts["clean"].to_numpy(float) + SMOOTH) / (n0 + 2 * SMOOTH)
     ratio = np.log(p / (1 - p)) - np.log(q / (1 - q))
