@@ -18,10 +18,3 @@ def adjusted_kurtosis(x: Column) -> Column:
     n = F.count(x).cast("double")
     adjusted = F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6)
     return F.when((n >= 4) & (F.stddev_pop(x) > 0), adjusted).when(n >= 4, F.lit(0.0))
-
-
-def pearson(a: Column, b: Column) -> Column:
-    """Pearson correlation over the rows where both are present; NULL for a constant."""
-    both = a.isNotNull() & b.isNotNull()
-    left, right = F.when(both, a), F.when(both, b)
-    return F.try_divide(F.covar_samp(left, right), F.stddev_samp(left) * F.stddev_samp(right))

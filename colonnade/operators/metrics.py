@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from colonnade.functions.columns import col
 from colonnade.operators.running import running_sums
 
-# The zero-filled confusion table has a row per pair of labels; beyond this
-# many labels only the cells that occur are given.
-GRID_LABELS = 1000
-
 
 def _known(df: DataFrame, y: str) -> DataFrame:
     return df.where(col(y).isNotNull())
@@ -39,15 +35,19 @@ def confusion_cells(df: DataFrame, y: str = "label", p: str = "prediction", by:
     )
 
 
-def confusion(df: DataFrame, y: str = "label", p: str = "prediction") -> DataFrame:
-    """``(actual, predicted, n)`` over every pair of labels that occur on either side."""
+def confusion(df: DataFrame, y: str = "label", p: str = "prediction", zero_filled: bool = True) -> DataFrame:
+    """``(actual, predicted, n)``; rows without a prediction are cells whose ``predicted`` is NULL.
+
+    ``zero_filled`` adds the pairs of labels that do not occur. Their number is the square of the number of labels, which
+    come to the driver: for a target with very many labels ask for the cells that occur.
+    """
     cells = confusion_cells(df, y, p)
+    if not zero_filled:
+        return cells
     labels = cells.select(F.explode(F.array("actual", "predicted")).alias("label")).where(
         F.col("label").isNotNull()
     ).distinct()
-    known = sorted(r["label"] for r in labels.limit(GRID_LABELS + 1).collect())
-    if len(known) > GRID_LABELS:
-        return cells
+    known = sorted(r["label"] for r in labels.collect())
     label_type = cells.schema["actual"].dataType
     every = F.array(*[F.lit(v).cast(label_type) for v in known]) if known else F.array().cast(f"array<{label_type.simpleString()}>")
     grid = (
@@ -55,9 +55,10 @@ def confusion(df: DataFrame, y: str = "label", p: str = "prediction") -> DataFra
         .select(F.explode(every).alias("actual"))
         .select("actual", F.explode(every).alias("predicted"))
     )
-    return grid.join(cells, ["actual", "predicted"], "left").select(
+    filled = grid.join(cells, ["actual", "predicted"], "left").select(
         "actual", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
     )
+    return filled.unionByName(cells.where(F.col("predicted").isNull()))
 
 
 def class_scores(df: DataFrame, y: str = "label", p: str = "prediction", by: Sequence[str] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ literals, which also reach the scan as filters.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -13,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.functions.columns import col, nan_to_null
+from colonnade.functions.columns import INTEGER, col, kinds, nan_to_null
 from colonnade.operators.quantiles import exact_quantiles
 from colonnade.operators.roles import NUMERICAL, infer_roles, of_role
 
@@ -39,6 +40,13 @@ class Bounds:
         x = col(self.column).cast("double")
         return (x < F.lit(self.lower)) | (x > F.lit(self.upper))
 
+    def beyond_fences_as(self, kind: str) -> Column:
+        """The same for integers without a cast, so that it reaches the reader."""
+        if kind != INTEGER or self.lower is None:
+            return self.beyond_fences()
+        x = col(self.column)
+        return (x < F.lit(math.ceil(self.lower))) | (x > F.lit(math.floor(self.upper)))
+
     def beyond_z(self) -> Column:
         if not self.std:
             return F.lit(False)
@@ -101,7 +109,8 @@ def outlier_rows(df: DataFrame, bounds: Sequence[Bounds], key_cols: Sequence[str
     keys = [col(c) for c in key_cols]
     if not bounds:
         return df.where(F.lit(False)).select(*keys, F.lit("").alias("column"), F.lit(0.0).alias("value"))
-    any_outlier = reduce(lambda a, b: a | b, [b.beyond_fences() for b in bounds])
+    kind = kinds(df)
+    any_outlier = reduce(lambda a, b: a | b, [b.beyond_fences_as(kind[b.column]) for b in bounds])
     df = nan_to_null(df.where(any_outlier))
     cells = F.array(*[
         F.when(b.beyond_fences(), F.struct(F.lit(b.column).alias("column"), col(b.column).cast("double").alias("value")))

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from colonnade.functions.columns import (
     DATETIME, FLOAT, INTEGER, OTHER, STRING, as_text, by_task_group, col, kinds, nan_to_null, value_key,
 )
+from colonnade.functions.dates import read_datetime
+from colonnade.functions.names import hints_at_id_column
 
 # 2^14 registers: about 0.8 % standard error, 16 KB a column.
 SKETCH_SIZE = 14
@@ -35,6 +37,9 @@ class ColumnFacts:
     distinct_estimate: int
     low: int | None = None
     high: int | None = None
+    #: Present texts that read as a date, and whether the name hints at an identifier.
+    dates: int = 0
+    hinted: bool = False
 
     @property
     def missing(self) -> int:
@@ -47,6 +52,11 @@ def _sketched(name: str, kind: str):
     return F.when(col(name).isNotNull(), F.xxhash64(value))
 
 
+def _date_of(text):
+    """The date that a text is; most texts are told by their length, without trying every layout."""
+    return F.when(F.length(F.trim(text)).between(8, 40) & text.rlike("[0-9]{2}"), read_datetime(text))
+
+
 def column_facts(df: DataFrame) -> list[ColumnFacts]:
     """One aggregate over all columns; the answer is one row on the driver.
 
@@ -61,14 +71,18 @@ def column_facts(df: DataFrame) -> list[ColumnFacts]:
         if kind[c] != OTHER:
             first.append(F.hll_sketch_agg(_sketched(c, kind[c]), F.lit(SKETCH_SIZE)).alias(f"distinct{i}"))
             second.append(F.hll_sketch_estimate(F.hll_union_agg(f"distinct{i}")).alias(f"distinct{i}"))
+        if kind[c] == STRING:
+            first.append(F.count(_date_of(col(c))).alias(f"dates{i}"))
+            second.append(F.sum(f"dates{i}").alias(f"dates{i}"))
         if kind[c] == INTEGER:
             first += [F.min(col(c)).alias(f"low{i}"), F.max(col(c)).alias(f"high{i}")]
             second += [F.min(f"low{i}").alias(f"low{i}"), F.max(f"high{i}").alias(f"high{i}")]
-    row = by_task_group(df).agg(*first).agg(*second).first().asDict()
+    hinted = [hints_at_id_column(F.lit(c)).alias(f"hinted{i}") for i, c in enumerate(df.columns)]
+    row = by_task_group(df).agg(*first).agg(*second).select("*", *hinted).first().asDict()
     return [
         ColumnFacts(
             c, kind[c], row["rows"] or 0, row[f"present{i}"] or 0, row.get(f"distinct{i}") or 0,
-            row.get(f"low{i}"), row.get(f"high{i}"),
+            row.get(f"low{i}"), row.get(f"high{i}"), row.get(f"dates{i}") or 0, row[f"hinted{i}"],
         )
         for i, c in enumerate(df.columns)
     ]

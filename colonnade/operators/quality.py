@@ -65,18 +65,39 @@ def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 
 def duplicate_rows(df: DataFrame, key_cols: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """The rows after the first (by key) of each group of equal rows.
+    """The rows after the first (by key) of each group of equal rows; a missing key comes first.
 
-    No group is ever brought together: the first key of each group comes from
-    a combined minimum, and the duplicates are the rows whose own key is not
-    among those. That join is on the unique key, which cannot be skewed.
+    No group is ever brought together: the first key of each group comes from a combined minimum, and the duplicates are
+    the rows with another key. Rows that are equal in their key as well, which a unique key does not have, are counted: all
+    but one of those that come first are given, as copies of one of them.
     """
     df = nan_to_null(df)
     key_cols = list(key_cols)
     columns = list(columns or [c for c in df.columns if c not in key_cols])
+    names = [f"__k{i}" for i in range(len(key_cols))]
+    keys = [col(c).alias(n) for c, n in zip(key_cols, names)]
+    content = F.sha2(F.to_json(F.struct(*row_keys(df, columns)), {"ignoreNullFields": "false"}), 256)
+    marked = df.withColumn("__content", content)
     firsts = (
-        df.groupBy(*row_keys(df, columns))
-        .agg(F.min(F.struct(*[col(c) for c in key_cols])).alias("first"))
-        .select(*[F.col("first").getField(c).alias(c) for c in key_cols])
+        marked.groupBy(F.col("__content").alias("__of")).agg(F.min(F.struct(*keys)).alias("first")).select("__of", "first.*")
     )
-    return df.join(firsts, key_cols, "left_anti")
+
+    def first_of(rows: DataFrame, how: str) -> DataFrame:
+        same = F.col("__content") == F.col("__of")
+        for c, n in zip(key_cols, names):
+            same = same & col(c).eqNullSafe(F.col(n))
+        return rows.join(firsts, same, how)
+
+    later = first_of(marked, "left_anti").drop("__content")
+    # Counted by digest and key first; the rows themselves are gathered only where there are several.
+    several = marked.groupBy("__content", *[col(c) for c in key_cols]).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    twins = first_of(several, "left_semi").select(F.col("__content").alias("__t"), *keys, "__n")
+    same = F.col("__content") == F.col("__t")
+    for c, n in zip(key_cols, names):
+        same = same & col(c).eqNullSafe(F.col(n))
+    copies = (
+        marked.join(twins, same).groupBy("__t", *names)
+        .agg(F.max("__n").alias("__n"), F.any_value(F.struct(*[col(c) for c in df.columns])).alias("row"))
+        .select("row", F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("__n"))))
+    )
+    return later.unionByName(copies.select("row.*"))

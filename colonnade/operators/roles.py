@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from colonnade.functions.columns import (
     BOOLEAN, DATETIME, FLOAT, INTEGER, NUMERIC_KINDS, OTHER, STRING, col, kind_of, nan_to_null,
 )
-from colonnade.functions.dates import read_datetime
-from colonnade.functions.names import hints_at_id
 from colonnade.operators.profile import SKETCH_MARGIN, ColumnFacts, column_facts, exact_distinct
 
 NUMERICAL, CATEGORICAL, ID_LIKE, UNSUPPORTED = "numerical", "categorical", "id_like", "unsupported"
@@ -29,7 +27,6 @@ FEW_VALUES = 20
 FEW_VALUES_SHARE = 0.05
 ID_SHARE = 0.95
 ID_MIN_ROWS = 20
-DATE_SAMPLE = 20
 
 
 def _effective_kind(facts: ColumnFacts) -> str:
@@ -50,7 +47,7 @@ def _needs_exact(facts: ColumnFacts) -> bool:
         return abs(estimate - threshold) <= max(5.0, SKETCH_MARGIN * max(threshold, estimate))
 
     may_be_id = rows > ID_MIN_ROWS and kind != FLOAT and near(ID_SHARE * rows)
-    if may_be_id and kind == INTEGER and not hints_at_id(facts.name) and not _contiguous(facts):
+    if may_be_id and kind == INTEGER and not facts.hinted and not _contiguous(facts):
         may_be_id = False
     role_by_count = kind in NUMERIC_KINDS and (near(FEW_VALUES) or near(FEW_VALUES_SHARE * rows))
     sequence = kind == INTEGER and _contiguous(facts) and estimate > (ID_SHARE - SKETCH_MARGIN) * rows
@@ -61,10 +58,10 @@ def _is_id(facts: ColumnFacts, distinct: int) -> bool:
     kind = _effective_kind(facts)
     if facts.rows <= ID_MIN_ROWS or kind in (FLOAT, OTHER) or distinct / facts.rows <= ID_SHARE:
         return False
-    return kind != INTEGER or hints_at_id(facts.name) or (_contiguous(facts) and distinct == facts.present)
+    return kind != INTEGER or facts.hinted or (_contiguous(facts) and distinct == facts.present)
 
 
-def _role(df: DataFrame, facts: ColumnFacts, distinct: int) -> str:
+def _role(facts: ColumnFacts, distinct: int) -> str:
     if facts.kind == OTHER:
         return UNSUPPORTED
     if _is_id(facts, distinct):
@@ -76,24 +73,18 @@ def _role(df: DataFrame, facts: ColumnFacts, distinct: int) -> str:
     if facts.kind in NUMERIC_KINDS:
         share = distinct / facts.rows if facts.rows else 0.0
         return CATEGORICAL if distinct <= FEW_VALUES or share <= FEW_VALUES_SHARE else NUMERICAL
-    if facts.kind == STRING and facts.present and texts_are_dates(df, facts.name):
+    # Every present text has to be a date, not the first ones only.
+    if facts.kind == STRING and facts.present and facts.dates == facts.present:
         return ROLE_DATETIME
     return CATEGORICAL
 
 
-def texts_are_dates(df: DataFrame, name: str) -> bool:
-    """Whether a small sample of the present texts all read as dates."""
-    sample = df.select(col(name).alias("text")).where(F.col("text").isNotNull()).limit(DATE_SAMPLE)
-    seen = sample.agg(F.count(F.lit(1)).alias("n"), F.count(read_datetime(F.col("text"))).alias("dates")).first()
-    return seen["n"] > 0 and seen["n"] == seen["dates"]
-
-
 def infer_roles(df: DataFrame, facts: list[ColumnFacts] | None = None) -> dict[str, str]:
     """Role per column: one profile pass, and exact counts where the pass cannot decide."""
     df = nan_to_null(df)
     facts = facts or column_facts(df)
     exact = exact_distinct(df, [f.name for f in facts if _needs_exact(f)])
-    return {f.name: _role(df, f, exact.get(f.name, f.distinct_estimate)) for f in facts}
+    return {f.name: _role(f, exact.get(f.name, f.distinct_estimate)) for f in facts}
 
 
 def roles_frame(df: DataFrame, overrides: Mapping[str, str] | None = None) -> DataFrame:

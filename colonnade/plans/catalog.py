@@ -116,6 +116,17 @@ def profile_roles(spark, folder):
     return _stacked({t: roles.roles_frame(table(spark, folder, t)) for t in PROFILED})
 
 
+@query
+def date_text_roles(spark, folder):
+    """Texts that are all dates, and texts that turn to junk after some."""
+    orders = table(spark, folder, "orders").select(
+        F.expr("date_format(o_orderdate, 'yyyy-MM-dd') AS day"),
+        F.expr("CASE WHEN o_orderkey > 100 THEN 'junk' ELSE date_format(o_orderdate, 'yyyy-MM-dd') END AS junk_later"),
+        F.expr("CASE WHEN o_orderkey % 3 > 0 THEN date_format(o_orderdate, 'dd.MM.yyyy') END AS day_with_holes"),
+    )
+    return roles.roles_frame(orders)
+
+
 @query
 def distinct_counts(spark, folder):
     return _stacked({
@@ -214,6 +225,14 @@ def duplicate_rows(spark, folder):
     return quality.duplicate_rows(documents, ["doc_id"]).select("doc_id", "lang", F.length("text").alias("n"))
 
 
+@query
+def duplicate_rows_null_key(spark, folder):
+    """Every seventh key missing: rows without one come first and are told apart by their content."""
+    documents = table(spark, folder, "documents").select(
+        F.expr("CASE WHEN doc_id % 7 <> 0 THEN doc_id END AS doc_id"), "lang", F.expr("substring(source, 1, 4) AS source"))
+    return quality.duplicate_rows(documents, ["doc_id"])
+
+
 # Statistics.
 
 @query
@@ -283,10 +302,10 @@ def corr_matrix(spark, folder):
 
 @query
 def corr_wide(spark, folder):
-    """The path for many columns: one matrix of sums per task."""
+    """Columns with holes, a constant and a near copy."""
     lines = _linear_lineitem(spark, folder)
     names = ["l_orderkey", "l_extendedprice", "doubled", "noisy", "holed", "constant", "l_quantity", "l_tax"]
-    return _rounded(correlate.correlation_by_matrix(lines, names), 6, "corr")
+    return _rounded(correlate.correlation_pairs(lines, columns=names), 6, "corr")
 
 
 @query
@@ -447,6 +466,14 @@ def confusion(spark, folder):
     return metrics.confusion(_judged_orders(spark, folder))
 
 
+@query
+def confusion_missing(spark, folder):
+    """The cells that occur, with rows that have no prediction."""
+    judged = _judged_orders(spark, folder)
+    holed = judged.withColumn("prediction", F.when(F.pmod(F.col("o_orderkey"), F.lit(10)) != 0, F.col("prediction")))
+    return metrics.confusion(holed, zero_filled=False)
+
+
 @query
 def roc_points(spark, folder):
     return _rounded(metrics.roc_points(_judged_lines(spark, folder)), 8, "tpr", "fpr")
@@ -762,6 +789,25 @@ def csv_roundtrip(spark, folder):
     return typed.withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
 
 
+@query
+def csv_texts(spark, folder):
+    """Cells with commas, quotes and line breaks."""
+    path = scratch_path(spark, "texts")
+    documents = table(spark, folder, "documents").select("doc_id", F.concat(F.lit(' say "yes", '), "text").alias("text"), "lang")
+    tables.write_csv(documents, path)
+    return tables.read_csv(spark, path, documents.schema)
+
+
+@query
+def csv_windows(spark, folder):
+    """Typographic quotes and the euro sign in windows-1252."""
+    path = scratch_path(spark, "windows")
+    names = table(spark, folder, "customer").select("c_custkey", F.concat(F.lit("“"), "c_name", F.lit("” 5 €")).alias("c_name"))
+    stored = names.withColumn("c_name", F.translate("c_name", tables.SIGNS, tables.CONTROLS))
+    stored.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return tables.read_csv(spark, path, names.schema)
+
+
 @query
 def csv_latin1(spark, folder):
     """Names with an umlaut in a single-byte encoding, which UTF-8 cannot decode."""

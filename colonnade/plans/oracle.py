@@ -276,6 +276,7 @@ FROM {t}"""
     ),
     "id_name_hints": """SELECT page_id, url,
   regexp_matches(replace(replace(lower(trim(url)), '_', ''), '-', ''), 'id|uuid|guid|index') AS hints_at_id FROM pages""",
+    "date_text_roles": """SELECT * FROM (VALUES ('day', 'datetime'), ('junk_later', 'categorical'), ('day_with_holes', 'datetime')) t("column", role)""",
     "read_dates": """SELECT o_orderkey,
   CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day FROM orders""",
     "validation_rules": """
@@ -313,6 +314,10 @@ UNION ALL SELECT 'absent', 'target_absent', 'error', 'absent', NULL""",
   round(sum(n - 1) * 100.0::DOUBLE / sum(n), 2) AS duplicate_pct FROM (SELECT count(*) AS n FROM documents GROUP BY text, lang)""",
     "duplicate_rows": """SELECT doc_id, lang, length(text)::INT AS n
 FROM (SELECT *, row_number() OVER (PARTITION BY text, lang ORDER BY doc_id) AS place FROM documents) WHERE place > 1""",
+    "duplicate_rows_null_key": """
+WITH holed AS (SELECT CASE WHEN doc_id % 7 <> 0 THEN doc_id END AS doc_id, lang, source[1:4] AS source FROM documents)
+SELECT doc_id, lang, source
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id NULLS FIRST) AS place FROM holed) WHERE place > 1""",
     "table_size": _union(
         f"SELECT '{t}' AS table_name, count(*) AS n_rows, {len(_columns(t))}::BIGINT AS n_columns FROM {t}" for t in PROFILED),
     "column_counts": _HOLED_COUNTS,
@@ -386,6 +391,9 @@ WITH judged AS ({JUDGED_ORDERS}), labels AS (SELECT label FROM judged UNION SELE
 cells AS (SELECT label, prediction, count(*) AS n FROM judged GROUP BY ALL)
 SELECT a.label AS actual, p.label AS predicted, coalesce(n, 0)::BIGINT AS n
 FROM labels a CROSS JOIN labels p LEFT JOIN cells c ON c.label = a.label AND c.prediction = p.label""",
+    "confusion_missing": f"""
+WITH judged AS ({JUDGED_ORDERS}), holed AS (SELECT label, CASE WHEN o_orderkey % 10 <> 0 THEN prediction END AS prediction FROM judged)
+SELECT label AS actual, prediction AS predicted, count(*) AS n FROM holed GROUP BY ALL""",
     "roc_points": f"""{_RANKED}
 SELECT score AS threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, round(tp::DOUBLE / all_pos, 8) AS tpr, round(fp::DOUBLE / all_neg, 8) AS fpr
 FROM ranked UNION ALL SELECT NULL, 0, 0, 0.0, 0.0""",
@@ -438,6 +446,8 @@ SELECT p_partkey, place::INT AS place, feature, round(value, 6) AS value, round(
     "sanitize_name": r"""SELECT page_id,
   lower(regexp_replace(regexp_replace(url, '\.[^.]+$', ''), '[^a-zA-Z0-9_-]', '_', 'g')) AS name FROM pages""",
     "csv_roundtrip": "SELECT * REPLACE (CAST(o_orderdate AS DATE) AS o_orderdate) FROM orders",
+    "csv_texts": """SELECT doc_id, ' say "yes", ' || text AS text, lang FROM documents""",
+    "csv_windows": "SELECT c_custkey, '“' || c_name || '” 5 €' AS c_name FROM customer",
     "csv_latin1": "SELECT c_custkey, c_name || ' Müller' AS c_name FROM customer",
     "land_dataset": "SELECT * FROM supplier",
     "run_log": f"""{_RULE_SCORES}

@@ -238,6 +238,19 @@ def encoder_of(df: DataFrame, counts: Mapping[str, Mapping[str, int]], rows: int
     })
 
 
+def _free_names(wanted: list[str], taken: list[str]) -> list[str]:
+    """``wanted``, with a number behind each name that an earlier one has, whatever the case."""
+    seen, found = {t.lower() for t in taken}, []
+    for name in wanted:
+        free, n = name, 1
+        while free.lower() in seen:
+            n += 1
+            free = f"{name}__{n}"
+        seen.add(free.lower())
+        found.append(free)
+    return found
+
+
 class CategoryEncoderModel(_Fitted):
     """Levels unseen in training are all zeros, or share 0."""
 
@@ -256,9 +269,10 @@ class CategoryEncoderModel(_Fitted):
         one_hot, shares, kind = learned["one_hot"], learned["shares"], kinds(df)
         encoded = set(one_hot) | set(shares)
         untouched = [c for c in df.columns if c not in encoded]
+        names = _free_names([f"{c}_{level}" for c, levels in one_hot.items() for level in levels], [*untouched, *(f"{c}_freq" for c in shares)])
         indicators = [
-            F.when(as_text(c, kind[c]) == level, F.lit(1.0)).otherwise(F.lit(0.0)).alias(f"{c}_{level}")
-            for c, levels in one_hot.items() for level in levels
+            F.when(as_text(c, kind[c]) == level, F.lit(1.0)).otherwise(F.lit(0.0)).alias(name)
+            for (c, level), name in zip(((c, level) for c, levels in one_hot.items() for level in levels), names)
         ]
         for c in shares:
             if shares[c] is None or shares[c]:

@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colonnade.functions.columns import STRING, col, kinds, nan_to_null
+from colonnade.functions.columns import col, nan_to_null
 from colonnade.functions.names import safe_name_of
 
 BAD_LINE = "_bad_line"
 # Encodings tried in this order.
 ENCODINGS = ("UTF-8", "ISO-8859-1", "windows-1252")
-REPLACEMENT = "�"
+# What windows-1252 has where Latin-1 has control characters. Spark reads Latin-1 only, so these are replaced afterwards.
+CONTROLS = "".join(chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
+SIGNS = CONTROLS.encode("latin-1").decode("cp1252")
 
 
 class TableError(ValueError):
@@ -21,36 +23,58 @@ class TableError(ValueError):
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return nan_to_null(spark.read.parquet(path))
+    """The table as stored; operators take NaN for missing themselves, so filters on raw columns reach the files."""
+    return spark.read.parquet(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, encoding: str | None = None) -> DataFrame:
-    """A CSV table with a header, by the first encoding that decodes it.
+    """A CSV table with a header, in the first encoding that decodes it.
 
-    Spark puts U+FFFD where bytes do not decode, so one filter over the text
-    lines tells whether UTF-8 fits. A single-byte encoding decodes anything.
-    Lines that do not fit the schema are an error, as is a table without rows.
-    ``schema`` saves the pass that infers types.
+    Cells may be quoted and then hold commas, line breaks and doubled quotes. One scan over the lines tells whether UTF-8
+    fits, and whether a line ends inside quotes: only then is a file read whole, by one task, since a cell may run over
+    several lines. Rows that do not fit the schema are an error here, not later, as is a table without rows. ``schema``
+    saves the pass that infers types.
     """
     try:
-        encoding = encoding or (ENCODINGS[0] if _decodes(spark, path) else ENCODINGS[1])
-        reader = (
-            spark.read.option("header", True).option("encoding", encoding)
-            .option("mode", "FAILFAST").option("enforceSchema", False)
+        seen = _seen(spark, path)
+        encoding = encoding or seen["encoding"]
+        windows = encoding == ENCODINGS[2]
+        reader = spark.read.options(
+            header=True, encoding=ENCODINGS[1] if windows else encoding, quote='"', escape='"', multiLine=seen["open_lines"], enforceSchema=False,
         )
-        df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
-        empty = df.isEmpty()
+        if schema is None:
+            schema = reader.option("inferSchema", True).csv(path).schema
+        shape = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        wide = T.StructType([*(T.StructField(f.name, f.dataType) for f in shape.fields), T.StructField(BAD_LINE, T.StringType())])
+        checked = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_LINE).schema(wide).csv(path)
+        # The first row, and the first that does not fit, in one pass.
+        found = checked.agg(F.count(F.lit(1)).alias("n"), F.min(BAD_LINE).alias("bad"), F.count(F.col(shape.fieldNames()[0])).alias("first")).first()
     except PySparkException as error:
         raise TableError(f"{path} cannot be read as CSV: {error}") from error
-    if empty:
+    if not found["n"]:
         raise TableError(f"{path} has no rows")
-    return nan_to_null(df)
-
-
-def _decodes(spark: SparkSession, path: str) -> bool:
-    lines = spark.read.text(path)
-    # UTF-8 text may hold the replacement character itself; its bytes are then valid.
-    return lines.where(~F.is_valid_utf8(F.col("value"))).isEmpty()
+    if found["bad"] is not None:
+        raise TableError(f"{path} has a row that does not fit: {found['bad'][:200]}")
+    df = nan_to_null(checked.drop(BAD_LINE))
+    if windows:
+        df = df.select(*[
+            (F.translate(col(f.name), CONTROLS, SIGNS) if isinstance(f.dataType, T.StringType) else col(f.name)).alias(f.name.translate(str.maketrans(CONTROLS, SIGNS)))
+            for f in df.schema.fields
+        ])
+    return df
+
+
+def _seen(spark: SparkSession, path: str) -> dict:
+    """Encoding and whether a quoted cell runs over a line's end, from one scan of the lines."""
+    line = F.col("value")
+    # Bytes that only windows-1252 gives a letter or sign to; in Latin-1 they would be control characters.
+    high = F.hex(line.cast("binary")).rlike("^(..)*[89]")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    seen = spark.read.text(path).agg(
+        F.bool_and(F.is_valid_utf8(line)).alias("utf8"), F.bool_or(high).alias("high"), F.bool_or(quotes % 2 == 1).alias("open_lines")
+    ).first()
+    utf8, latin1, windows = ENCODINGS
+    return {"encoding": utf8 if seen["utf8"] in (True, None) else windows if seen["high"] else latin1, "open_lines": bool(seen["open_lines"])}
 
 
 def malformed_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -65,8 +89,8 @@ def malformed_lines(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    """A folder of CSV parts, each with a header."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """A folder of CSV parts, each with a header; quotes in a cell are doubled, its white space stays."""
+    df.write.mode(mode).options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def land(df: DataFrame, folder: str, name: str, mode: str = "error") -> str:
@@ -77,14 +101,3 @@ def land(df: DataFrame, folder: str, name: str, mode: str = "error") -> str:
     path = f"{folder.rstrip('/')}/{safe}"
     df.write.mode(mode).parquet(path)
     return path
-
-
-def has_replacement(df: DataFrame) -> bool:
-    """Whether any text cell holds U+FFFD, the mark of a wrong encoding."""
-    texts = [c for c, k in kinds(df).items() if k == STRING]
-    if not texts:
-        return False
-    found = F.lit(False)
-    for c in texts:
-        found = found | F.coalesce(col(c).contains(REPLACEMENT), F.lit(False))
-    return not df.where(found).isEmpty()

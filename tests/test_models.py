@@ -4,6 +4,7 @@ import math
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import rows
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -334,6 +335,20 @@ def test_csv_encodings(spark, tmp_path):
         read_csv(spark, str(tmp_path / "absent.csv"))
 
 
+def test_csv_quoting_and_errors(spark, tmp_path):
+    cells = [("plain", 1), ('says "no", twice', 2), ("two\nlines", 3), ("  spaced ", 4), (None, 5)]
+    df = spark.createDataFrame(cells, "text string, n int")
+    write_csv(df.coalesce(1), str(tmp_path / "quoted"))
+    assert rows(read_csv(spark, str(tmp_path / "quoted"), df.schema)) == rows(df)
+    part = next((tmp_path / "quoted").glob("part*"))
+    assert pd.read_csv(part)["text"].tolist()[:4] == [c[0] for c in cells[:4]]
+    (tmp_path / "windows.csv").write_bytes("name,n\n“Müller” €,1\n".encode("cp1252"))
+    assert rows(read_csv(spark, str(tmp_path / "windows.csv"))) == [("“Müller” €", 1)]
+    (tmp_path / "late.csv").write_text("a,b\n1,2\nx,3\n")
+    with pytest.raises(TableError, match="does not fit"):
+        read_csv(spark, str(tmp_path / "late.csv"), "a int, b int")
+
+
 def test_malformed_lines(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("a,b\n1,2\nx,3\n4,5\n")
     schema = spark.createDataFrame([], "a int, b int").schema

@@ -4,13 +4,14 @@ import random
 import statistics
 
 import pandas as pd
+import numpy as np
 import pytest
 from conftest import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from colonnade.functions.names import hints_at_id, safe_name_of
+from colonnade.functions.names import hints_at_id_column, safe_name_of
 from colonnade.operators import correlate, describe, outliers, profile, quality, quantiles, roles, validate
 
 
@@ -144,8 +145,10 @@ def test_overrides():
         roles.with_overrides(found, {"a": "number"})
 
 
-def test_names():
-    assert hints_at_id("Passenger_ID") and hints_at_id("width") and not hints_at_id("age")
+def test_names(spark):
+    names = spark.createDataFrame([("Passenger_ID",), ("width",), ("age",), (" u_u-id ",)], "name string")
+    assert rows(names.select("name", hints_at_id_column(names["name"]).alias("hinted"))) == [
+        (" u_u-id ", True), ("Passenger_ID", True), ("age", False), ("width", True)]
     assert safe_name_of("../My data (1).csv") == "___my_data__1_"
 
 
@@ -155,7 +158,7 @@ def test_sketch_and_exact_counts_agree_on_roles(spark, medium):
         df = spark.read.parquet(f"{medium}/{name}.parquet")
         facts = profile.column_facts(df)
         exact = profile.exact_distinct(df, df.columns)
-        by_counting = {f.name: roles._role(df, f, exact[f.name]) for f in facts}
+        by_counting = {f.name: roles._role(f, exact[f.name]) for f in facts}
         assert roles.infer_roles(df, facts) == by_counting
 
 
@@ -261,3 +264,39 @@ def test_constant_has_no_outliers_and_nan_is_none(spark):
     report = outliers.outlier_report(df, bounds).first()
     assert (report["n_present"], report["iqr_count"], report["zscore_count"]) == (15, 0, 0)
     assert outliers.outlier_rows(df, bounds, ["id"]).isEmpty()
+
+
+def test_correlation_far_from_the_mean(spark):
+    """Pairs that are complete in few rows only, far from the columns' means, and more than ten columns."""
+    rng = np.random.default_rng(4)
+    n = 4000
+    frame = pd.DataFrame({f"c{i}": rng.normal(size=n) for i in range(9)})
+    base = 1e7 + rng.normal(size=n)
+    far = np.arange(n) % 100 == 0
+    frame["a"] = np.where(far, base, rng.normal(size=n))
+    frame["b"] = np.where(far, base + 0.05 * rng.normal(size=n), np.nan)
+    frame["constant"] = 0.1
+    names = list(frame.columns)
+    found = {(r["col_a"], r["col_b"]): r["corr"] for r in correlate.correlation_pairs(spark.createDataFrame(frame).repartition(7), columns=names).collect()}
+    expected = frame.corr()
+    assert len(found) == len(names) * (len(names) - 1) // 2
+    for (a, b), value in found.items():
+        if "constant" in (a, b):
+            assert value is None
+        else:
+            assert value == pytest.approx(expected.loc[a, b], abs=1e-6)
+    assert found["a", "b"] > 0.99
+
+
+def test_duplicates_without_a_unique_key(spark):
+    df = spark.createDataFrame([(None, "x"), (2, "y"), (3, "y"), (4, "z"), (4, "z"), (None, "w"), (None, "w"), (7, "w")], "k int, t string")
+    assert rows(quality.duplicate_rows(df, ["k"])) == sorted([(3, "y"), (4, "z"), (None, "w"), (7, "w")], key=repr)
+
+
+def test_outlier_filter_reaches_the_reader(spark, small):
+    from colonnade.operators import outliers
+    from colonnade.sources.tables import read_parquet
+
+    df = read_parquet(spark, f"{small}/events.parquet")
+    found = outliers.outlier_rows(df, outliers.fit_bounds(df, columns=["value"]), ["event_id"])
+    assert "PushedFilters: [Or(" in found._jdf.queryExecution().toString()
