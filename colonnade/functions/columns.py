@@ -100,16 +100,19 @@ def by_task_group(df: DataFrame):
     return df.withColumn("__group", F.spark_partition_id() % TASK_GROUPS).groupBy("__group")
 
 
-HASH_BITS = 52
+# Hexadecimal digits of the digest that make a row's hash: 52 bits, which a double holds exactly.
+HASH_DIGITS = 13
+HASH_BITS = 4 * HASH_DIGITS
 
 
 def row_hash(df: DataFrame, key_cols: Sequence[str] | None, seed: int) -> Column:
     """A 52-bit hash of the key, or of the whole row where there is no key.
 
-    52 bits are held exactly by a double, in which Spark's sketches compute.
-
-    It depends on nothing but the values and the seed, so a split made from it
-    stays the same under any partitioning and any re-run.
+    It is the beginning of the MD5 of the seed and the values as text, joined by ``|``, with ``-`` for a missing one. So it
+    depends on nothing but the values and the seed, a split made from it stays the same under any partitioning and any
+    re-run, and other engines can compute it.
     """
-    named = [col(c) for c in (key_cols or df.columns)]
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *named), 64 - HASH_BITS)
+    kind = kinds(df)
+    named = [F.coalesce(as_text(c, kind[c]), F.lit("-")) for c in (key_cols or df.columns)]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *named))
+    return F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("bigint")

@@ -2,8 +2,9 @@
 
 Up to a checked number of entries the table is broadcast. Beyond it, the
 entries holding at least one row in ``HOT_PARTS`` are broadcast - there are at
-most ``HOT_PARTS`` of them, whatever the data - and only the rows of rarer
-values are shuffled, where no value can be hot any more.
+most ``HOT_PARTS`` of them, whatever the data - and only the rows of other
+values are shuffled. A value that was rare when the table was made, or unknown
+to it, may hold many of the rows now, so these are salted.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 # Entries are a key of bounded length and a few numbers: about 100 bytes each.
 BROADCAST_ENTRIES = 100_000
 HOT_PARTS = 10_000
+# Tasks that the rows of one value are spread over; the rarer entries are copied as often.
+SALTS = 16
 
-_KEY, _PAYLOAD, _COLD = "__key", "__payload", "__cold"
+_KEY, _PAYLOAD, _COLD, _SALT = "__key", "__payload", "__cold", "__salt"
 
 
 def lookup(df: DataFrame, key: Column, table: DataFrame, entries: int, output: str) -> DataFrame:
@@ -31,7 +34,8 @@ def lookup(df: DataFrame, key: Column, table: DataFrame, entries: int, output: s
         return joined.withColumn(output, F.col(_PAYLOAD)["value"]).drop(_KEY, _PAYLOAD)
     hot = values.where(F.col("share") >= 1.0 / HOT_PARTS).drop("share")
     cold = values.where(F.col("share") < 1.0 / HOT_PARTS).select(
-        F.col(_KEY).alias(_COLD), F.col(_PAYLOAD).alias(_PAYLOAD + "_cold")
+        F.col(_KEY).alias(_COLD), F.col(_PAYLOAD).alias(_PAYLOAD + "_cold"),
+        F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias(_SALT),
     )
     known = keyed.join(F.broadcast(hot), _KEY, "left")
     # Rows that are done, or have no key, get a key that matches nothing and
@@ -39,9 +43,14 @@ def lookup(df: DataFrame, key: Column, table: DataFrame, entries: int, output: s
     spread = F.concat(F.lit("!"), F.spark_partition_id().cast("string"))
     routed = known.withColumn(
         _COLD, F.when(F.col(_PAYLOAD).isNull() & F.col(_KEY).isNotNull(), F.col(_KEY)).otherwise(spread)
-    )
+    ).withColumn(_SALT, F.pmod(F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns if not _is_map(df, c)]), F.lit(SALTS)).cast("int"))
     return (
-        routed.join(cold, _COLD, "left")
+        routed.join(cold, [_COLD, _SALT], "left")
         .withColumn(output, F.coalesce(F.col(_PAYLOAD)["value"], F.col(_PAYLOAD + "_cold")["value"]))
-        .drop(_KEY, _COLD, _PAYLOAD, _PAYLOAD + "_cold")
+        .drop(_KEY, _COLD, _SALT, _PAYLOAD, _PAYLOAD + "_cold")
     )
+
+
+def _is_map(df: DataFrame, name: str) -> bool:
+    """Whether a column holds a map, which has no hash."""
+    return "map<" in df.schema[name].dataType.simpleString()

@@ -2,10 +2,9 @@
 
 A row's place is decided by a hash of its key and the seed, never by its
 position, so the parts are the same under any partitioning and after any
-re-run. Stratified parts compare the hash with thresholds of the row's class.
-In a class of fewer than ``EXACT_CLASS`` rows these are order statistics, so the
-shares are exact to the row; a larger class takes the thresholds of the uniform
-distribution, which are off by a fraction of a percent. No class is sorted.
+re-run. Stratified parts compare the hash with thresholds of the row's class,
+which are order statistics: in a class of any size the shares are exact to the
+row. No class is sorted as a whole.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from colonnade.functions.columns import HASH_BITS, col, kinds, nan_to_null, row_hash, value_key
 from colonnade.operators.lookup import lookup
@@ -24,7 +24,8 @@ SEED = 42
 FOLDS = 5
 FOLD_RANGE = (2, 10)
 
-EXACT_CLASS = 10_000
+# How far from its expected place a threshold is looked for at first.
+STANDARD_ERRORS = 8.0
 # Up to this many classes their thresholds are held on the driver.
 INLINE_CLASSES = 10_000
 
@@ -95,43 +96,60 @@ def with_folds(
 
 
 class _Classes:
-    """Hash thresholds per class of a label."""
+    """Hash thresholds per class of a label: the hash of the row at each share's place in the class, in order of hashes."""
 
     def __init__(self, df: DataFrame, hashed: Column, label: str, shares: list[float]):
         self.key = value_key(label, kinds(df)[label])
         hashes = nan_to_null(df.select(hashed.alias("h"), col(label))).select(
             "h", self.key.alias("key")).where(F.col("key").isNotNull())
         sizes = hashes.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        seen = sizes.limit(INLINE_CLASSES + 1).collect()
-        inline = len(seen) <= INLINE_CLASSES
-        if inline:
-            self.count, rows = len(seen), sum(r["n"] for r in seen)
-            self.smallest = min((r["n"] for r in seen), default=0)
-            small = [(r["key"],) for r in seen if r["n"] < EXACT_CLASS]
-            # Only rows of small classes need a sketch; there are at most
-            # INLINE_CLASSES x EXACT_CLASS of them.
-            names = df.sparkSession.createDataFrame(small, "key string")
-            hashes = hashes.join(F.broadcast(names), "key", "left_semi")
-        else:
-            size = sizes.agg(F.count(F.lit(1)), F.sum("n"), F.min("n")).first()
-            self.count, rows, self.smallest = size
-        # The sketch is exact while a class stays below half its accuracy.
-        sketch = F.percentile_approx("h", [float(s) for s in shares], 2 * EXACT_CLASS)
-        uniform = [int(s * _HASH_RANGE) for s in shares]
-        if inline:
-            found = hashes.groupBy("key").agg(sketch.alias("cuts")).collect() if small else []
-            exact = {r["key"]: r["cuts"] for r in found}
-            table = df.sparkSession.createDataFrame(
-                [(r["key"], exact.get(r["key"], uniform), r["n"]) for r in seen],
-                "key string, cuts array<bigint>, n bigint")
-        else:
-            table = hashes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), sketch.alias("sketched")).select(
-                "key", "n", F.when(F.col("n") < EXACT_CLASS, F.col("sketched"))
-                .otherwise(F.array(*[F.lit(c) for c in uniform])).alias("cuts"))
+        self.count, self.rows, least = sizes.agg(F.count(F.lit(1)), F.sum("n"), F.min("n")).first()
+        self.rows, self.smallest = self.rows or 0, least or 0
+        wide = STANDARD_ERRORS
+        while True:
+            table = self._thresholds(hashes, sizes, shares, wide)
+            if self.count > INLINE_CLASSES:
+                missed = not table.where(F.exists("cuts", lambda c: c.isNull())).isEmpty()
+            else:
+                seen = table.collect()
+                missed = any(c is None for r in seen for c in r["cuts"])
+                table = df.sparkSession.createDataFrame(seen, "key string, cuts array<bigint>, n bigint")
+            if not missed:
+                break
+            wide *= 16
         self.table = table.select(
-            "key", F.col("cuts").alias("value"), (F.col("n") / F.lit(float(rows or 1))).alias("share")
+            "key", F.col("cuts").alias("value"), (F.col("n") / F.lit(float(self.rows or 1))).alias("share")
         )
 
+    def _thresholds(self, hashes: DataFrame, sizes: DataFrame, shares: list[float], wide: float) -> DataFrame:
+        """``(key, cuts, n)``; a cut is NULL if it lies beyond ``wide`` standard errors of where it is expected.
+
+        Hashes are uniform, so the row at a share's place lies near that share of their range: rows below the
+        neighbourhood are counted, and only those within it, about the root of the class, are put in order.
+        """
+        n, size = F.col("n"), float(_HASH_RANGE)
+        places = []
+        for i, s in enumerate(shares):
+            spread = F.sqrt(F.lit(s * (1 - s)) / n) * wide + F.lit(wide) / n
+            places.append(F.struct(
+                F.lit(i).alias("i"), F.floor(n * s + 0.5).cast("bigint").alias("k"),
+                F.greatest(F.lit(0.0), (F.lit(s) - spread) * size).cast("bigint").alias("low"),
+                F.least(F.lit(size), (F.lit(s) + spread) * size).cast("bigint").alias("high"),
+            ))
+        wanted = sizes.withColumn("places", F.array(*places))
+        table = wanted.select("key", F.col("places").alias("value"), (n / F.lit(float(self.rows or 1))).alias("share"))
+        placed = lookup(hashes, F.col("key"), table, self.count, "places")
+        below = placed.groupBy("key").agg(F.array(*[
+            F.count_if(F.col("h") < F.col("places")[i]["low"]) for i in range(len(shares))
+        ]).alias("below"))
+        near = placed.select("key", "h", F.explode(F.filter("places", lambda p: F.col("h").between(p["low"], p["high"]))).alias("p"))
+        order = Window.partitionBy("key", "i").orderBy("h")
+        ranked = near.select("key", "h", "p.i", "p.k").withColumn("rank", F.row_number().over(order))
+        found = ranked.join(below, "key").where(F.col("rank") == F.col("k") - F.get("below", F.col("i")))
+        cuts = found.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("i", "h"))).alias("found"))
+        cut = F.transform("places", lambda p: F.when(p["k"] == 0, F.lit(-1).cast("bigint")).otherwise(F.try_element_at("found", p["i"])))
+        return wanted.join(cuts, "key", "left").select("key", cut.alias("cuts"), "n")
+
     def beside(self, df: DataFrame) -> DataFrame:
         return lookup(df, self.key, self.table, self.count, "__cuts")
 

@@ -141,6 +141,10 @@ _PARTS_OF_DATE = ("year(o_orderdate)::INT AS o_orderdate_year, month(o_orderdate
 
 JUDGED_LINES = """SELECT l_orderkey, l_linenumber, CAST(l_extendedprice * (1 - l_discount) > 30000 AS INT) AS label,
   CAST(l_quantity > 25 AS INT) AS prediction, CAST(floor(l_extendedprice / 100) + l_quantity AS DOUBLE) AS score FROM lineitem"""
+# The hash of a row's place in splits: 13 hexadecimal digits of the MD5 of seed and key.
+_HASHED_ORDERS = "SELECT *, ('0x' || md5('42|' || o_orderkey)[1:13])::BIGINT AS h FROM orders"
+_RANKED_ORDERS = f"""SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY h) AS place,
+  count(*) OVER (PARTITION BY o_orderstatus) AS n FROM ({_HASHED_ORDERS})"""
 JUDGED_ORDERS = """SELECT o_orderkey, o_orderstatus AS label, CASE WHEN o_orderpriority LIKE '1%' THEN 'F'
   WHEN o_orderpriority LIKE '2%' THEN 'O' WHEN o_orderpriority LIKE '3%' THEN 'X' ELSE o_orderstatus END AS prediction
   FROM orders"""
@@ -377,9 +381,13 @@ s AS (SELECT avg(o_custkey) AS m1, stddev_pop(o_custkey) AS s1, avg(o_totalprice
 SELECT o_orderkey AS row_key, round((o_custkey - m1) / s1, 6) AS o_custkey, round((o_totalprice - m2) / s2, 6) AS o_totalprice,
   round(o_custkey * o_totalprice, 4) AS o_custkey_x_o_totalprice, {_PARTS_OF_DATE},
   {_indicators("o_orderpriority", PRIORITIES)}, {_indicators("o_orderstatus", STATUSES)} FROM imputed, s""",
-    "split_shares": "SELECT o_orderstatus, count(*) AS n, TRUE AS near_share FROM orders GROUP BY o_orderstatus",
-    "fold_shares": "SELECT o_orderstatus, 5::BIGINT AS folds, count(*) AS n, TRUE AS even FROM orders GROUP BY o_orderstatus",
-    "split_train_test": "SELECT o_orderkey, o_orderstatus FROM orders",
+    "split_flags": f"SELECT o_orderkey, h % 1000000 < 200000 AS is_test FROM ({_HASHED_ORDERS})",
+    "fold_flags": f"SELECT o_orderkey, (h % 5)::INT AS fold FROM ({_HASHED_ORDERS})",
+    "split_shares": "SELECT o_orderstatus, count(*) AS n, floor(count(*) * 0.2::DOUBLE + 0.5)::BIGINT AS n_test FROM orders GROUP BY o_orderstatus",
+    "fold_shares": f"""SELECT o_orderstatus, fold, count(*) AS n FROM (SELECT *, {" + ".join(
+        f"(place > floor(n * {i / 5}::DOUBLE + 0.5))::INT" for i in range(1, 5))} AS fold FROM ({_RANKED_ORDERS})) GROUP BY ALL""",
+    "split_train_test": f"""SELECT o_orderkey, o_orderstatus, CASE WHEN place <= floor(n * 0.2::DOUBLE + 0.5) THEN 'test' ELSE 'train' END AS side
+FROM ({_RANKED_ORDERS})""",
     "accuracy": f"SELECT round(avg(CASE WHEN label = prediction THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM ({JUDGED_ORDERS})",
     "class_scores": f"""{_class_scores(JUDGED_ORDERS)}
 SELECT label, support, predicted, hits, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1 FROM scored""",

@@ -181,12 +181,22 @@ def test_singleton_class_falls_back(spark):
     assert train.count() + test.count() == 20
 
 
-def test_large_and_small_classes(spark, monkeypatch):
-    monkeypatch.setattr(split, "EXACT_CLASS", 300)
-    df = spark.range(2300).withColumn("target", F.when(F.col("id") < 200, "small").otherwise("large"))
+@pytest.mark.parametrize("errors", [8.0, 0.01])
+def test_shares_are_exact_in_classes_of_any_size(spark, monkeypatch, errors):
+    """Also where the first place to look for a threshold does not hold it."""
+    monkeypatch.setattr(split, "STANDARD_ERRORS", errors)
+    df = spark.range(30_203).withColumn("target", F.when(F.col("id") < 203, "small").otherwise("large"))
     flagged = split.with_test_flag(df, ["id"], stratify="target")
-    shares = {r["target"]: r["s"] for r in flagged.groupBy("target").agg(F.avg(F.col("is_test").cast("int")).alias("s")).collect()}
-    assert shares["small"] == 0.2 and abs(shares["large"] - 0.2) < 0.04
+    assert rows(flagged.groupBy("target").agg(F.count_if("is_test").alias("n"))) == [("large", 6000), ("small", 41)]
+
+
+def test_lookup_of_a_value_hot_only_now(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "BROADCAST_ENTRIES", 1)
+    monkeypatch.setattr(lookup, "HOT_PARTS", 2)
+    entries = spark.createDataFrame([("=a", 1.0, 0.6), ("=b", 2.0, 0.3), ("=c", 3.0, 0.1)], "key string, value double, share double")
+    df = spark.range(900).withColumn("v", F.expr("CASE WHEN id % 9 = 0 THEN 'a' WHEN id % 9 < 6 THEN 'c' WHEN id % 9 < 8 THEN 'unseen' END"))
+    found = lookup.lookup(df, F.concat(F.lit("="), "v"), entries, 3, "found")
+    assert rows(found.groupBy("v", "found").count()) == sorted([("a", 1.0, 100), ("c", 3.0, 500), ("unseen", None, 200), (None, None, 100)], key=repr)
 
 
 def test_many_classes_do_not_reach_the_driver(spark, labelled, monkeypatch):
