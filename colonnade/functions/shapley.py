@@ -15,8 +15,10 @@ from math import factorial
 
 import numpy as np
 
-# Rows explained at a time; bounds the row-by-background matrices.
+# Rows explained at a time where each pair has its own scale; bounds the row-by-background matrices.
 CHUNK = 512
+# Paths of at most so many features have their patterns counted in a table.
+TABLE_BITS = 12
 
 
 @dataclass(frozen=True)
@@ -103,12 +105,66 @@ def _weights(depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def shapley_values(ensemble: Ensemble, x: np.ndarray, background: np.ndarray) -> np.ndarray:
     """Rows x features, averaged over the background; rows sum to output minus mean background output."""
+    if ensemble.logistic:
+        return _scaled_values(ensemble, x, background)
+    own, other = _weights(ensemble.depth)
+    columns, behind = np.ascontiguousarray(x.T), np.ascontiguousarray(background.T)
+    values = np.zeros((ensemble.n_features, len(x)))
+    for leaf in ensemble.leaves:
+        size = len(leaf.features)
+        if not size:
+            continue
+        # What a leaf gives a row depends only on which of its conditions the row meets: far fewer patterns than rows.
+        patterns, pattern_of = _distinct(_met(leaf, columns), size)
+        theirs, times = np.unique(_met(leaf, behind), return_counts=True)
+        in_x, in_z = _bits(patterns, size), _bits(theirs, size)
+        both = in_x @ in_z.T
+        only_x, only_z = in_x.sum(1)[:, None] - both, in_z.sum(1)[None, :] - both
+        reachable = (only_x + only_z + both == size) * times
+        a, b = only_x.astype(int), only_z.astype(int)
+        gain = in_x * ((own[a, b] * reachable) @ (1.0 - in_z))
+        loss = (1.0 - in_x) * ((other[a, b] * reachable) @ in_z)
+        given = leaf.value * (gain - loss)
+        rows = np.flatnonzero(given.any(axis=1)[pattern_of])
+        if len(rows):
+            part = pattern_of[rows]
+            for k, feature in enumerate(leaf.features):
+                values[feature, rows] += given[part, k]
+    return values.T / len(background)
+
+
+def _met(leaf: Leaf, columns: np.ndarray) -> np.ndarray:
+    """A bit per condition of the leaf, for every column of a features x rows matrix."""
+    code = np.zeros(columns.shape[1], np.int64)
+    for k, (feature, low, high) in enumerate(zip(leaf.features, leaf.low, leaf.high)):
+        column = columns[feature]
+        code |= ((column > low) & (column <= high)).astype(np.int64) << k
+    return code
+
+
+def _distinct(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes that occur, and the place of each code among them."""
+    if size > TABLE_BITS:
+        return np.unique(codes, return_inverse=True)
+    place = np.zeros(1 << size, np.int64)
+    place[codes] = 1
+    found = np.flatnonzero(place)
+    place[found] = np.arange(len(found))
+    return found, place[codes]
+
+
+def _bits(codes: np.ndarray, size: int) -> np.ndarray:
+    return ((codes[:, None] >> np.arange(size)) & 1).astype(float)
+
+
+def _scaled_values(ensemble: Ensemble, x: np.ndarray, background: np.ndarray) -> np.ndarray:
+    """The same behind a logistic link, whose slope differs from pair to pair."""
     values = np.zeros((len(x), ensemble.n_features))
     own, other = _weights(ensemble.depth)
-    raw_z = ensemble.raw(background) if ensemble.logistic else None
+    raw_z = ensemble.raw(background)
     for start in range(0, len(x), CHUNK):
         rows = slice(start, start + CHUNK)
-        scale = _link_scale(ensemble.raw(x[rows]), raw_z) if ensemble.logistic else 1.0
+        scale = _link_scale(ensemble.raw(x[rows]), raw_z)
         for leaf in ensemble.leaves:
             size = len(leaf.features)
             if not size:

@@ -1,8 +1,8 @@
 """Attribution of tree-model predictions to features, as a Spark job.
 
 The trees and a background sample of fixed size go to every task; the rows to
-explain stay where they are. The work is rows x background x leaves and needs
-no shuffle.
+explain stay where they are, and nothing is shuffled. A leaf's share is worked out
+once per pattern of met conditions in a batch, not per row and background row.
 """
 
 from __future__ import annotations
@@ -35,11 +35,10 @@ from colonnade.session import scratch_path
 cloudpickle.register_pickle_by_value(shapley)
 
 # Fixed values of the reports.
-SAMPLE_ROWS = 150
 TOP_GLOBAL, TOP_BEESWARM, TOP_WATERFALL = 15, 12, 10
 
 BACKGROUND_ROWS = 100
-# Nodes are sent to every task, so an ensemble larger than this is refused.
+# Nodes are sent to every task; an ensemble larger than this is refused unless a caller raises the bound.
 MAX_NODES = 1_000_000
 
 _FORESTS = (RandomForestClassificationModel, RandomForestRegressionModel)
@@ -73,10 +72,11 @@ def make_explainer(
     key_cols: Sequence[str] | None = None,
     background_rows: int = BACKGROUND_ROWS,
     seed: int = SEED,
+    max_nodes: int = MAX_NODES,
 ) -> Explainer:
-    """Reads the trees and draws the background: the rows with the smallest hashes."""
+    """Reads the trees, at most ``max_nodes`` nodes, and draws the background: the rows with the smallest hashes."""
     model, names = tree_model(fitted), feature_names(fitted)
-    ensemble = ensemble_of(model, reference.sparkSession, len(names))
+    ensemble = ensemble_of(model, reference.sparkSession, len(names), max_nodes)
     sample = hash_sample(reference, background_rows, key_cols, seed)
     background = np.array([r["x"] for r in _vectors(fitted, sample, ()).select("x").collect()], dtype=float)
     if not len(background):
@@ -84,7 +84,7 @@ def make_explainer(
     return Explainer(fitted, names, ensemble, background, float(ensemble.output(background).mean()))
 
 
-def ensemble_of(model: Model, spark, n_features: int) -> Ensemble:
+def ensemble_of(model: Model, spark, n_features: int, max_nodes: int = MAX_NODES) -> Ensemble:
     """The trees of a model, from the node table it is saved as."""
     path = scratch_path(spark, "trees")
     model.write().save(path)
@@ -110,9 +110,9 @@ def ensemble_of(model: Model, spark, n_features: int) -> Ensemble:
         F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
         node["split"]["numCategories"].alias("categories"), value.alias("value"),
     )
-    rows = flat.limit(MAX_NODES + 1).collect()
-    if len(rows) > MAX_NODES:
-        raise ValueError(f"the ensemble has more than {MAX_NODES} nodes")
+    rows = flat.limit(max_nodes + 1).collect()
+    if len(rows) > max_nodes:
+        raise ValueError(f"the ensemble has more than {max_nodes} nodes")
     if any(r["left"] >= 0 and r["categories"] > -1 for r in rows):
         raise ValueError("splits on categorical features are not supported; assemble plain numbers")
     trees: dict[int, list[dict]] = {}
@@ -171,9 +171,9 @@ def explain(explainer: Explainer, df: DataFrame, key_cols: Sequence[str]) -> Dat
 
 
 def explain_sample(
-    explainer: Explainer, df: DataFrame, key_cols: Sequence[str], rows: int | None = SAMPLE_ROWS, seed: int = SEED
+    explainer: Explainer, df: DataFrame, key_cols: Sequence[str], rows: int | None = None, seed: int = SEED
 ) -> DataFrame:
-    """Attributions of a fixed sample, or of all rows with ``rows=None``."""
+    """Attributions of all rows, or of the ``rows`` rows with the smallest hashes."""
     return explain(explainer, df if rows is None else hash_sample(df, rows, key_cols, seed), key_cols)
 
 

@@ -616,14 +616,27 @@ def compare_regressors(spark, folder):
     return compare.leaderboard(compare.compare_models(task, REGRESSORS, folds=3), task.problem)
 
 
+def _exact_regressors():
+    """Candidates whose fits SQL can follow."""
+    return {"linear_regression": _line(), "mean": lambda shape: candidates.Baseline(roles.REGRESSION)}
+
+
+@query
+def compare_exact(spark, folder):
+    """The leaderboard of the line and the mean."""
+    task = _event_task(spark, folder)
+    board = compare.leaderboard(compare.compare_models(task, _exact_regressors()), task.problem)
+    scores = ("neg_rmse", "neg_rmse_std", "r2", "r2_std")
+    return board.select("model", *[(F.round(c, 3) + 0.0).alias(c) for c in scores])
+
+
 @query
 def best_refit(spark, folder):
     """The winner of a comparison, refitted and scored on rows it has not seen."""
     task = _event_task(spark, folder)
     train, test = split.split(task.train, ["event_id"])
     learned = compare.Task.of(train, "y", ["event_id"], task.roles)
-    few = {n: REGRESSORS[n] for n in ("linear_regression", "mean")}
-    name, fitted = compare.fit_best(learned, compare.compare_models(learned, few, folds=2), few)
+    name, fitted = compare.fit_best(learned, compare.compare_models(learned, _exact_regressors()), _exact_regressors())
     held_out = compare.held_out_score(fitted, test, "y", learned.problem)
     return held_out.select(F.lit(name).alias("model"), "metric", F.round("score", 6).alias("score"))
 
@@ -651,7 +664,8 @@ def _tuned(spark, found):
 @query
 def learning_curve(spark, folder):
     task = _event_task(spark, folder)
-    return curves.learning_curve(curves.learning_scores(task, REGRESSORS["linear_regression"], folds=2))
+    curve = curves.learning_curve(curves.learning_scores(task, _line()))
+    return _rounded(curve, 6, "train_mean", "train_std", "validation_mean", "validation_std")
 
 
 @query
@@ -699,6 +713,19 @@ def shap_global(spark, folder):
     return attribute.top_global(attribute.explain_sample(explainer, orders, ["o_orderkey"]))
 
 
+@query
+def shap_one_row(spark, folder):
+    """The attributions of the dearest order give its probability."""
+    orders, task = _forest_on_orders(spark, folder)
+    fitted = task.fit(RandomForestClassifier(numTrees=5, maxDepth=4, seed=42))
+    explainer = attribute.make_explainer(fitted, orders, ["o_orderkey"])
+    dearest = orders.orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(1)
+    total = attribute.explained_output(attribute.explain_row(explainer, dearest, ["o_orderkey"]), ["o_orderkey"])
+    scored = score.score_batch(fitted, dearest).select("o_orderkey", "prediction_probability")
+    gap = F.abs(F.col("output") - F.col("prediction_probability"))
+    return total.join(scored, "o_orderkey").select("o_orderkey", (gap < 1e-9).alias("adds_up"))
+
+
 def _shap_table(spark, folder):
     """Attributions of a plain sum of three centred columns, in the long form of the explainer."""
     lines = table(spark, folder, "part").select(

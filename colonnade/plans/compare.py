@@ -11,15 +11,14 @@ import logging
 import time
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colonnade.functions.columns import col
+from colonnade.functions.columns import col, row_hash
 from colonnade.operators.metrics import classification_scores, regression_scores
 from colonnade.operators.roles import CLASSIFICATION, REGRESSION, problem_type
 from colonnade.operators.split import FOLDS, SEED, with_folds
@@ -34,6 +33,9 @@ log = logging.getLogger(__name__)
 # The scores of each kind of problem, the deciding one first.
 SCORES = {CLASSIFICATION: ("accuracy", "f1"), REGRESSION: ("neg_rmse", "r2")}
 FOLD = "__fold"
+# Parts that learners work on: at least so many, and of about so many rows.
+LEAST_PARTS = 8
+PART_ROWS = 500_000
 FOLD_SCORES = "model string, fold int, metric string, score double, seconds double"
 
 
@@ -50,7 +52,6 @@ class Task:
     missing: str = "error"
     scaling: str = "standard"
     seed: int = SEED
-    extra: dict = field(default_factory=dict)
 
     @classmethod
     def of(
@@ -90,7 +91,7 @@ class Task:
         stratify = self.target if self.problem == CLASSIFICATION else None
         placed = with_folds(self.train, folds, self.key_cols or None, self.seed, stratify, FOLD)
         spark, path = placed.sparkSession, scratch_path(placed.sparkSession, "folds")
-        spread_out(placed).write.partitionBy(FOLD).parquet(path)
+        placed.write.partitionBy(FOLD).parquet(path)
         return spark.read.schema(placed.schema).parquet(path)
 
     def prepare(self, df: DataFrame) -> PipelineModel:
@@ -101,7 +102,7 @@ class Task:
 
     def kept_vectors(self, prepared: PipelineModel, df: DataFrame) -> DataFrame:
         """Persisted vectors, to be unpersisted by the caller."""
-        return self.vectors(prepared, spread_out(df)).persist(StorageLevel.MEMORY_AND_DISK)
+        return self.vectors(prepared, laid_out(df, self.key_cols, self.seed)).persist(StorageLevel.MEMORY_AND_DISK)
 
     def shape(self, vectors: DataFrame, prepared: PipelineModel) -> Shape:
         return Shape(vectors.count(), len(feature_names(prepared)), len(self.labels or ()))
@@ -126,15 +127,16 @@ class Task:
         return PipelineModel([*prepared.stages, model, decoder])
 
 
-def spread_out(df: DataFrame) -> DataFrame:
-    """Spreads a table that is read in fewer parts than there are cores.
+def laid_out(df: DataFrame, key_cols: Sequence[str], seed: int) -> DataFrame:
+    """The rows in parts and in an order that follow from their hashes and number alone.
 
-    Learners work a part per task and pass over the data many times. A larger
-    table stays as it is and costs no shuffle.
+    Learners sample within parts, so a fit would otherwise depend on how many files and cores there are. They pass over the
+    rows many times, and this is one shuffle. Without key columns equal rows share a part: name keys where a few contents
+    make up much of a table.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = df.select(F.spark_partition_id().alias("part")).agg(F.max("part")).first()[0]
-    return df.repartition(cores) if parts is not None and parts + 1 < cores else df
+    parts = max(LEAST_PARTS, -(-df.count() // PART_ROWS))
+    placed = df.withColumn("__place", row_hash(df, key_cols or None, seed))
+    return placed.repartition(parts, "__place").sortWithinPartitions("__place").drop("__place")
 
 
 def made(estimator: Factory | Estimator, shape: Shape) -> Estimator:
@@ -236,9 +238,3 @@ def held_out_score(fitted: PipelineModel, test: DataFrame, target: str, problem:
         return classification_scores(scored, target, "prediction").select(
             F.lit("accuracy").alias("metric"), F.col("accuracy").alias("score"))
     return regression_scores(scored, target, "prediction").select(F.lit("r2").alias("metric"), F.col("r2").alias("score"))
-
-
-def ranked(summary: DataFrame, metric: str) -> DataFrame:
-    """Models with their place by one score; the table has a row per model."""
-    order = W.orderBy(F.col("mean").desc(), "model")
-    return summary.where(F.col("metric") == metric).withColumn("place", F.row_number().over(order))

@@ -143,6 +143,8 @@ JUDGED_LINES = """SELECT l_orderkey, l_linenumber, CAST(l_extendedprice * (1 - l
   CAST(l_quantity > 25 AS INT) AS prediction, CAST(floor(l_extendedprice / 100) + l_quantity AS DOUBLE) AS score FROM lineitem"""
 # The hash of a row's place in splits: 13 hexadecimal digits of the MD5 of seed and key.
 _HASHED_ORDERS = "SELECT *, ('0x' || md5('42|' || o_orderkey)[1:13])::BIGINT AS h FROM orders"
+_HASHED_EVENTS = """SELECT event_id, 3 * value + 5 AS y, ('0x' || md5('42|' || event_id)[1:13])::BIGINT AS h,
+  ('0x' || md5('43|' || event_id)[1:13])::BIGINT AS later FROM events WHERE value IS NOT NULL"""
 _RANKED_ORDERS = f"""SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY h) AS place,
   count(*) OVER (PARTITION BY o_orderstatus) AS n FROM ({_HASHED_ORDERS})"""
 JUDGED_ORDERS = """SELECT o_orderkey, o_orderstatus AS label, CASE WHEN o_orderpriority LIKE '1%' THEN 'F'
@@ -381,6 +383,22 @@ s AS (SELECT avg(o_custkey) AS m1, stddev_pop(o_custkey) AS s1, avg(o_totalprice
 SELECT o_orderkey AS row_key, round((o_custkey - m1) / s1, 6) AS o_custkey, round((o_totalprice - m2) / s2, 6) AS o_totalprice,
   round(o_custkey * o_totalprice, 4) AS o_custkey_x_o_totalprice, {_PARTS_OF_DATE},
   {_indicators("o_orderpriority", PRIORITIES)}, {_indicators("o_orderstatus", STATUSES)} FROM imputed, s""",
+    "compare_exact": f"""
+WITH e AS ({_HASHED_EVENTS}), k AS (SELECT unnest(range(5)) AS fold),
+m AS (SELECT fold, avg(y) AS guess FROM e, k WHERE h % 5 <> fold GROUP BY fold),
+s AS (SELECT fold, -sqrt(avg((y - guess) ** 2)) AS neg_rmse, 1 - sum((y - guess) ** 2) / (var_pop(y) * count(*)) AS r2
+  FROM e JOIN m ON h % 5 = fold GROUP BY fold)
+SELECT 'linear_regression' AS model, 0.0::DOUBLE AS neg_rmse, 0.0::DOUBLE AS neg_rmse_std, 1.0::DOUBLE AS r2, 0.0::DOUBLE AS r2_std
+UNION ALL SELECT 'mean', round(round(avg(neg_rmse), 4), 3) + 0.0, round(round(stddev_pop(neg_rmse), 4), 3) + 0.0,
+  round(round(avg(r2), 4), 3) + 0.0, round(round(stddev_pop(r2), 4), 3) + 0.0 FROM s""",
+    "best_refit": "SELECT 'linear_regression' AS model, 'r2' AS metric, 1.0::DOUBLE AS score",
+    "learning_curve": f"""
+WITH e AS ({_HASHED_EVENTS}), k AS (SELECT unnest(range(5)) AS fold),
+t AS (SELECT unnest([0.1, 0.28, 0.46, 0.64, 0.82, 1.0])::DOUBLE AS share),
+p AS (SELECT share, fold, count(*) AS n FROM e, k, t WHERE h % 5 <> fold AND later % 1000000 < round(share * 1000000) GROUP BY ALL)
+SELECT share, floor(avg(n))::BIGINT AS train_rows, 1.0::DOUBLE AS train_mean, 0.0::DOUBLE AS train_std,
+  1.0::DOUBLE AS validation_mean, 0.0::DOUBLE AS validation_std FROM p GROUP BY share""",
+    "shap_one_row": "SELECT o_orderkey, TRUE AS adds_up FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1",
     "split_flags": f"SELECT o_orderkey, h % 1000000 < 200000 AS is_test FROM ({_HASHED_ORDERS})",
     "fold_flags": f"SELECT o_orderkey, (h % 5)::INT AS fold FROM ({_HASHED_ORDERS})",
     "split_shares": "SELECT o_orderstatus, count(*) AS n, floor(count(*) * 0.2::DOUBLE + 0.5)::BIGINT AS n_test FROM orders GROUP BY o_orderstatus",
