@@ -264,6 +264,25 @@ def test_attribution_is_exact(explained, family):
         assert got == pytest.approx(per_pair.mean(axis=1), abs=1e-9)
 
 
+def test_patterns_of_long_and_short_paths():
+    source = np.random.default_rng(5)
+    for size in (1, shapley.TABLE_BITS, shapley.TABLE_BITS + 1):
+        codes = source.integers(0, 1 << size, 300)
+        found, place = shapley._distinct(codes, size)
+        assert (found[place] == codes).all() and (np.diff(found) > 0).all()
+        assert (shapley._bits(found, size) @ (1 << np.arange(size)) == found).all()
+
+
+def test_fits_do_not_depend_on_parts(explained):
+    df = explained.drop("size")
+    guesses = []
+    for parts in (1, 5):
+        fitted = compare.Task.of(df.repartition(parts), "y", ["id"], NUMBERS).fit(TREES["forest_numbers"][1])
+        guesses.append({r["id"]: r["prediction"] for r in score.score_batch(fitted, df).collect()})
+    assert guesses[0].keys() == guesses[1].keys()
+    assert all(guesses[1][k] == pytest.approx(v, abs=1e-9) for k, v in guesses[0].items())
+
+
 def test_attribution_reports_and_limits(explained, task):
     df = explained.drop("y")
     fitted = compare.Task.of(df, "size", ["id"], NUMBERS).fit(TREES["forest"][1])
