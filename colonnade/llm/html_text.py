@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -42,12 +44,31 @@ NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$|/)|aria-hidden\s*=\s*[\"']?true)", re.I)
 BLANK = [""] * WINDOW
 
+# Fixed values of the HTML standard: what a start tag ends, up to which elements, and whose end tag may be left out.
+P_ENDERS = frozenset(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hgroup hr li main menu nav ol p pre search section summary table ul".split()
+)
+CELLS, ROW_GROUPS = frozenset(("td", "th")), frozenset(("thead", "tbody", "tfoot"))
+TABLE_PARTS = CELLS | ROW_GROUPS | {"tr", "caption", "colgroup"}
+SCOPES = frozenset("caption html table td th".split())
+LISTS = SCOPES | frozenset("article aside blockquote body fieldset footer form header main menu nav ol section ul".split())
+ENDED_BY = {
+    "li": (frozenset(("li",)), LISTS), "dt": (frozenset(("dt", "dd")), LISTS | {"dl"}), "dd": (frozenset(("dt", "dd")), LISTS | {"dl"}),
+    "td": (CELLS, frozenset(("tr", "table"))), "th": (CELLS, frozenset(("tr", "table"))), "tr": (CELLS | {"tr", "caption", "colgroup"}, frozenset(("table",))),
+    **dict.fromkeys(ROW_GROUPS, (TABLE_PARTS, frozenset(("table",)))),
+    "option": (frozenset(("option",)), frozenset(("select", "datalist", "optgroup"))),
+    "optgroup": (frozenset(("option", "optgroup")), frozenset(("select",))),
+}
+OPTIONAL_END = TABLE_PARTS | frozenset("p li dt dd option optgroup head".split())
+IN_HEAD = RAW | frozenset("base link meta".split())
+#: Elements that never are a wrapper of the page, however much of its text they hold.
+NEVER_WRAPS = frozenset("head nav footer button select menu datalist option".split())
 
-def _apart(tag: str, attributes: str) -> bool:
-    """Whether an element is none of the article's business."""
-    if tag in APART:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+
+def _named_apart(tag: str, attributes: str) -> bool:
+    """Whether an element's names, role or state say that it is none of the article's business."""
+    if not attributes or tag in ("html", "body"):
         return False
     if HIDDEN.search(attributes):
         return True
@@ -58,76 +79,172 @@ def _apart(tag: str, attributes: str) -> bool:
     return False
 
 
-def text_lines(page: str) -> list[tuple[str, bool]]:
-    """Lines of a page with whether they stand in an article; blank lines at borders and for what was stripped."""
-    lines: list[tuple[str, bool]] = []
+def _apart(tag: str, attributes: str) -> bool:
+    """Whether an element is none of the article's business."""
+    return tag in APART or tag not in SCOPE and _named_apart(tag, attributes)
+
+
+def _pieces(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """Begin, end, name, whether it closes, and attributes of each tag; a raw element is one piece, a comment has no name."""
+    pieces, at = [], 0
+    while found := PIECE.search(page, at):
+        begin, at = found.span()
+        tag = (found[2] or "").lower()
+        if tag in RAW and not found[1]:
+            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = end.end() if end else len(page) if tag in ("script", "style") else at
+        pieces.append((begin, at, tag, bool(found[1]), found[3] or ""))
+    return pieces
+
+
+@dataclass(slots=True)
+class Element:
+    """An element from its start tag to its end, which may be implied; what it holds of text, articles and articles named as parts."""
+
+    tag: str
+    begin: int
+    apart: bool
+    text: int
+    articles: int
+    parts: int
+    end: int = 0
+    closed: bool = False
+
+
+def _elements(page: str, pieces: list[tuple[int, int, str, bool, str]]) -> tuple[list[Element], set[int]]:
+    """Elements, without inline ones that matter to nobody, and where those begin that are left out.
+
+    A missing end tag is where HTML implies it. What holds an article, or more than half of the page's text, is never left out;
+    articles named as parts, as comments are, count as such only if no other stands outside.
+    """
+    found: list[Element] = []
+    stack: list[Element] = []
+    opened: Counter[str] = Counter()
+    text = articles = parts = at = 0
+
+    def end_from(k: int, where: int, last: int, closed: bool) -> None:
+        """Ends the elements from place ``k`` on: inner ones at ``where``, the outermost at ``last``."""
+        for i in range(len(stack) - 1, k - 1, -1):
+            e = stack.pop()
+            opened[e.tag] -= 1
+            e.end = last if i == k else where
+            e.closed = closed or e.tag in OPTIONAL_END
+            e.text, e.articles, e.parts = text - e.text, articles - e.articles, parts - e.parts
+
+    def outermost(tags: frozenset[str], stops: frozenset[str], nearest: bool = False) -> int | None:
+        place = None
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i].tag in tags:
+                place = i
+                if nearest:
+                    break
+            elif stack[i].tag in stops:
+                break
+        return place
+
+    for begin, end, tag, closing, attributes in pieces:
+        text += len(page[at:begin].strip())
+        at = end
+        if not tag or tag in RAW:
+            continue
+        if closing:
+            if opened[tag] > 0:
+                table = tag == "table" or tag in TABLE_PARTS
+                stops = frozenset(("table",)) if table else frozenset() if tag in ("body", "html") else SCOPES | {"ul", "ol"} if tag == "li" else SCOPES
+                k = outermost(frozenset((tag,)), stops, nearest=True)
+                if k is not None:
+                    end_from(k, begin, end, tag not in ("body", "html"))
+            continue
+        if opened["head"] and tag not in IN_HEAD:
+            end_from(outermost(frozenset(("head",)), frozenset()), begin, begin, True)
+        if tag in P_ENDERS and opened["p"]:
+            k = outermost(frozenset(("p",)), SCOPES | {"button"}, nearest=True)
+            if k is not None:
+                end_from(k, begin, begin, True)
+        if tag in ENDED_BY and any(opened[t] for t in ENDED_BY[tag][0]):
+            k = outermost(*ENDED_BY[tag], nearest=tag in ("li", "dt", "dd"))
+            if k is not None:
+                end_from(k, begin, begin, True)
+        if tag in VOID or re.search(r"(?:^|[\s\"'])/\Z", attributes):
+            continue
+        apart = _apart(tag, attributes)
+        if tag in INLINE and not apart and not opened[tag]:
+            continue
+        e = Element(tag, begin, apart, text, articles, parts)
+        found.append(e)
+        stack.append(e)
+        opened[tag] += 1
+        if tag in SCOPE:
+            articles += 1
+            parts += _named_apart(tag, attributes)
+    text += len(page[at:].strip())
+    end_from(0, len(page), len(page), False)
+
+    def stays(e: Element) -> bool:
+        article = e.articles > e.parts or e.articles > 0 and e.articles == articles
+        return article or 2 * e.text > text and e.tag not in NEVER_WRAPS
+
+    return found, {e.begin for e in found if e.apart and e.closed and not stays(e)}
+
+
+def _lines(page: str) -> tuple[list[tuple[str, bool, int]], list[Element]]:
+    """Lines of a page with whether they stand in an article and where they end; blank ones at borders and for what was stripped."""
+    pieces = _pieces(page)
+    elements, left_out = _elements(page, pieces)
+    resume = {e.begin: e.end for e in elements if e.begin in left_out}
+    lines: list[tuple[str, bool, int]] = []
     parts: list[str] = []
-    at, depth, scope = 0, 0, 0
-    apart = ""
+    at, scope = 0, 0
 
     def end_line() -> None:
         if parts:
             line = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if line:
-                lines.append((line, scope > 0))
+                lines.append((line, scope > 0, at))
 
     def border() -> None:
         end_line()
-        lines.extend((b, False) for b in BLANK)
-
-    while True:
-        found = PIECE.search(page, at)
-        if not apart:
-            parts.append(page[at:found.start() if found else len(page)])
-        if not found:
-            break
-        at = found.end()
-        tag = (found[2] or "").lower()
-        closing, attributes = bool(found[1]), found[3] or ""
-        if not tag:
+        lines.extend((b, False, at) for b in BLANK)
+
+    for begin, end, tag, closing, attributes in pieces:
+        if begin < at:
+            # In a part that is left out.
             continue
-        if apart:
-            # Inside a part to leave out only its own element counts.
-            if tag == apart and not attributes.endswith("/"):
-                depth += -1 if closing else 1
-                if not depth:
-                    apart = ""
-                    border()
+        parts.append(page[at:begin])
+        at = begin
+        if begin in resume:
+            border()
+            at = resume[begin]
+            border()
             continue
-        if tag in RAW and not closing:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page) if tag in ("script", "style") else at
+        if tag in RAW and not closing or tag == "br":
             parts.append(" ")
-            continue
-        if not closing and tag not in VOID and _apart(tag, attributes):
-            if re.compile(rf"</{tag}\s*>", re.I).search(page, at):
+        elif tag and tag not in INLINE:
+            if tag in SECTION:
                 border()
-                apart, depth = tag, 1
-                continue
-        if tag in INLINE:
-            if tag == "br":
-                parts.append(" ")
-            continue
-        if tag in SECTION:
-            border()
-        else:
-            end_line()
-        if tag in SCOPE:
-            scope = max(0, scope - 1) if closing else scope + 1
+            else:
+                end_line()
+            if tag in SCOPE:
+                scope = max(0, scope - 1) if closing else scope + 1
+        at = end
+    parts.append(page[at:])
+    at = len(page)
     end_line()
-    return lines
+    return lines, elements
+
+
+def text_lines(page: str) -> list[tuple[str, bool]]:
+    """Lines of a page with whether they stand in an article; blank lines at borders and for what was stripped."""
+    return [(line, inside) for line, inside, _ in _lines(page)[0]]
 
 
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks joined by line breaks; empty if there is no text."""
-    lines = text_lines(page or "")
-    if any(inside for line, inside in lines if line):
-        lines = [(line if inside else "", inside) for line, inside in lines]
-        share = 0.0
-    else:
-        share = SURGE
-    sizes = [len(line) for line, _ in lines]
+    lines, _ = _lines(page or "")
+    if any(inside for line, inside, _ in lines if line):
+        return "\n".join(line for line, inside, _ in lines if line and inside)
+    sizes = [len(line) for line, _, _ in lines]
     # sums[i]: text in the window that starts at line i. It surges from 0 and dives to 0 around each region of text.
     sums, total = [], sum(sizes[:WINDOW])
     for i, size in enumerate(sizes):
@@ -141,7 +258,7 @@ def main_text(page: str | None) -> str:
             regions.append((start, i, sum(sizes[start:i])))
             start = None
     most = max((r[2] for r in regions), default=0)
-    return "\n".join(line for a, b, size in regions if size >= share * most for line, _ in lines[a:b] if line)
+    return "\n".join(line for a, b, size in regions if size >= SURGE * most for line, _, _ in lines[a:b] if line)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:

@@ -192,6 +192,24 @@ def test_html_without_an_article_keeps_the_surge():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<script>x") == ""
 
 
+MUCH = ("A long text that goes on and on. " * 20).strip()
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<body><p class=notice>cut<p>{MUCH}</p><p>more</p></body>", f"{MUCH}\nmore"),
+    (f"<article><ul><li class=ad>cut<li>{MUCH}<li>more</ul><p>end</article>", f"{MUCH}\nmore\nend"),
+    (f"<dl><dt>a<dd class=promo>cut<dt>{MUCH}<dd>more</dl>", f"a\n{MUCH}\nmore"),
+    (f"<table><tr><td class=sidebar>cut<td>{MUCH}</table>", MUCH),
+    (f"<body><div class='content has-sidebar'><article>{MUCH}</article><div class=ad>cut</div></div><div>cut</div></body>", MUCH),
+    (f"<body><div id='page-with-header'><p>{MUCH}</p><div class=ad>cut</div></div></body>", MUCH),
+    (f"<body><form><div>{MUCH}</div><nav>cut</nav></form></body>", MUCH),
+    (f"<main><article>{MUCH}</article><div class=comments-area><article class=comment-body>cut</article></div></main>", MUCH),
+    ("<nav>cut</nav><footer>cut</footer>", ""),
+])
+def test_html_parts_end_where_html_says_and_never_hold_the_article(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_mined_urls_block(spark):
     rows = [(f"http://a{i}.casino-win.net/en/{i}", 0) for i in range(40)] + [(f"http://b{i}.fine.net/en/{i}", 1) for i in range(160)] + [("http://c.net/x", None)]
     labelled = spark.createDataFrame(rows, "url string, label int")
