@@ -2,13 +2,15 @@
 
 Markup is stripped so that every block element is a line; what stands in menus, forms, notices and the like becomes blank
 lines, and so do the borders of sections. The text lengths over a sliding window of lines then surge where the article
-begins and dive to nothing where it ends. All text between is kept, short lines too.
+begins and dive to nothing where it ends. All text between is kept, short lines too, and all text of the container around the
+largest surge, as a section or an advert in it does not end the article.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -64,6 +66,8 @@ OPTIONAL_END = TABLE_PARTS | frozenset("p li dt dd option optgroup head".split()
 IN_HEAD = RAW | frozenset("base link meta".split())
 #: Elements that never are a wrapper of the page, however much of its text they hold.
 NEVER_WRAPS = frozenset("head nav footer button select menu datalist option".split())
+#: Blocks of text and parts of an article; any other block element is a container.
+NO_CONTAINER = INLINE | P_ENDERS - {"div", "center"} | TABLE_PARTS | OPTIONAL_END
 
 
 def _named_apart(tag: str, attributes: str) -> bool:
@@ -239,9 +243,18 @@ def text_lines(page: str) -> list[tuple[str, bool]]:
     return [(line, inside) for line, inside, _ in _lines(page)[0]]
 
 
+def _container(elements: list[Element], inside: list[int], others: list[int]) -> tuple[int, int]:
+    """From where to where the container reaches that holds the lines ``inside`` and, if one below the body does, others too."""
+    around = [e for e in elements if e.begin < inside[0] and inside[-1] <= e.end and e.tag not in NO_CONTAINER and e.tag != "html"]
+    for e, outer in zip(around[::-1], [*around[-2::-1], None]):
+        if outer is None or outer.tag == "body" or bisect_right(others, e.begin) < bisect_right(others, e.end):
+            return e.begin, e.end
+    return 0, max([inside[-1], *others])
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks joined by line breaks; empty if there is no text."""
-    lines, _ = _lines(page or "")
+    lines, elements = _lines(page or "")
     if any(inside for line, inside, _ in lines if line):
         return "\n".join(line for line, inside, _ in lines if line and inside)
     sizes = [len(line) for line, _, _ in lines]
@@ -257,8 +270,12 @@ def main_text(page: str | None) -> str:
         elif not total and start is not None:
             regions.append((start, i, sum(sizes[start:i])))
             start = None
-    most = max((r[2] for r in regions), default=0)
-    return "\n".join(line for a, b, size in regions if size >= SURGE * most for line, _, _ in lines[a:b] if line)
+    if not regions:
+        return ""
+    a, b, most = max(regions, key=lambda r: r[2])
+    begin, end = _container(elements, [at for line, _, at in lines[a:b] if line], [at for line, _, at in [*lines[:a], *lines[b:]] if line])
+    kept = [r for r in regions if r[2] >= SURGE * most or any(line and begin < at <= end for line, _, at in lines[r[0]:r[1]])]
+    return "\n".join(line for a, b, _ in kept for line, _, _ in lines[a:b] if line)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:

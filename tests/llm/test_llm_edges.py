@@ -210,6 +210,18 @@ def test_html_parts_end_where_html_says_and_never_hold_the_article(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<body><div><p>short lead</p><div class=ad>cut</div><p>{MUCH}</p></div></body>", f"short lead\n{MUCH}"),
+    (f"<body><div><section>short</section><section>{MUCH}</section><section>tail</section></div></body>", f"short\n{MUCH}\ntail"),
+    (f"<body><section>short</section><section><section>one</section><section>{MUCH}</section></section></body>", f"short\none\n{MUCH}"),
+    (f"<div><p>intro</p><table><tr><td>{MUCH}</table><form>cut</form><p>out</p></div>", f"intro\n{MUCH}\nout"),
+    (f"<body><div><div>short lead</div><aside>cut</aside><div>{MUCH}</div></div></body>", f"short lead\n{MUCH}"),
+    (f"<body><div>logged in</div><form>cut</form><div><p>{MUCH}</p></div><footer>cut</footer></body>", MUCH),
+])
+def test_html_borders_in_a_container_do_not_split_the_article(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_mined_urls_block(spark):
     rows = [(f"http://a{i}.casino-win.net/en/{i}", 0) for i in range(40)] + [(f"http://b{i}.fine.net/en/{i}", 1) for i in range(160)] + [("http://c.net/x", None)]
     labelled = spark.createDataFrame(rows, "url string, label int")
