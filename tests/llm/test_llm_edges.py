@@ -181,6 +181,32 @@ def test_bpe_equals_the_library(texts):
         assert decoded == own.decode(ids) == library.decode(expected, skip_special_tokens=False)
 
 
+def test_a_passage_in_very_many_contexts_is_dealt_out(spark):
+    rng = np.random.default_rng(5)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    some = lambda n: letters[rng.integers(0, len(letters), n)].tobytes().decode()
+    passage = some(90)
+    texts = [some(80) + (passage if i % 3 else "") + some(80) for i in range(3000)]
+    first = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t) - suffix_dedup.WIDTH + 1):
+            first.setdefault(t[k:k + suffix_dedup.WIDTH], i)
+    expected = {}
+    for i, t in enumerate(texts):
+        gone = {j for k in range(len(t) - suffix_dedup.WIDTH + 1) if first[t[k:k + suffix_dedup.WIDTH]] < i for j in range(k, k + suffix_dedup.WIDTH)}
+        expected[i] = "".join(c for j, c in enumerate(t) if j not in gone).encode()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6)
+    for hot in (2000, 1 << 40):
+        assert {r["id"]: bytes(r["rest"]) for r in suffix_dedup.spans(docs, hot_bytes=hot).collect()} == expected
+    blocks = suffix_dedup.pack_documents(docs)
+    answers = suffix_dedup.staged(suffix_dedup.census(blocks, lambda data: suffix_dedup.key_bytes(data, 64)), "repeat-counts")
+    loads = collections.Counter()
+    for r in suffix_dedup.sent_pieces(blocks, answers, 64, 2000).collect():
+        loads[r["bucket"]] += len(suffix_dedup.unpacked(r["pieces"]))
+    # Dealt by the smallest hash alone, the texts around either end of the passage meet in one bucket.
+    assert max(loads.values()) < 3 * sum(loads.values()) / 64
+
+
 def test_html_without_an_article_keeps_the_surge():
     page = (
         "<html><head><title>t</title></head><body><div class='nav'><a>home</a></div><ul id=menu><li>one<li>two</ul><div><h2>Head &amp; tail</h2>"
