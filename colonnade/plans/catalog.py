@@ -10,8 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -582,18 +581,10 @@ def _revenue_task(spark, folder):
     return compare.Task.of(lines, "large", overrides=overrides)
 
 
-CLASSIFIERS = {
-    "logistic_regression": lambda shape: LogisticRegression(maxIter=20, regParam=1e-4),
-    "random_forest": lambda shape: RandomForestClassifier(numTrees=10, maxDepth=5, seed=42),
-    "boosting": lambda shape: GBTClassifier(maxIter=5, maxDepth=4, seed=42),
-    "most_frequent": lambda shape: candidates.Baseline(roles.CLASSIFICATION),
-}
-
-
 @query
 def compare_classifiers(spark, folder):
     task = _revenue_task(spark, folder)
-    return compare.leaderboard(compare.compare_models(task, CLASSIFIERS, folds=3), task.problem)
+    return compare.leaderboard(compare.compare_models(task), task.problem)
 
 
 def _event_task(spark, folder):
@@ -602,18 +593,10 @@ def _event_task(spark, folder):
     return compare.Task.of(events, "y", ["event_id"], overrides)
 
 
-REGRESSORS = {
-    "linear_regression": lambda shape: LinearRegression(regParam=0.0, solver="normal"),
-    "random_forest": lambda shape: RandomForestRegressor(numTrees=10, maxDepth=6, seed=42),
-    "boosting": lambda shape: GBTRegressor(maxIter=5, maxDepth=4, seed=42),
-    "mean": lambda shape: candidates.Baseline(roles.REGRESSION),
-}
-
-
 @query
 def compare_regressors(spark, folder):
     task = _event_task(spark, folder)
-    return compare.leaderboard(compare.compare_models(task, REGRESSORS, folds=3), task.problem)
+    return compare.leaderboard(compare.compare_models(task), task.problem)
 
 
 def _exact_regressors():
@@ -641,18 +624,20 @@ def best_refit(spark, folder):
     return held_out.select(F.lit(name).alias("model"), "metric", F.round("score", 6).alias("score"))
 
 
+def _family(task, name):
+    return candidates.candidates(task.problem)[name]
+
+
 @query
 def tune_random(spark, folder):
     task = _event_task(spark, folder)
-    space = {"maxDepth": candidates.Whole(2, 5), "maxIter": candidates.Whole(2, 5), "stepSize": candidates.Span(0.1, 0.4)}
-    return _tuned(spark, tune.tune(task, "boosting_fast", REGRESSORS["boosting"], space=space, count=2, folds=2))
+    return _tuned(spark, tune.tune(task, "boosting_fast", _family(task, "boosting_fast")))
 
 
 @query
 def tune_grid(spark, folder):
     task = _event_task(spark, folder)
-    space = {"numTrees": [3, 6], "maxDepth": [3, 5]}
-    return _tuned(spark, tune.tune(task, "random_forest", REGRESSORS["random_forest"], "grid", space, folds=2))
+    return _tuned(spark, tune.tune(task, "random_forest", _family(task, "random_forest"), "grid", candidates.GRIDS["random_forest"]))
 
 
 def _tuned(spark, found):
@@ -670,7 +655,8 @@ def learning_curve(spark, folder):
 
 @query
 def feature_importance(spark, folder):
-    fitted = _revenue_task(spark, folder).fit(CLASSIFIERS["random_forest"])
+    task = _revenue_task(spark, folder)
+    fitted = task.fit(_family(task, "random_forest"))
     return curves.top_features(curves.feature_importance(fitted, spark))
 
 
@@ -686,8 +672,8 @@ def _forest_on_orders(spark, folder):
 def shap_adds_up(spark, folder):
     """Every row's attributions and the base value give its probability."""
     orders, task = _forest_on_orders(spark, folder)
-    fitted = task.fit(RandomForestClassifier(numTrees=5, maxDepth=4, seed=42))
-    explainer = attribute.make_explainer(fitted, orders, ["o_orderkey"], background_rows=25)
+    fitted = task.fit(_family(task, "random_forest"))
+    explainer = attribute.make_explainer(fitted, orders, ["o_orderkey"])
     total = attribute.explained_output(attribute.explain(explainer, orders, ["o_orderkey"]), ["o_orderkey"])
     scored = score.score_batch(fitted, orders).select("o_orderkey", "prediction_probability")
     gap = F.abs(F.col("output") - F.col("prediction_probability"))
@@ -697,8 +683,8 @@ def shap_adds_up(spark, folder):
 @query
 def shap_boosted_adds_up(spark, folder):
     orders, task = _forest_on_orders(spark, folder)
-    fitted = task.fit(GBTClassifier(maxIter=4, maxDepth=3, seed=42))
-    explainer = attribute.make_explainer(fitted, orders, ["o_orderkey"], background_rows=25)
+    fitted = task.fit(_family(task, "boosting_fast"))
+    explainer = attribute.make_explainer(fitted, orders, ["o_orderkey"])
     total = attribute.explained_output(attribute.explain(explainer, orders, ["o_orderkey"]), ["o_orderkey"])
     scored = score.score_batch(fitted, orders).select("o_orderkey", "prediction_probability")
     gap = F.abs(F.col("output") - F.col("prediction_probability"))
@@ -708,8 +694,8 @@ def shap_boosted_adds_up(spark, folder):
 @query
 def shap_global(spark, folder):
     orders, task = _forest_on_orders(spark, folder)
-    fitted = task.fit(RandomForestClassifier(numTrees=5, maxDepth=4, seed=42))
-    explainer = attribute.make_explainer(fitted, orders, ["o_orderkey"], background_rows=25)
+    fitted = task.fit(_family(task, "random_forest"))
+    explainer = attribute.make_explainer(fitted, orders, ["o_orderkey"])
     return attribute.top_global(attribute.explain_sample(explainer, orders, ["o_orderkey"]))
 
 
@@ -717,7 +703,7 @@ def shap_global(spark, folder):
 def shap_one_row(spark, folder):
     """The attributions of the dearest order give its probability."""
     orders, task = _forest_on_orders(spark, folder)
-    fitted = task.fit(RandomForestClassifier(numTrees=5, maxDepth=4, seed=42))
+    fitted = task.fit(_family(task, "random_forest"))
     explainer = attribute.make_explainer(fitted, orders, ["o_orderkey"])
     dearest = orders.orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(1)
     total = attribute.explained_output(attribute.explain_row(explainer, dearest, ["o_orderkey"]), ["o_orderkey"])

@@ -382,3 +382,48 @@ def test_write_and_land(spark, classified, tmp_path):
     assert rows(read_parquet(spark, path)) == rows(classified)
     with pytest.raises(TableError):
         land(classified, str(tmp_path), "???.csv")
+
+
+def test_registered_fits_are_the_whole_job(spark, small, monkeypatch):
+    """The queries compare, tune and explain the default families on default folds, draws, grids and backgrounds."""
+    from colonnade.plans import catalog
+
+    class Seen(Exception):
+        pass
+
+    def settings(model, shape=candidates.Shape(100, 5, 2)):
+        estimator = model(shape)
+        return type(estimator), {p.name: v for p, v in estimator.extractParamMap().items() if not p.name.endswith("Col")}
+
+    def stop(*args, **named):
+        raise Seen(args, named)
+
+    def asked(name):
+        with pytest.raises(Seen) as caught:
+            catalog.REGISTRY[name](spark, small)
+        return caught.value.args
+
+    with monkeypatch.context() as patch:
+        patch.setattr(compare, "cross_validate", stop)
+        patch.setattr(tune, "cross_validate", stop)
+        for name in ("compare_classifiers", "compare_regressors"):
+            (task, models, folds, _), _ = asked(name)
+            families = candidates.candidates(task.problem)
+            assert folds == 5 and {k: settings(m) for k, m in models.items()} == {k: settings(m) for k, m in families.items()}
+        for name, family, tried in (
+            ("tune_random", "boosting_fast", candidates.draws(candidates.SEARCH_SPACES["boosting_fast"], 25)),
+            ("tune_grid", "random_forest", candidates.grid(candidates.GRIDS["random_forest"])),
+        ):
+            (task, variants, folds, _), _ = asked(name)
+            model = candidates.candidates(task.problem)[family]
+            assert folds == 5 and [settings(v) for v in variants.values()] == [settings(tune.with_params(model, p)) for p in tried]
+    for name in ("feature_importance", "shap_adds_up", "shap_boosted_adds_up", "shap_global", "shap_one_row"):
+        with monkeypatch.context() as patch:
+            patch.setattr(compare.Task, "fit", stop)
+            (task, model), _ = asked(name)
+            family = "boosting_fast" if name == "shap_boosted_adds_up" else "random_forest"
+            assert settings(model) == settings(candidates.candidates(task.problem)[family])
+            if name != "feature_importance":
+                patch.setattr(compare.Task, "fit", lambda *_: None)
+                patch.setattr(attribute, "make_explainer", stop)
+                assert "background_rows" not in asked(name)[1]
