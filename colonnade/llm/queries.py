@@ -36,7 +36,7 @@ def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
     labelled = pages.select("page_id", "url").join(labels, F.col("page_id") == F.col("doc_id"))
-    return url_filter.judge(pages, URL_RULES, url_filter.fit(labelled)).withColumnRenamed("id", "page_id")
+    return url_filter.judge(pages, URL_RULES, url_filter.fit(labelled, id_col="page_id")).withColumnRenamed("id", "page_id")
 
 
 @query

@@ -16,11 +16,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from colonnade.llm.frames import map_rows
 
-#: Labelled urls that rules are mined from: those with the smallest hash.
+#: Labelled rows that rules are mined from: those with the smallest hash of id and url.
 TRAIN_ROWS = 50_000
 MIN_SUPPORT = 0.001
 MIN_CONFIDENCE = 0.7
 MIN_LIFT = 1.5
+#: Where so high a lift cannot be: the part of the way from the share of bad rows to 1, and standard errors above that share.
+MIN_GAIN = 1 / 3
+MIN_SURE = 3.0
 MIN_ROWS = 10
 MAX_ITEMS = 3
 BLOCK, ALLOW = "block", "allow"
@@ -78,11 +81,27 @@ class Rules:
         return (None, None) if found is None else (" + ".join(found[0]), found[1])
 
 
-def fit(urls: DataFrame, url_col: str = "url", label_col: str = "label", train_rows: int = TRAIN_ROWS) -> Rules:
-    """Rules from labelled urls; label 0 is what gets blocked. Null labels are not used; without labels there are no rules."""
+def telling(n: int) -> Column:
+    """Whether a rule mined from ``n`` rows says enough beyond the share of bad rows, however large that is.
+
+    Above a certain share no rule has ``MIN_LIFT``; then its confidence, and the lower end of Wilson's interval, have to exceed
+    the share.
+    """
+    sure, share = F.col("confidence"), F.col("confidence") / F.col("lift")
+    rows, z = F.col("support") * n / F.col("confidence"), MIN_SURE
+    low = (sure + z * z / (2 * rows) - z * F.sqrt(sure * (1 - sure) / rows + z * z / (4 * rows * rows))) / (1 + z * z / rows)
+    return (F.col("lift") >= MIN_LIFT) | (sure >= share + MIN_GAIN * (1 - share)) & (low > share)
+
+
+def fit(urls: DataFrame, url_col: str = "url", label_col: str = "label", train_rows: int = TRAIN_ROWS, id_col: str | None = None) -> Rules:
+    """Rules from labelled urls; label 0 is what gets blocked. Null labels are not used; without labels there are no rules.
+
+    With ``id_col`` rows of one url are drawn one by one; without it they come together.
+    """
+    key = F.lit(None).cast("string") if id_col is None else F.col(id_col)
     sample = (
-        urls.where(F.col(label_col).isNotNull()).select(F.col(url_col).alias("url"), F.col(label_col).alias("label"))
-        .orderBy(F.xxhash64("url"), "url", "label").limit(train_rows)
+        urls.where(F.col(label_col).isNotNull()).select(key.alias("id"), F.col(url_col).alias("url"), F.col(label_col).alias("label"))
+        .orderBy(F.xxhash64("id", "url"), "id", "url", "label").limit(train_rows)
     )
     items = sample.select(F.array_append(tokens_of(F.col("url")), F.when(F.col("label") == 0, "y:bad").otherwise("y:good")).alias("items"))
     n = items.count()
@@ -90,7 +109,7 @@ def fit(urls: DataFrame, url_col: str = "url", label_col: str = "label", train_r
         return Rules([])
     model = FPGrowth(itemsCol="items", minSupport=max(MIN_SUPPORT, MIN_ROWS / n), minConfidence=MIN_CONFIDENCE).fit(items)
     found = model.associationRules.where(
-        (F.element_at("consequent", 1) == "y:bad") & (F.col("lift") >= MIN_LIFT) & (F.size("antecedent") <= MAX_ITEMS)
+        (F.element_at("consequent", 1) == "y:bad") & telling(n) & (F.size("antecedent") <= MAX_ITEMS)
     )
     # The mined model; its size follows from the least support, not from the number of urls.
     mined = {tuple(sorted(r["antecedent"])): r["confidence"] for r in found.collect()}

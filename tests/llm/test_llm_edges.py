@@ -261,6 +261,18 @@ def test_mined_urls_block(spark):
     }
 
 
+def test_urls_are_mined_beside_a_very_common_one_and_among_mostly_bad_ones(spark):
+    names = spark.createDataFrame([(f"http://hot{i}.net/x",) for i in range(300)], "url string")
+    # The one whose copies all come first in the order of the url's hash.
+    hot = names.orderBy(queries.F.xxhash64(queries.F.lit(None).cast("string"), "url")).first()["url"]
+    rows = [(hot, 1)] * 1000 + [(f"http://a{i}.casino-win.net/{i}", 0) for i in range(500)] + [(f"http://b{i}.fine.net/{i}", 1) for i in range(500)]
+    labelled = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id bigint, url string, label int")
+    assert url_filter.fit(labelled, train_rows=400, id_col="page_id").best(["h:casino", "h:win"])[0]
+    rows = [(f"http://a{i}.casino-win.net/{i}", 0) for i in range(160)] + [(f"http://b{i}.fine.net/{i}", 1) for i in range(40)]
+    mined = url_filter.fit(spark.createDataFrame(rows, "url string, label int"))
+    assert mined.best(["h:casino", "h:win"])[0] and mined.best(["h:fine", "h:net"]) == (None, None)
+
+
 def test_rules_find_a_planted_fault(spark):
     rng = np.random.default_rng(3)
     n = 1200
