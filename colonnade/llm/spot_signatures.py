@@ -24,6 +24,8 @@ ANCHORS = (
 #: Content words in a chain.
 CHAIN = 2
 SIMILARITY = 0.75
+#: Sets of one signature and band that are joined with as many others in a task.
+PART = 1024
 MARK = "\u0001"
 #: Buckets of neighbouring ids at most, and ids that each gets about; the table of their borders is broadcast.
 MOST_BUCKETS, BUCKET_ROWS, CUTS = 1 << 16, 2048, 256
@@ -133,12 +135,12 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, part: int = PART) -> DataFrame:
     """``a``, ``b`` (a < b), ``similarity`` of all pairs of different sets with at least ``least``, and no pair twice.
 
     Sets stand for all their documents: ``a`` and ``b`` are the smallest ids that have them (see ``set_members``). Null ids are
     left out. A set is filed under the first signatures of its order by rarity, within the band of its length and the next
-    one, so it meets each set that can reach ``least``.
+    one, so it meets each set that can reach ``least``. Files of more than ``part`` sets are joined part by part.
     """
     sets = set_members(docs, id_col, text_col)
     sets = staged(sets.groupBy("found").agg(F.min("id").alias("id")).where(F.size("found") > 0), "spot-sets")
@@ -151,7 +153,16 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = first.select("id", "n", "h", band.alias("band"))
     left = first.select(F.col("id").alias("a"), F.col("n").alias("na"), "h", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
     right = first.select(F.col("id").alias("b"), F.col("n").alias("nb"), "h", "band")
-    pairs = left.join(right, ["h", "band"]).where(((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") >= least * F.col("nb")))
+    hot = left.groupBy("h", "band").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).where("parts > 1")
+
+    def dealt(side: DataFrame, name: str, mine: str, other: str) -> DataFrame:
+        """Each row in its own part, beside every part of the other side."""
+        parts = F.coalesce("parts", F.lit(1))
+        spread = side.join(F.broadcast(hot), ["h", "band"], "left").withColumn(mine, F.pmod(F.xxhash64(name), parts).cast("int"))
+        return spread.withColumn(other, F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+
+    met = dealt(left, "a", "part_a", "part_b").join(dealt(right, "b", "part_b", "part_a"), ["h", "band", "part_a", "part_b"])
+    pairs = met.where(((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") >= least * F.col("nb")))
     met = pairs.select("a", "b").distinct()
     one, two = sets.select(F.col("id").alias("a"), F.col("found").alias("fa")), sets.select(F.col("id").alias("b"), F.col("found").alias("fb"))
     scored = met.join(one, "a").join(two, "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), likeness(F.col("fa"), F.col("fb"), least).alias("similarity"))

@@ -296,3 +296,9 @@ def test_similar_spot_sets_by_hand(spark, small):
     expected = {(a, b) for k, (b, sb) in enumerate(names) for a, sa in names[:k] if len(sa & sb) >= 0.75 * len(sa | sb)}
     found = spot_signatures.similar_sets(docs).collect()
     assert {(r["a"], r["b"]) for r in found} == expected and len(found) == len(expected)
+
+
+def test_similar_spot_sets_part_by_part(spark, small):
+    docs = queries.table(spark, small, "documents")
+    whole = sorted(spot_signatures.similar_sets(docs).collect())
+    assert whole and sorted(spot_signatures.similar_sets(docs, part=2).collect()) == whole
