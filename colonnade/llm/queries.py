@@ -8,7 +8,10 @@ from collections.abc import Callable, Iterable, Iterator
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colonnade.llm import bpe, html_text, line_dedup, mixing, ngram_join, quality_rules, spot_signatures, suffix_dedup, toxicity, url_filter
+from colonnade.llm import (
+    bpe, centroid_clusters, conversations, html_text, line_dedup, mixing, ngram_join, quality_rules, secret_scan, spot_signatures,
+    suffix_dedup, toxicity, url_filter,
+)
 from colonnade.llm.frames import map_rows
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +104,30 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, folder, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations")
+    return conversations.digests(conversations.damaged(given), given)
+
+
+#: Parameters of the clusters.
+CENTROIDS, ROUNDS, COMPONENTS = 40, 5, 64
+
+
+@query
+def op12_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    found, history = centroid_clusters.cluster(table(spark, folder, "embeddings"), CENTROIDS, ROUNDS, dims=COMPONENTS)
+    return centroid_clusters.with_inertia(found, history).withColumnRenamed("id", "vec_id")
+
+
+SQL["op12_centroid_clusters"] = centroid_clusters.sql(CENTROIDS, ROUNDS, COMPONENTS)
+
+
+@query
+def op13_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.digests(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+SQL["op13_secret_scan"] = secret_scan.sql()
