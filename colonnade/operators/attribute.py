@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 
 from colonnade.functions import shapley
 from colonnade.functions.columns import col, row_hash
-from colonnade.functions.shapley import Ensemble, leaves_of, shapley_values
+from colonnade.functions.growth import LOGISTIC
+from colonnade.functions.shapley import Ensemble, Leaf, leaves_of, shapley_values
 from colonnade.operators.metrics import top_rows
 from colonnade.operators.split import SEED
+from colonnade.plans.ensembles import TreeModel
 from colonnade.plans.prepare import feature_names
 from colonnade.session import scratch_path
 
@@ -60,7 +62,7 @@ class Explainer:
 
 def tree_model(fitted: PipelineModel) -> Model:
     for stage in fitted.stages:
-        if isinstance(stage, _FORESTS + _BOOSTED + _TREES):
+        if isinstance(stage, (TreeModel, *_FORESTS, *_BOOSTED, *_TREES)):
             return stage
     kinds = ", ".join(type(s).__name__ for s in fitted.stages)
     raise ValueError(f"attribution needs a tree model; this pipeline has {kinds}")
@@ -85,7 +87,9 @@ def make_explainer(
 
 
 def ensemble_of(model: Model, spark, n_features: int, max_nodes: int = MAX_NODES) -> Ensemble:
-    """The trees of a model, from the node table it is saved as."""
+    """The trees of a model; those of Spark's own models come from the node table they are saved as."""
+    if isinstance(model, TreeModel):
+        return _own_ensemble(model, n_features)
     path = scratch_path(spark, "trees")
     model.write().save(path)
     nodes = spark.read.parquet(f"{path}/data")
@@ -122,6 +126,24 @@ def ensemble_of(model: Model, spark, n_features: int, max_nodes: int = MAX_NODES
     return Ensemble(leaves, n_features, logistic=isinstance(model, GBTClassificationModel))
 
 
+def _own_ensemble(model: TreeModel, n_features: int) -> Ensemble:
+    rule = model.rule
+    if rule.outputs > 1:
+        raise ValueError("attribution of classifiers needs two classes")
+    logistic = rule.link == LOGISTIC
+    # The logistic link of the kernel doubles its margins.
+    weight = (0.5 if logistic else 1.0) if rule.boosted else 1.0 / rule.trees
+    nothing = np.zeros(0)
+    leaves = [Leaf(nothing.astype(int), nothing, nothing, weight * model.learned["start"][0])] if rule.boosted else []
+    for tree, limits in model.trees:
+        nodes = [
+            {"id": i, "left": int(left) if f >= 0 else -1, "right": int(left) + 1, "feature": int(f), "threshold": float(limit), "value": float(value)}
+            for i, (f, left, limit, value) in enumerate(zip(tree.feature, tree.left, limits, tree.value[0]))
+        ]
+        leaves += leaves_of(nodes, weight)
+    return Ensemble(leaves, n_features, logistic=logistic)
+
+
 def hash_sample(df: DataFrame, rows: int, key_cols: Sequence[str] | None = None, seed: int = SEED) -> DataFrame:
     """The ``rows`` rows with the smallest hashes: the same ones on every run."""
     return df.orderBy(row_hash(df, key_cols, seed)).limit(rows)

@@ -9,16 +9,16 @@ from dataclasses import dataclass
 from itertools import product
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
-)
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colonnade.functions.columns import col
 from colonnade.operators.roles import CLASSIFICATION, REGRESSION
+from colonnade.plans.ensembles import TreeBoosting, TreeForest
 from colonnade.plans.labels import LABEL, PREDICTION, PROBABILITY, RAW
+from colonnade.plans.logistic import MOST_WEIGHTS, LogisticNewton
 from colonnade.plans.steps import _Fitted
 
 log = logging.getLogger(__name__)
@@ -32,7 +32,7 @@ NETWORK_LAYERS = (32, 16)
 NETWORK_ITERATIONS = 30
 NETWORK_BLOCK = 32
 
-# Spark wants a finite depth for forests.
+# Forests need a finite depth.
 FOREST_DEPTH = 10
 
 # Three ways to spend a boosting budget: few deep steps, many careful ones, a long run.
@@ -56,15 +56,11 @@ Factory = Callable[[Shape], Estimator]
 
 
 def _logistic(shape: Shape, c: float = LOGISTIC_C, **params) -> Estimator:
-    return LogisticRegression(
-        maxIter=LOGISTIC_ITERATIONS, regParam=1.0 / (c * max(shape.rows, 1)), elasticNetParam=0.0,
-        standardization=False, **params,
-    )
-
-
-def _boosted_classifier(shape: Shape, **params) -> Estimator:
-    binary = GBTClassifier(seed=SEED, **params)
-    return binary if shape.classes <= 2 else OneVsRest(classifier=binary)
+    penalty = 1.0 / (c * max(shape.rows, 1))
+    if (shape.features + 1) * (shape.classes if shape.classes > 2 else 1) <= MOST_WEIGHTS:
+        return LogisticNewton(maxIter=LOGISTIC_ITERATIONS, regParam=penalty, classes=shape.classes, **params)
+    # The same minimum, without a number for each pair of weights.
+    return LogisticRegression(maxIter=LOGISTIC_ITERATIONS, regParam=penalty, elasticNetParam=0.0, standardization=False, **params)
 
 
 def _network(shape: Shape) -> Estimator:
@@ -76,20 +72,16 @@ def _network(shape: Shape) -> Estimator:
 
 def _forest(problem: str) -> Callable[..., Estimator]:
     def make(shape: Shape, **params) -> Estimator:
-        settings = {"numTrees": FOREST_TREES, "maxDepth": FOREST_DEPTH, "seed": SEED, **params}
-        if problem == CLASSIFICATION:
-            return RandomForestClassifier(featureSubsetStrategy="sqrt", **settings)
-        return RandomForestRegressor(featureSubsetStrategy="all", **settings)
+        subset = {"classes": shape.classes, "featureSubset": "sqrt"} if problem == CLASSIFICATION else {"featureSubset": "all"}
+        return TreeForest(**{"numTrees": FOREST_TREES, "maxDepth": FOREST_DEPTH, "seed": SEED, **subset, **params})
 
     return make
 
 
 def _boosting(problem: str, preset: str) -> Callable[..., Estimator]:
     def make(shape: Shape, **params) -> Estimator:
-        settings = {**BOOSTING_PRESETS[preset], **params}
-        if problem == CLASSIFICATION:
-            return _boosted_classifier(shape, **settings)
-        return GBTRegressor(seed=SEED, **settings)
+        classes = shape.classes if problem == CLASSIFICATION else 0
+        return TreeBoosting(**{"classes": classes, "seed": SEED, **BOOSTING_PRESETS[preset], **params})
 
     return make
 

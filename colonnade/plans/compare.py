@@ -2,7 +2,10 @@
 
 The preparation is fitted once per fold on that fold's training rows; its
 output is kept for the fold and every candidate is fitted and scored on it.
-What reaches the driver is one row of scores per candidate and fold.
+Forests and boosting wait until all folds are prepared and are grown together,
+folds and settings being keys of the same jobs. What reaches the driver is one
+row of scores per candidate and fold; finished rows are written to a ledger, so
+that a comparison that the cluster broke off goes on where it was.
 """
 
 from __future__ import annotations
@@ -14,8 +17,10 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel, inheritable_thread_target
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, IllegalArgumentException, PySparkException
 from pyspark.ml import Estimator, PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.functions.columns import col, row_hash
@@ -24,6 +29,7 @@ from colonnade.operators.roles import CLASSIFICATION, REGRESSION, problem_type
 from colonnade.operators.split import FOLDS, SEED, with_folds
 from colonnade.operators.validate import drop_missing_target
 from colonnade.plans.candidates import Factory, Shape, candidates, with_columns_of_ours
+from colonnade.plans.ensembles import PLACE, Folds, TreeFamily
 from colonnade.plans.labels import LABEL, PREDICTION, LabelDecoder, indexed, sorted_labels
 from colonnade.plans.prepare import feature_names, feature_roles, fit_preparation
 from colonnade.session import scratch_path
@@ -98,7 +104,8 @@ class Task:
         return fit_preparation(df, self.roles, self.scaling, missing=self.missing)
 
     def vectors(self, prepared: PipelineModel, df: DataFrame) -> DataFrame:
-        return prepared.transform(self.labelled(df)).select(F.col(LABEL), F.col("features"))
+        made = prepared.transform(self.labelled(df))
+        return made.select(F.col(LABEL), F.col("features"), *[F.col(c) for c in (PLACE,) if c in made.columns])
 
     def kept_vectors(self, prepared: PipelineModel, df: DataFrame) -> DataFrame:
         """Persisted vectors, to be unpersisted by the caller."""
@@ -135,61 +142,128 @@ def laid_out(df: DataFrame, key_cols: Sequence[str], seed: int) -> DataFrame:
     make up much of a table.
     """
     parts = max(LEAST_PARTS, -(-df.count() // PART_ROWS))
-    placed = df.withColumn("__place", row_hash(df, key_cols or None, seed))
-    return placed.repartition(parts, "__place").sortWithinPartitions("__place").drop("__place")
+    placed = df.withColumn(PLACE, row_hash(df, key_cols or None, seed))
+    return placed.repartition(parts, PLACE).sortWithinPartitions(PLACE)
 
 
 def made(estimator: Factory | Estimator, shape: Shape) -> Estimator:
     return with_columns_of_ours(estimator if isinstance(estimator, Estimator) else estimator(shape))
 
 
+# What the messages of errors say that come from the cluster and not from a model.
+CLUSTER_SIGNS = (
+    "ExecutorLost", "executor lost", "SparkContext was shut down", "stopped SparkContext", "cancelled", "FetchFailed", "Connection",
+    "OutOfMemoryError", "No space left", "SparkContext has been shutdown", "Answer from Java side is empty",
+)
+
+
+def is_models_fault(error: Exception) -> bool:
+    """Whether an error comes from a model's settings or data, so that the others can go on without it."""
+    text = str(error)
+    if isinstance(error, (ConnectionError, OSError, MemoryError)) or any(sign in text for sign in CLUSTER_SIGNS):
+        return False
+    if isinstance(error, (IllegalArgumentException, AnalysisException)):
+        return True
+    if isinstance(error, (PySparkException, Py4JError)):
+        # Of what Spark reports, errors raised in its learners or in a task's Python code are the model's.
+        return any(mark in text for mark in ("org.apache.spark.ml", "breeze.", "Traceback (most recent call last)"))
+    return isinstance(error, (ValueError, TypeError, ArithmeticError, LookupError))
+
+
+class Ledger:
+    """Score rows that are finished, as a table that survives the session."""
+
+    def __init__(self, spark: SparkSession, path: str | None):
+        self.spark, self.path, self.rows = spark, path or scratch_path(spark, "ledger"), []
+        if path:
+            try:
+                self.rows = [tuple(r) for r in spark.read.schema(FOLD_SCORES).parquet(path).collect()]
+            except AnalysisException as error:
+                if error.getCondition() != "PATH_NOT_FOUND":
+                    raise
+
+    def has(self, name: str, fold: int) -> bool:
+        return any(r[0] == name and r[1] == fold for r in self.rows)
+
+    def add(self, rows: Sequence[tuple]) -> None:
+        if rows:
+            self.rows += rows
+            self.spark.createDataFrame(list(rows), FOLD_SCORES).coalesce(1).write.mode("append").parquet(self.path)
+
+
 def cross_validate(
-    task: Task, estimators: Mapping[str, Factory | Estimator], folds: int = FOLDS, parallelism: int = 1
+    task: Task, estimators: Mapping[str, Factory | Estimator], folds: int = FOLDS, parallelism: int = 1, resume: str | None = None
 ) -> list[tuple]:
     """Score rows of every estimator on every fold; one that fails is left out with a warning.
 
-    ``parallelism`` estimators are fitted side by side on the vectors of a fold.
+    Only errors of the estimator count as that. Others are raised; what was finished stands in a ledger, whose path the log
+    names, and ``resume`` with that path does the rest. ``parallelism`` estimators are fitted side by side on the vectors of a
+    fold; trees are grown together for all folds.
     """
+    spark = task.train.sparkSession
+    ledger, together = Ledger(spark, resume), Folds(spark)
+    log.info("finished folds are kept in %s", ledger.path)
     folded = task.folded(folds)
     failed: set[str] = set()
-    rows: list[tuple] = []
+
+    def skip(name: str, k: int, error: Exception) -> None:
+        if not is_models_fault(error):
+            raise RuntimeError(f"the comparison broke off at {name}, fold {k}; resume it with the ledger {ledger.path}") from error
+        log.warning("candidate %s failed on fold %d and is skipped: %s", name, k, error)
+        failed.add(name)
+
     for k in range(folds):
+        if all(ledger.has(name, k) for name in estimators):
+            continue
         training, held_out = folded.where(F.col(FOLD) != k).drop(FOLD), folded.where(F.col(FOLD) == k).drop(FOLD)
         prepared = task.prepare(training)
         seen = task.kept_vectors(prepared, training)
         unseen = task.kept_vectors(prepared, held_out)
         try:
-            shape = task.shape(seen, prepared)
+            shape, present = task.shape(seen, prepared), {}
+            for name in estimators:
+                if name not in failed and not ledger.has(name, k):
+                    try:
+                        present[name] = made(estimators[name], shape)
+                    except Exception as error:
+                        skip(name, k, error)
+            trees = {n: e for n, e in present.items() if isinstance(e, TreeFamily)}
+            if trees:
+                together.add(k, seen, unseen, trees)
 
             def one(name: str) -> list[tuple]:
                 started = time.perf_counter()
                 try:
-                    scores = task.scores(made(estimators[name], shape).fit(seen).transform(unseen))
+                    scores = task.scores(present[name].fit(seen).transform(unseen))
                 except Exception as error:
-                    log.warning("candidate %s failed on fold %d and is skipped: %s", name, k, error)
-                    failed.add(name)
+                    skip(name, k, error)
                     return []
                 seconds = time.perf_counter() - started
                 return [(name, k, metric, float(score), seconds) for metric, score in scores.items()]
 
-            names = [n for n in estimators if n not in failed]
+            names = [n for n in present if n not in trees]
             if parallelism > 1:
                 with ThreadPoolExecutor(parallelism) as pool:
                     found = list(pool.map(inheritable_thread_target(one), names))
             else:
                 found = [one(n) for n in names]
-            rows += [r for group in found for r in group]
+            ledger.add([r for group in found for r in group])
         finally:
             seen.unpersist()
             unseen.unpersist()
-    return [r for r in rows if r[0] not in failed]
+    if together.names:
+        scored = together.scores(task.labels is not None)
+        ledger.add([(name, k, metric, float(scores[metric]), seconds) for k, name, scores, seconds in scored for metric in SCORES[task.problem]])
+    order = {name: i for i, name in enumerate(estimators)}
+    rows = [r for r in ledger.rows if r[0] in order and r[0] not in failed and r[1] < folds]
+    return sorted(rows, key=lambda r: (r[1], order[r[0]]))
 
 
 def compare_models(
-    task: Task, models: Mapping[str, Factory | Estimator] | None = None, folds: int = FOLDS, parallelism: int = 1
+    task: Task, models: Mapping[str, Factory | Estimator] | None = None, folds: int = FOLDS, parallelism: int = 1, resume: str | None = None
 ) -> DataFrame:
-    """``(model, fold, metric, score, seconds)`` for every candidate."""
-    rows = cross_validate(task, models or candidates(task.problem), folds, parallelism)
+    """``(model, fold, metric, score, seconds)`` for every candidate; ``resume`` as in ``cross_validate``."""
+    rows = cross_validate(task, models or candidates(task.problem), folds, parallelism, resume)
     return task.train.sparkSession.createDataFrame(rows, FOLD_SCORES)
 
 

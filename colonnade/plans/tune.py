@@ -38,11 +38,12 @@ def tune(
     folds: int = FOLDS,
     parallelism: int = 1,
     seed: int = SEED,
+    resume: str | None = None,
 ) -> Tuned:
     """Searches the space of a family on shared folds and refits the best combination.
 
     A family without a space is fitted with its defaults. The preparation of a
-    fold is fitted once and serves all combinations.
+    fold is fitted once and serves all combinations. ``resume`` as in ``cross_validate``.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {', '.join(METHODS)}, not {method!r}")
@@ -52,7 +53,7 @@ def tune(
     tried = draws(space, count, seed) if method == "randomized" else grid(space)
     variants = {str(i): with_params(model, params) for i, params in enumerate(tried)}
     totals: dict[str, list[float]] = {}
-    for variant, _, metric, score, _ in cross_validate(task, variants, folds, parallelism):
+    for variant, _, metric, score, _ in cross_validate(task, variants, folds, parallelism, resume):
         if metric == task.primary:
             totals.setdefault(variant, []).append(score)
     if not totals:
