@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, functions as F
 from colonnade.llm.frames import map_rows
 
 NONE = np.iinfo(np.int64).max
-#: Entries of the tables of known words, and of known pieces, in each Python worker; beyond, those not met lately go.
-KNOWN_WORDS = 600_000
+#: Bytes, about, that a Python worker spends on each of its tables of known words and pieces; beyond, those not met lately go.
+KNOWN_BYTES = 24_000_000
+#: What an entry takes beside its strings.
+ENTRY_BYTES = 300
 #: Characters of text that are worked on together.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
 #: What is white space for ``str.split`` but not for the vocabulary's patterns.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 WHITE = regex.compile(r"\s+")
@@ -55,6 +57,12 @@ class WordBpe:
         self.older: dict[str, tuple[bytes, str]] = {}
         self.known_pieces: dict[str, tuple[bytes, str]] = {}
         self.older_pieces: dict[str, tuple[bytes, str]] = {}
+        self.size = self.pieces_size = 0
+
+    def forget(self) -> None:
+        """Drops what is known of words; the vocabulary stays."""
+        self.known, self.older, self.known_pieces, self.older_pieces = {}, {}, {}, {}
+        self.size = self.pieces_size = 0
 
     @classmethod
     def load(cls, path: str) -> WordBpe:
@@ -155,12 +163,10 @@ class WordBpe:
         name = self.tokens.__getitem__
         for piece, ids in zip(rest, self.merge_pieces([p.encode("utf-8", "surrogatepass") for p in rest])):
             coded[piece] = _little(ids), " ".join(map(name, ids))
-        if len(coded) > KNOWN_WORDS // 2:
-            self.older_pieces, self.known_pieces = coded, {}
-        elif len(self.known_pieces) + len(coded) > KNOWN_WORDS // 2:
-            self.older_pieces, self.known_pieces = self.known_pieces, coded
-        else:
-            self.known_pieces.update(coded)
+        if self.pieces_size > KNOWN_BYTES:
+            self.older_pieces, self.known_pieces, self.pieces_size = self.known_pieces, {}, 0
+        self.known_pieces.update(coded)
+        self.pieces_size += sum(ENTRY_BYTES + 3 * len(p) for p in coded)
         for word, pieces in zip(words, found):
             if len(pieces) == 1:
                 self.known[word] = coded[pieces[0]]
@@ -182,9 +188,10 @@ class WordBpe:
     def recall(self, wanted: set[str]) -> None:
         """Makes every wanted word known. Of the known words, those not met lately go first."""
         missing = [w for w in wanted if w not in self.known]
-        if len(self.known) + len(missing) > KNOWN_WORDS // 2:
-            self.older, self.known = self.known, {}
+        if self.size > KNOWN_BYTES:
+            self.older, self.known, self.size = self.known, {}, 0
             missing = wanted
+        self.size += sum(ENTRY_BYTES + 3 * len(w) for w in missing)
         got, missing = self._recalled(missing, {}, self.older)
         self.known.update(got)
         self.learn(missing)
@@ -238,7 +245,7 @@ _LOADED: dict[str, WordBpe] = {}
 
 
 def vocabulary(path: str) -> WordBpe:
-    """One copy per Python worker; the known words live as long as the worker."""
+    """One copy per Python worker; what is known of words lives as long as a partition."""
     if path not in _LOADED:
         _LOADED[path] = WordBpe.load(path)
     return _LOADED[path]
@@ -253,13 +260,17 @@ def _encoded(rows: Iterable[tuple], path: str) -> Iterator[tuple]:
         for (doc, _), (ids, text) in zip(held, coder.encode_many([t or "" for _, t in held])):
             yield doc, ids, text
 
-    for doc, text in rows:
-        held.append((doc, text))
-        size += len(text or "")
-        if size > CHUNK_CHARS:
-            yield from flush()
-            held, size = [], 0
-    yield from flush()
+    try:
+        for doc, text in rows:
+            held.append((doc, text))
+            size += len(text or "")
+            if size > CHUNK_CHARS:
+                yield from flush()
+                held, size = [], 0
+        yield from flush()
+    finally:
+        # A worker goes on to other partitions and stages.
+        vocabulary(path).forget()
 
 
 def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -56,6 +56,22 @@ def map_rows(df: DataFrame, rows: Callable[[Iterable[tuple]], Iterable[tuple]],
     return df.mapInArrow(run, target)
 
 
+def mapped(function: Callable, kind: str):
+    """A column function that computes ``function`` for each row in Python; all other columns stay where they are."""
+
+    def run(*columns: pa.Array) -> pa.Array:
+        out = []
+        for at in range(0, len(columns[0]), 256):
+            out += map(function, *(c.slice(at, 256).to_pylist() for c in columns))
+        return pa.array(out, target)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import DataType
+
+    target = to_arrow_type(DataType.fromDDL(kind))
+    return F.arrow_udf(run, kind)
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)

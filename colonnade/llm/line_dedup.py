@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from colonnade.llm.frames import map_rows, row_hash, staged, utf8
+from colonnade.llm.frames import map_rows, mapped, row_hash, staged, utf8
 
 BLANK = b" \t\n\v\f\r"
 MIN_CHARS = 10
@@ -119,17 +119,8 @@ def with_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the dropped lines gone from its text; all other columns as they were. A null text becomes empty."""
     kept = with_bitmaps(docs, id_col, text_col, min_chars)
-    texts = kept.select("source", F.col(f"source.{text_col}").alias("text"), "keep")
-    shape = texts.schema["source"].dataType
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            text = [apply_bitmap(t, k) for t, k in zip(batch.column("text").to_pylist(), batch.column("keep").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("source"), pa.array(text, pa.string())], ["source", "text"])
-
-    from pyspark.sql import types as T
-
-    out = texts.mapInArrow(run, T.StructType([T.StructField("source", shape), T.StructField("text", T.StringType())]))
+    # Texts that keep all their lines stay out of Python.
+    rest = mapped(apply_bitmap, "string")(F.when(F.col("keep").isNotNull(), F.col(f"source.`{text_col}`")), "keep")
+    whole = F.coalesce(F.col(f"source.`{text_col}`"), F.lit(""))
+    out = kept.select("source", F.when(F.col("keep").isNull(), whole).otherwise(rest).alias("text"))
     return out.select(*(F.col("text").alias(c) if c == text_col else F.col(f"source.`{c}`").alias(c) for c in docs.columns))

@@ -7,6 +7,8 @@ how many documents of each length are taken; which ones follows from a seeded ha
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -16,8 +18,8 @@ from colonnade.llm.frames import WORD, staged
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
-#: Words of each budget that are left to the exact fill: more of them only where fewer do not meet the budget.
-FILL_WORDS = (1 << 12, 1 << 16, 1 << 18)
+#: Words of a budget that are first left to the exact fill; more and more of them, up to all, where fewer do not meet the budget.
+FILL_WORDS, FILL_GROWTH = 1 << 12, 16
 #: Documents of one length are told apart by this many ranges of their hash first, and ranked within one range only.
 RANGES = 1 << 12
 
@@ -61,14 +63,19 @@ def fit_counts(counts: dict[int, int], budget: int) -> dict[int, int]:
         return counts
     if budget <= 0:
         return {}
+    # Sums are multiples of what all lengths are multiples of.
+    unit = math.gcd(*counts)
+    counts, budget, total = {size // unit: n for size, n in counts.items()}, budget // unit, total // unit
     best: dict[int, int] = {}
-    for fill in FILL_WORDS:
+    fill = FILL_WORDS
+    while True:
         taken = _fill(counts, budget, total, fill)
         if _words(taken) > _words(best):
             best = taken
+        # With all words left to the fill there is no better sum.
         if _words(best) == budget or fill >= budget:
-            break
-    return best
+            return {size * unit: n for size, n in best.items()}
+        fill *= FILL_GROWTH
 
 
 def _words(taken: dict[int, int]) -> int:
@@ -78,7 +85,7 @@ def _words(taken: dict[int, int]) -> int:
 def _fill(counts: dict[int, int], budget: int, total: int, fill: int) -> dict[int, int]:
     """A share of every length's count, and about ``fill`` words by the knapsack table."""
     # The same share of every length, the rounding carried on from long to short, short of what is left to the fill.
-    first = max(0, budget - max(fill, min(counts)))
+    first = max(0, budget - max(fill, min(counts))) if fill < budget else 0
     taken, due = {}, 0.0
     for size in sorted(counts, reverse=True):
         due += counts[size] * size * first / total
@@ -94,19 +101,29 @@ def _fill(counts: dict[int, int], budget: int, total: int, fill: int) -> dict[in
     reach, steps, mask = 1, [], (1 << (rest + 1)) - 1
     for size in sorted(counts):
         left, part = min(counts[size] - taken[size], rest // size), 1
-        while left:
+        while left and not reach >> rest & 1:
             part = min(part, left)
-            steps.append((size, part, reach))
+            steps.append((size, part))
             reach |= (reach << (size * part)) & mask
             left -= part
             part *= 2
-        if reach == mask:
-            break
     at = reach.bit_length() - 1
-    for size, part, before in reversed(steps):
-        if not before >> at & 1:
-            taken[size] += part
-            at -= size * part
+    # The way back needs the sums before each step: some are kept, those between them made again.
+    stride = max(1, math.isqrt(len(steps)))
+    kept, reach = [], 1
+    for i, (size, part) in enumerate(steps):
+        if i % stride == 0:
+            kept.append(reach)
+        reach |= (reach << (size * part)) & mask
+    for block in range(len(kept) - 1, -1, -1):
+        some = steps[block * stride:(block + 1) * stride]
+        before = [kept[block]]
+        for size, part in some[:-1]:
+            before.append(before[-1] | (before[-1] << (size * part)) & mask)
+        for (size, part), known in zip(reversed(some), reversed(before)):
+            if not known >> at & 1:
+                taken[size] += part
+                at -= size * part
     return {size: n for size, n in taken.items() if n}
 
 
@@ -172,6 +189,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
+def _order(docs: DataFrame):
+    """The row, or its text where it has a column without order, so that rows of one id, text and source are always taken alike."""
+    plain = not any(kind in t for _, t in docs.dtypes for kind in ("map<", "variant"))
+    return F.col("whole") if plain else F.to_json("whole")
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it is taken, with their columns as they were."""
     plan = mix(docs, id_col, text_col, source_col, **settings)
@@ -182,7 +205,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     whole = docs.select(
         F.struct(*(docs[c] for c in docs.columns)).alias("whole"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row"),
         F.col(source_col).alias("source"),
-    ).withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
+    ).withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(_order(docs))))
     same = F.col("id").eqNullSafe(F.col("p_id")) & (F.col("row") == F.col("p_row")) & F.col("source").eqNullSafe(F.col("p_source"))
     taken = whole.join(plan, same & (F.col("nth") == F.col("p_nth")))
     copies = taken.select("whole", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("again"))

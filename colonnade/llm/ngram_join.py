@@ -25,10 +25,10 @@ from colonnade.llm.frames import map_rows, staged
 WORDS = 5
 #: Similarity in hundredths.
 LEAST = 75
-#: Sets of a family that a task handles at once; larger families are joined part by part.
-PART = 1024
-#: Words whose hash a worker remembers.
-KNOWN_WORDS = 250_000
+#: Sets of a family that a task handles at once, and shingles of them all; larger families are joined part by part.
+PART, PART_SHINGLES = 1024, 600_000
+#: Words whose hash a worker remembers, while it works on one block.
+KNOWN_WORDS = 100_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,6 +75,7 @@ def overlap_needed(a: int, b: int, least: int = LEAST) -> int:
 def _block_sets(data: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
     ids, bounds, text = unpack_block(data)
     empty = np.zeros(0, np.uint64)
+    _WORD_HASH.clear()
     return ids, [shingles(text[a:b]) if doc != NO_ID else empty for doc, a, b in zip(ids.tolist(), bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
@@ -117,7 +118,8 @@ class Tree:
 
     def __init__(self, sets: list[np.ndarray], sizes: list[int]):
         self.sets, self.sizes = sets, sizes
-        self.order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
+        # Large numbers first in bytes: they sort as the lists of numbers do.
+        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
         ordered = [sets[i] for i in self.order]
         self.shared = [0] + [_common(a, b) for a, b in zip(ordered, ordered[1:])] + [0]
         #: Nodes as (from depth, to depth, first set, end of sets, fewest shingles, longest rest, children).
@@ -282,7 +284,9 @@ def _links(sets: DataFrame, least: int) -> DataFrame:
     lists = listed.groupBy("token").agg(F.min("key").alias("head"), F.max("key").alias("other")).where(F.col("head") != F.col("other")).drop("other")
     met = listed.join(lists, "token").where(F.col("key") != F.col("head")).select("key", "head").distinct()
     families = components(met, "key", "head")
-    sizes = families.groupBy("label").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    lengths = map_rows(sets.select("digest", "n"), lambda rows: ((int.from_bytes(d[:8], "little", signed=True), n) for d, n in rows), "key bigint, n bigint")
+    load = F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("n") / PART_SHINGLES))
+    sizes = families.join(lengths, F.col("node") == F.col("key")).groupBy("label").agg(load.cast("int").alias("parts"))
     families = families.join(sizes, "label")
     keyed = map_rows(
         sets, lambda rows: ((int.from_bytes(d[:8], "little", signed=True), d, n, t, c) for d, n, _, t, c in rows),

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colonnade.llm.frames import map_rows, utf8
+from colonnade.llm.frames import map_rows, mapped, utf8
 
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 #: Labelled rows that the rules are learned from: those with the smallest hash of their id.
@@ -239,18 +239,9 @@ def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
 
 def keep_good(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns as they were."""
-    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("source"), F.col(text_col).alias("body"))
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            stats = [text_stats(t) for t in batch.column("body").to_pylist()]
-            columns = [pa.array([s[i] for s in stats], pa.int64()) for i in range(len(STATS))]
-            yield pa.RecordBatch.from_arrays([batch.column("source"), *columns], ["source", *STATS])
-
-    from pyspark.sql import types as T
-
-    shape = T.StructType([T.StructField("source", whole.schema["source"].dataType), *(T.StructField(s, T.LongType()) for s in STATS)])
-    judged = whole.mapInArrow(run, shape).where(~base_failed() & verdict(rules))
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("source"))
+    counted = mapped(lambda text: dict(zip(STATS, text_stats(text))), "struct<" + ", ".join(f"{s}: bigint" for s in STATS) + ">")
+    # Only the text goes to Python, and only numbers come back.
+    stats = whole.select("source", counted(F.col(f"source.`{text_col}`")).alias("stats")).select("source", "stats.*")
+    judged = stats.where(~base_failed() & verdict(rules))
     return judged.select(*(F.col(f"source.`{c}`").alias(c) for c in docs.columns))

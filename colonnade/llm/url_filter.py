@@ -13,8 +13,9 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
-from colonnade.llm.frames import map_rows
+from colonnade.llm.frames import map_rows, staged
 
 #: Labelled rows that rules are mined from: those with the smallest hash of id and url.
 TRAIN_ROWS = 50_000
@@ -93,9 +94,26 @@ def telling(n: int) -> Column:
     return (F.col("lift") >= MIN_LIFT) | (sure >= share + MIN_GAIN * (1 - share)) & (low > share)
 
 
+def merged_tokens(items: DataFrame) -> DataFrame:
+    """``items`` with one token for each group of tokens that stand in the same rows, the first by name.
+
+    Such tokens make the same rules, and k of them 2^k frequent sets: a long url that comes often enough would never end.
+    """
+    numbered = items.withColumn("row", F.monotonically_increasing_id())
+    single = numbered.select("row", F.explode("items").alias("item"))
+    # Two hashes of the row number, added up, tell sets of rows apart.
+    rows = [F.sum(F.xxhash64(F.lit(salt), "row").cast("decimal(38,0)")) for salt in (1, 2)]
+    alike = single.groupBy("item").agg(F.count("*").alias("n"), *[r.alias(f"h{i}") for i, r in enumerate(rows)])
+    group = Window.partitionBy("n", "h0", "h1")
+    first = alike.select("item", F.when(F.col("item").startswith("y:"), F.col("item")).otherwise(F.min(F.when(~F.col("item").startswith("y:"), F.col("item"))).over(group)).alias("first"))
+    return single.join(first, "item").groupBy("row").agg(F.collect_set("first").alias("items")).select("items")
+
+
 def fit(urls: DataFrame, url_col: str = "url", label_col: str = "label", train_rows: int = TRAIN_ROWS, id_col: str | None = None) -> Rules:
     """Rules from labelled urls; label 0 is what gets blocked. Null labels are not used; without labels there are no rules.
 
+    Tokens that stand in the same rows count as one, under the first's name.
+
     With ``id_col`` rows of one url are drawn one by one; without it they come together.
     """
     key = F.lit(None).cast("string") if id_col is None else F.col(id_col)
@@ -103,10 +121,11 @@ def fit(urls: DataFrame, url_col: str = "url", label_col: str = "label", train_r
         urls.where(F.col(label_col).isNotNull()).select(key.alias("id"), F.col(url_col).alias("url"), F.col(label_col).alias("label"))
         .orderBy(F.xxhash64("id", "url"), "id", "url", "label").limit(train_rows)
     )
-    items = sample.select(F.array_append(tokens_of(F.col("url")), F.when(F.col("label") == 0, "y:bad").otherwise("y:good")).alias("items"))
+    items = staged(sample.select(F.array_append(tokens_of(F.col("url")), F.when(F.col("label") == 0, "y:bad").otherwise("y:good")).alias("items")), "url-tokens")
     n = items.count()
     if not n:
         return Rules([])
+    items = staged(merged_tokens(items), "url-items")
     model = FPGrowth(itemsCol="items", minSupport=max(MIN_SUPPORT, MIN_ROWS / n), minConfidence=MIN_CONFIDENCE).fit(items)
     found = model.associationRules.where(
         (F.element_at("consequent", 1) == "y:bad") & telling(n) & (F.size("antecedent") <= MAX_ITEMS)

@@ -9,6 +9,8 @@ from hypothesis import given, settings, strategies as st
 pytest.importorskip("colonnade.llm.queries")
 from colonnade.llm import bpe, components, html_text, line_dedup, mixing, ngram_join, quality_rules, queries, spot_signatures, suffix_dedup, toxicity, url_filter  # noqa: E402
 
+from colonnade.llm.frames import staged  # noqa: E402
+
 SHAPE = "doc_id bigint, text string, source string, id string, row int, key string, block string, size string, n bigint"
 LONG = " ".join(f"word{i % 977} of the" for i in range(40_000))
 
@@ -302,3 +304,43 @@ def test_similar_spot_sets_part_by_part(spark, small):
     docs = queries.table(spark, small, "documents")
     whole = sorted(spot_signatures.similar_sets(docs).collect())
     assert whole and sorted(spot_signatures.similar_sets(docs, part=2).collect()) == whole
+
+
+def test_a_long_url_that_comes_often_is_mined(spark):
+    words = "/".join(f"word{i}" for i in range(40))
+    rows = [(f"http://long.casino-win.net/{words}", 0)] * 50 + [(f"http://a{i}.fine.net/{i}", 1) for i in range(200)]
+    mined = url_filter.fit(spark.createDataFrame(rows, "url string, label int"))
+    assert mined.best(["h:casino", "h:long", "h:win", "p:word0"])[0] and mined.best(["h:fine", "h:net"]) == (None, None)
+
+
+def test_budgets_of_long_lengths_are_met_as_near_as_can_be():
+    assert mixing._words(mixing.fit_counts({300007: 3, 400009: 2, 500011: 2, 700001: 1}, 1_100_020)) == 1_100_010
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        counts = {int(s): int(n) for s, n in zip(rng.integers(1, 90, 5) * int(rng.integers(1, 2000)), rng.integers(1, 6, 5))}
+        total = sum(s * n for s, n in counts.items())
+        budget = int(rng.integers(0, total + 1))
+        sums = {0}
+        for s, n in counts.items():
+            sums = {a + s * k for a in sums for k in range(n + 1)}
+        taken = mixing.fit_counts(counts, budget)
+        assert all(0 <= n <= counts[s] for s, n in taken.items()) and mixing._words(taken) == max(a for a in sums if a <= budget)
+
+
+def test_families_of_long_sets_are_cut_by_their_shingles(spark, small, monkeypatch):
+    docs = queries.table(spark, small, "documents")
+    whole = sorted(map(repr, ngram_join.similar_groups(docs).collect()))
+    monkeypatch.setattr(ngram_join, "PART_SHINGLES", 300)
+    assert sorted(map(repr, ngram_join.similar_groups(docs).collect())) == whole
+
+
+def test_pipeline_stages_on_awkward_rows(spark, odd, empty, labels, tmp_path, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    shape = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, stats string"
+    for given in (odd, empty):
+        docs = given.selectExpr("doc_id", "text", "'en' AS lang", "source", "CAST(0 AS BIGINT) AS n_chars", "id", "'s' AS stats").to(spark.createDataFrame([], shape).schema)
+        for name, stage in pipeline.STAGES:
+            before, docs = docs, staged(stage(spark, docs, str(tmp_path)), "odd-stage")
+            assert docs.columns == before.columns or name == "bpe"
+        assert given is odd or docs.count() == 0
