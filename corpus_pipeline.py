@@ -16,24 +16,37 @@ from colonnade.llm.frames import staged
 from colonnade.llm.queries import table, vocabulary_path
 
 
+#: Rows that go to a Python worker at once: whole texts, of which the usual number would fill its memory.
+BATCH_ROWS = 1000
+
+
+def bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    bounded(spark)
     return quality_rules.keep_good(docs, quality_rules.fit(docs, table(spark, folder, "labels")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    bounded(spark)
     kept = line_dedup.dedup_lines(docs)
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    bounded(spark)
     return ngram_join.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    bounded(spark)
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    bounded(spark)
     return bpe.digests(docs, vocabulary_path(), with_ids=True).withColumnRenamed("id", "doc_id")
 
 
