@@ -15,7 +15,7 @@ HEADLINE = (
     "categorical_summary", "top_values", "quantiles_by_narrowing", "corr_pairs", "corr_wide", "outlier_report",
     "outlier_rows", "prepared_table", "frequency_encode", "split_shares", "fold_shares", "weighted_scores",
     "confusion", "roc_points", "roc_auc", "regression_metrics", "batch_score", "stream_score", "leaderboard",
-    "compare_classifiers", "compare_regressors", "shap_adds_up", "shap_beeswarm", "version_resolve",
+    "shap_adds_up", "shap_beeswarm", "version_resolve", "compare_regressors", "compare_classifiers",
 )
 
 
@@ -26,16 +26,25 @@ def main() -> None:
     spark = local_session("bench", cores)
     # The first jobs of a process pay for starting up; that is no property of a query.
     REGISTRY["table_size"](spark, folder).collect()
-    seconds = {}
+    seconds: dict[str, float] = {}
+
+    def report() -> None:
+        """One line with all figures so far; the last one counts."""
+        print(json.dumps({
+            "metric": "total wall-clock of the headline queries", "value": round(sum(seconds.values()), 3), "unit": "sec",
+            "queries": seconds, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"), "cpus": cores,
+        }), flush=True)
+
     for name in names:
         started = time.perf_counter()
         REGISTRY[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - started, 3)
         print(f"{name}: {seconds[name]}", file=sys.stderr)
-    print(json.dumps({
-        "metric": "total wall-clock of the headline queries", "value": round(sum(seconds.values()), 3), "unit": "sec",
-        "queries": seconds, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"), "cpus": cores,
-    }))
+        # Kept on disk as well, so that a run that is broken off still has figures.
+        if out := os.environ.get("BENCH_OUT"):
+            with open(out, "w", encoding="utf-8") as file:
+                json.dump(seconds, file)
+    report()
 
 
 if __name__ == "__main__":

@@ -8,31 +8,28 @@ from pyspark.sql import functions as F
 from colonnade.operators import lookup, split
 from colonnade.plans import prepare, steps
 
-CITIES = ["Delhi", "Mumbai", "Pune", None]
+RIVERS = ["Elbe", "Oder", "Spree", None]
 
 
 @pytest.fixture(scope="module")
 def train(spark):
-    data = []
-    for i in range(25):
-        city = "Delhi" if i % 4 == 0 else CITIES[1:][i % 3]
-        data.append((i, None if i == 5 else 22 + (3 * i) % 40, city, f"R{i % 15}"))
-    return spark.createDataFrame(data, "id int, age int, city string, region_code string")
+    data = [(i, None if i == 8 else 7 * i * i % 31, RIVERS[(0, 0, 1, 2, 3)[i % 5]], f"G{i % 13}") for i in range(27)]
+    return spark.createDataFrame(data, "id int, depth int, river string, gauge string")
 
 
-ROLES = {"age": "numerical", "city": "categorical", "region_code": "categorical"}
+ROLES = {"depth": "numerical", "river": "categorical", "gauge": "categorical"}
 
 
-def ages(train):
-    return sorted(r["age"] for r in train.collect() if r["age"] is not None)
+def depths(train):
+    return sorted(r["depth"] for r in train.collect() if r["depth"] is not None)
 
 
 def test_test_rows_get_the_median_and_mode_of_training(spark, train):
     model = steps.ExactImputer(ROLES).fit(train)
-    test = spark.createDataFrame([(1, None, None, "R1"), (2, 999, "Goa", "R2")], train.schema)
-    known = ages(train)
-    median = (known[11] + known[12]) / 2
-    assert rows(model.transform(test), "age", "city") == [(median, "Delhi"), (999.0, "Goa")]
+    test = spark.createDataFrame([(1, None, None, "G1"), (2, 999, "Rhine", "G2")], train.schema)
+    known = depths(train)
+    median = (known[12] + known[13]) / 2
+    assert rows(model.transform(test), "depth", "river") == [(median, "Elbe"), (999.0, "Rhine")]
 
 
 def test_column_without_values_becomes_missing(spark):
@@ -42,10 +39,10 @@ def test_column_without_values_becomes_missing(spark):
 
 
 def test_encoding(spark, train):
-    model = steps.CategoryEncoder(ROLES).fit(train.fillna({"city": "Delhi"}))
-    out = model.transform(spark.createDataFrame([(1, 1, "Pune", "R0"), (2, 2, "Paris", "R99")], train.schema))
-    assert out.columns == ["id", "age", "city_Delhi", "city_Mumbai", "city_Pune", "region_code_freq"]
-    assert rows(out, *out.columns[2:]) == [(0.0, 0.0, 0.0, 0.0), (0.0, 0.0, 1.0, 2 / 25)]
+    model = steps.CategoryEncoder(ROLES).fit(train.fillna({"river": "Elbe"}))
+    out = model.transform(spark.createDataFrame([(1, 1, "Spree", "G0"), (2, 2, "Rhine", "G99")], train.schema))
+    assert out.columns == ["id", "depth", "river_Elbe", "river_Oder", "river_Spree", "gauge_freq"]
+    assert rows(out, *out.columns[2:]) == [(0.0, 0.0, 0.0, 0.0), (0.0, 0.0, 1.0, 3 / 27)]
 
 
 def test_awkward_names_and_levels(spark):
@@ -57,24 +54,24 @@ def test_awkward_names_and_levels(spark):
 
 
 def test_ids_are_dropped_and_unfitted_models_refuse(spark, train):
-    df = train.select(F.col("id").alias("passenger_id"), "age").unionByName(
-        spark.range(25, 30).select(F.col("id").cast("int").alias("passenger_id"), F.lit(3).alias("age")))
-    assert steps.IdDropper().fit(df).transform(df).columns == ["age"]
+    df = train.select(F.col("id").alias("gauge_id"), "depth").unionByName(
+        spark.range(27, 33).select(F.col("id").cast("int").alias("gauge_id"), F.lit(3).alias("depth")))
+    assert steps.IdDropper().fit(df).transform(df).columns == ["depth"]
     with pytest.raises(RuntimeError, match="not been fitted"):
         steps.IdDropperModel().transform(df)
 
 
 def test_scaling_uses_training_values(spark):
-    df = spark.createDataFrame([(22 + (3 * i) % 40, 5.0) for i in range(30)], "age int, k double")
-    kinds = {"age": "numerical", "k": "numerical"}
+    df = spark.createDataFrame([(7 * i * i % 31, 5.0) for i in range(24)], "depth int, k double")
+    kinds = {"depth": "numerical", "k": "numerical"}
     standard = steps.Scaler("standard", kinds).fit(df)
     scaled = standard.transform(df)
-    assert scaled.agg(F.avg("age")).first()[0] == pytest.approx(0)
-    assert scaled.agg(F.stddev_pop("age")).first()[0] == pytest.approx(1)
+    assert scaled.agg(F.avg("depth")).first()[0] == pytest.approx(0)
+    assert scaled.agg(F.stddev_pop("depth")).first()[0] == pytest.approx(1)
     assert scaled.agg(F.max(F.abs("k"))).first()[0] == 0
-    assert standard.transform(spark.createDataFrame([(999, 5.0)], df.schema)).first()["age"] > 5
+    assert standard.transform(spark.createDataFrame([(999, 5.0)], df.schema)).first()["depth"] > 5
     ranged = steps.Scaler("minmax", kinds).fit(df).transform(df)
-    assert ranged.agg(F.min("age"), F.max("age"), F.max("k")).first()[:] == (0.0, 1.0, 0.0)
+    assert ranged.agg(F.min("depth"), F.max("depth"), F.max("k")).first()[:] == (0.0, 1.0, 0.0)
     with pytest.raises(ValueError, match="standard, minmax"):
         steps.Scaler("robust")
 
@@ -95,16 +92,16 @@ def test_dates_become_parts(spark):
 
 @pytest.fixture(scope="module")
 def whole(spark):
-    data = [(None if i == 3 else 20.0 + i * 1.5, CITIES[i % 4], i % 5 == 0, f"2023-02-{1 + i % 27:02d}", f"c{i % 13}", i % 2)
+    data = [(None if i == 11 else 0.1 * i * i - 4, RIVERS[i % 4], i % 5 == 0, f"2023-02-{1 + i % 27:02d}", f"c{i % 13}", i % 2)
             for i in range(50)]
-    return spark.createDataFrame(data, "age double, city string, member boolean, day string, code string, target int")
+    return spark.createDataFrame(data, "depth double, river string, member boolean, day string, code string, target int")
 
 
 def test_whole_preparation(spark, whole):
     pipeline = prepare.build_preparation(whole, exclude=["target"], assemble=True)
     by_steps = pipeline.fit(whole)
     out = by_steps.transform(whole)
-    assert "city" not in out.columns and "target" in out.columns
+    assert "river" not in out.columns and "target" in out.columns
     numeric = [t for c, t in out.dtypes if c not in ("features",)]
     assert set(numeric) <= {"int", "double"}
     assert out.dropna().count() == 50

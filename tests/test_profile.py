@@ -21,20 +21,21 @@ def frame(spark, columns: dict, schema: str):
 
 @pytest.fixture(scope="module")
 def valid(spark):
-    n = range(30)
+    """River gauges: a running number, a flow, a river of three, and whether the weir is open at every other one."""
+    n = range(28)
     return frame(spark, {
-        "age": [i + 1 for i in n], "salary": [30000 + 500 * i for i in n],
-        "city": [("Delhi", "Mumbai")[i % 2] for i in n], "purchased": [i % 2 for i in n],
-    }, "age int, salary int, city string, purchased int")
+        "gauge": [100 + i for i in n], "flow": [0.25 * i * i + 3.0 for i in n],
+        "river": [("Elbe", "Oder", "Spree")[i * i % 3] for i in n], "open": [(i + 1) % 2 for i in n],
+    }, "gauge int, flow double, river string, open int")
 
 
 def test_clean_table_is_valid(valid):
     assert validate.is_valid(validate.validate_table(valid))
     assert roles.infer_roles(valid) == {
-        "age": "id_like", "salary": "numerical", "city": "categorical", "purchased": "categorical"}
-    assert roles.problem_type(valid, "purchased") == "classification"
-    assert roles.problem_type(valid, "salary") == "regression"
-    assert roles.problem_type(valid, "city") == "classification"
+        "gauge": "id_like", "flow": "numerical", "river": "categorical", "open": "categorical"}
+    assert roles.problem_type(valid, "open") == "classification"
+    assert roles.problem_type(valid, "flow") == "regression"
+    assert roles.problem_type(valid, "river") == "classification"
 
 
 def test_few_rows_are_an_error(spark):
@@ -51,43 +52,44 @@ def test_empty_column_is_an_error_and_mostly_missing(valid):
 
 
 def test_half_missing_is_not_more_than_half(valid):
-    half = valid.withColumn("half", F.when(F.col("purchased") == 1, 1))
+    half = valid.withColumn("half", F.when(F.col("open") == 1, 1))
     assert validate.validate_table(half).isEmpty()
 
 
 def test_repeated_names_and_single_column(valid):
-    doubled = valid.select("age", F.col("salary").alias("age"))
-    assert ("repeated_name", "age") in rows(validate.validate_table(doubled), "rule", "column")
-    assert ("min_columns", None) in rows(validate.validate_table(valid.select("age")), "rule", "column")
+    doubled = valid.select("gauge", F.col("flow").alias("gauge"))
+    assert ("repeated_name", "gauge") in rows(validate.validate_table(doubled), "rule", "column")
+    assert ("min_columns", None) in rows(validate.validate_table(valid.select("gauge")), "rule", "column")
 
 
 def test_target_rules(valid):
     df = valid.withColumns({
-        "constant_target": F.lit(1), "holed": F.when(F.col("age") > 3, F.col("purchased")),
+        "constant_target": F.lit(1), "holed": F.when(F.col("gauge") > 104, F.col("open")),
         "nothing": F.lit(None).cast("int")})
 
     def rules(target):
         return rows(validate.validate_target(df, target), "rule", "value")
 
-    assert rules("purchased") == []
+    assert rules("open") == []
     assert rules("constant_target") == [("target_constant", 1.0)]
-    assert rules("nothing") == [("target_constant", 0.0), ("target_missing", 30.0)]
-    assert rules("holed") == [("target_missing", 3.0)]
+    assert rules("nothing") == [("target_constant", 0.0), ("target_missing", 28.0)]
+    assert rules("holed") == [("target_missing", 5.0)]
     assert rules("absent") == [("target_absent", None)]
 
 
 def test_missing_and_statistics(spark):
-    ages = [None if i == 3 else 20.0 + i for i in range(10)] * 3
+    n = range(27)
     df = frame(spark, {
-        "age": ages, "salary": [30000 + 733 * i for i in range(30)], "city": ["Delhi", "Pune", "Goa"] * 10,
-    }, "age double, salary int, city string")
-    assert rows(quality.missing_report(df), "column", "n_missing") == [("age", 3), ("city", 0), ("salary", 0)]
-    assert rows(quality.missing_total(df)) == [(3, 90, 3.33)]
-    assert rows(describe.table_size(df)) == [(30, 3)]
+        "depth": [None if i % 9 == 4 else 1.5 * (i % 9) for i in n], "volume": [311 + 47 * i * i for i in n],
+        "river": [("Elbe", "Oder", "Spree")[i // 2 % 3] for i in n],
+    }, "depth double, volume int, river string")
+    assert rows(quality.missing_report(df), "column", "n_missing") == [("depth", 3), ("river", 0), ("volume", 0)]
+    assert rows(quality.missing_total(df)) == [(3, 81, 3.7)]
+    assert rows(describe.table_size(df)) == [(27, 3)]
     found = roles.infer_roles(df)
-    assert found == {"age": "categorical", "salary": "numerical", "city": "categorical"}
-    assert [r["column"] for r in describe.numeric_summary(df, found).collect()] == ["salary"]
-    assert rows(describe.categorical_summary(df, found), "column", "mode") == [("age", "20.0"), ("city", "Delhi")]
+    assert found == {"depth": "categorical", "volume": "numerical", "river": "categorical"}
+    assert [r["column"] for r in describe.numeric_summary(df, found).collect()] == ["volume"]
+    assert rows(describe.categorical_summary(df, found), "column", "mode") == [("depth", "0.0"), ("river", "Elbe")]
 
 
 def test_nan_counts_as_missing(spark):
@@ -104,11 +106,10 @@ def test_high_risk_is_at_least_forty_percent(spark):
 
 def test_duplicates(spark):
     df = spark.createDataFrame(
-        [(i, *[(30, 1000, "Delhi"), (40, 2000, None), (50, 3000, "Goa")][i % 3]) for i in range(9)],
-        "id int, age int, salary int, city string")
+        [(i, *[(7, "Elbe"), (7, None), (None, "Elbe"), (9, "Spree")][i % 4]) for i in range(8)], "id int, gauge int, river string")
     plain = df.drop("id")
-    assert rows(quality.duplicate_count(plain)) == [(9, 6, 66.67)]
-    assert rows(quality.duplicate_rows(df, ["id"]), "id") == [(i,) for i in range(3, 9)]
+    assert rows(quality.duplicate_count(plain)) == [(8, 4, 50.0)]
+    assert rows(quality.duplicate_rows(df, ["id"]), "id") == [(i,) for i in range(4, 8)]
 
 
 def test_rows_that_only_join_to_the_same_text_differ(spark):
@@ -220,18 +221,19 @@ def test_moments_of_few_and_constant_values(spark, values, skew, kurt):
 
 @pytest.fixture(scope="module")
 def correlated(spark):
-    n = range(30)
+    """``low`` falls as ``high`` rises, ``other`` jumps about."""
+    n = range(26)
     return frame(spark, {
-        "x": [7 * i + 3 for i in n], "y": [2 * (7 * i + 3) + 1 for i in n], "z": [(41 * i + 17) % 97 for i in n],
-    }, "x int, y int, z int")
+        "high": [i * i - 3 * i for i in n], "low": [4 - 0.5 * (i * i - 3 * i) for i in n], "other": [29 * i * i % 53 for i in n],
+    }, "high int, low double, other int")
 
 
 def test_correlation(correlated):
     pairs = correlate.correlation_pairs(correlated)
-    assert rows(correlate.strong_pairs(pairs)) == [("x", "y", 1.0)]
-    assert [r["column"] for r in correlate.target_ranking(pairs, "x").collect()] == ["y", "z"]
+    assert rows(correlate.strong_pairs(pairs)) == [("high", "low", -1.0)]
+    assert [r["column"] for r in correlate.target_ranking(pairs, "high").collect()] == ["low", "other"]
     assert correlate.correlation_matrix(pairs).count() == 9
-    assert correlate.correlation_pairs(correlated, columns=["x"]).isEmpty()
+    assert correlate.correlation_pairs(correlated, columns=["high"]).isEmpty()
 
 
 def test_wide_correlation_equals_pandas(spark):
@@ -250,12 +252,12 @@ def test_wide_correlation_equals_pandas(spark):
 
 
 def test_outliers(spark):
-    values = [*range(45, 65), 500, -300]
-    df = spark.createDataFrame(list(enumerate(values)), "id int, score int")
-    bounds = outliers.fit_bounds(df, columns=["score"])
+    values = [*(2.5 + 0.5 * (i % 7) for i in range(24)), 90.0, -75.0]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, level double")
+    bounds = outliers.fit_bounds(df, columns=["level"])
     report = outliers.outlier_report(df, bounds).first()
-    assert (report["n_present"], report["iqr_count"]) == (22, 2)
-    assert rows(outliers.outlier_rows(df, bounds, ["id"]), "value") == [(-300.0,), (500.0,)]
+    assert (report["n_present"], report["iqr_count"]) == (26, 2)
+    assert rows(outliers.outlier_rows(df, bounds, ["id"]), "value") == [(-75.0,), (90.0,)]
 
 
 def test_constant_has_no_outliers_and_nan_is_none(spark):
