@@ -4,7 +4,10 @@ Up to a checked number of entries the table is broadcast. Beyond it, the
 entries holding at least one row in ``HOT_PARTS`` are broadcast - there are at
 most ``HOT_PARTS`` of them, whatever the data - and only the rows of other
 values are shuffled. A value that was rare when the table was made, or unknown
-to it, may hold many of the rows now, so these are salted.
+to it, may hold many of the rows now, so these are salted by the number of
+their task: equal rows of different tasks go apart, a task that is run again
+deals its rows as before, and no task gets more than a few inputs' rows of one
+value. Adaptive execution splits what is still too large.
 """
 
 from __future__ import annotations
@@ -43,14 +46,9 @@ def lookup(df: DataFrame, key: Column, table: DataFrame, entries: int, output: s
     spread = F.concat(F.lit("!"), F.spark_partition_id().cast("string"))
     routed = known.withColumn(
         _COLD, F.when(F.col(_PAYLOAD).isNull() & F.col(_KEY).isNotNull(), F.col(_KEY)).otherwise(spread)
-    ).withColumn(_SALT, F.pmod(F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns if not _is_map(df, c)]), F.lit(SALTS)).cast("int"))
+    ).withColumn(_SALT, F.spark_partition_id() % SALTS)
     return (
         routed.join(cold, [_COLD, _SALT], "left")
         .withColumn(output, F.coalesce(F.col(_PAYLOAD)["value"], F.col(_PAYLOAD + "_cold")["value"]))
         .drop(_KEY, _COLD, _SALT, _PAYLOAD, _PAYLOAD + "_cold")
     )
-
-
-def _is_map(df: DataFrame, name: str) -> bool:
-    """Whether a column holds a map, which has no hash."""
-    return "map<" in df.schema[name].dataType.simpleString()

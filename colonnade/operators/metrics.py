@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colonnade.functions.columns import col
-from colonnade.operators.running import running_sums
+from colonnade.operators.running import dense_numbers, running_sums
 
 
 def _known(df: DataFrame, y: str) -> DataFrame:
@@ -38,8 +38,8 @@ def confusion_cells(df: DataFrame, y: str = "label", p: str = "prediction", by:
 def confusion(df: DataFrame, y: str = "label", p: str = "prediction", zero_filled: bool = True) -> DataFrame:
     """``(actual, predicted, n)``; rows without a prediction are cells whose ``predicted`` is NULL.
 
-    ``zero_filled`` adds the pairs of labels that do not occur. Their number is the square of the number of labels, which
-    come to the driver: for a target with very many labels ask for the cells that occur.
+    ``zero_filled`` adds the pairs of labels that do not occur. The labels are numbered where they are, and a pair is a
+    number below the square of theirs; for a target with very many labels ask for the cells that occur.
     """
     cells = confusion_cells(df, y, p)
     if not zero_filled:
@@ -47,13 +47,13 @@ def confusion(df: DataFrame, y: str = "label", p: str = "prediction", zero_fille
     labels = cells.select(F.explode(F.array("actual", "predicted")).alias("label")).where(
         F.col("label").isNotNull()
     ).distinct()
-    known = sorted(r["label"] for r in labels.collect())
-    label_type = cells.schema["actual"].dataType
-    every = F.array(*[F.lit(v).cast(label_type) for v in known]) if known else F.array().cast(f"array<{label_type.simpleString()}>")
+    numbered = dense_numbers(labels, "label")
+    known = numbered.count()
     grid = (
-        df.sparkSession.range(1)
-        .select(F.explode(every).alias("actual"))
-        .select("actual", F.explode(every).alias("predicted"))
+        df.sparkSession.range(known * known)
+        .select(F.expr(f"id DIV {max(known, 1)}").alias("row"), F.expr(f"id % {max(known, 1)}").alias("column"))
+        .join(numbered.select(F.col("number").alias("row"), F.col("label").alias("actual")), "row")
+        .join(numbered.select(F.col("number").alias("column"), F.col("label").alias("predicted")), "column")
     )
     filled = grid.join(cells, ["actual", "predicted"], "left").select(
         "actual", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")

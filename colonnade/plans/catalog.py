@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +20,7 @@ from colonnade.functions.names import hints_at_id_column, safe_name
 from colonnade.operators import attribute, correlate, describe, metrics, outliers, profile, quality, quantiles, roles
 from colonnade.operators import score, split, validate
 from colonnade.plans import candidates, compare, curves, prepare, steps, tune
-from colonnade.plans.labels import LABEL, PREDICTION
+from colonnade.plans.labels import LABEL, PREDICTION, indexed, sorted_labels
 from colonnade.session import scratch_path
 from colonnade.sources import runs, tables, versions
 from colonnade.streaming import scoring
@@ -190,6 +190,40 @@ def target_rules(spark, folder):
     return _stacked(reports).select("table_name", "rule", "severity", "column", "value")
 
 
+@query
+def shape_rules(spark, folder):
+    """The rules on few rows, a single column and a repeated name."""
+    orders = table(spark, folder, "orders")
+    reports = {
+        "region": validate.validate_table(table(spark, folder, "region")),
+        "one_column": validate.validate_table(table(spark, folder, "customer").select("c_custkey")),
+        "repeated": validate.validate_table(orders.select("o_orderkey", F.col("o_totalprice").alias("o_orderkey"))),
+    }
+    return _stacked(reports).select("table_name", "rule", "severity", "column", "value")
+
+
+@query
+def hinted_roles(spark, folder):
+    """The same unique, not consecutive integers under names that hint at an identifier and names that do not."""
+    names = ("amount", "paid", "Row-Index", "GU_ID", "height", "in_dex")
+    return roles.roles_frame(table(spark, folder, "orders").select(*[(F.col("o_orderkey") * 3).alias(n) for n in names]))
+
+
+@query
+def overridden_roles(spark, folder):
+    """Given roles win, and those of columns that are not there are ignored."""
+    given = {"o_custkey": roles.CATEGORICAL, "o_totalprice": roles.CATEGORICAL, "absent": roles.NUMERICAL}
+    return roles.roles_frame(table(spark, folder, "orders"), given)
+
+
+@query
+def label_numbers(spark, folder):
+    """Class indices of a target with a class per customer, and of the customers' numbers."""
+    customers = table(spark, folder, "customer").select("c_custkey", "c_name")
+    numbered = indexed(customers, "c_name", sorted_labels(customers, "c_name")).withColumnRenamed(LABEL, "by_name")
+    return indexed(numbered, "c_custkey", sorted_labels(customers, "c_custkey")).withColumnRenamed(LABEL, "by_number")
+
+
 @query
 def drop_missing_target(spark, folder):
     orders = validate.drop_missing_target(_holed_orders(spark, folder), "o_orderpriority")
@@ -507,6 +541,10 @@ def _part_task(spark, folder):
     return compare.Task.of(parts, "p_retailprice", overrides={"p_partkey": roles.NUMERICAL})
 
 
+def _mean(shape):
+    return candidates.Baseline(roles.REGRESSION)
+
+
 def _line():
     return candidates.candidates(roles.REGRESSION)["linear_regression"]
 
@@ -526,6 +564,19 @@ def batch_score(spark, folder):
     return _rounded(score.score_batch(fitted, table(spark, folder, "part")), 4, "prediction")
 
 
+@query
+def scoring_missing_columns(spark, folder):
+    """A column the model needs is an error when it is missing, any other is not."""
+    fitted, parts = _part_task(spark, folder).fit(_line()), table(spark, folder, "part")
+    found = []
+    for dropped in ("p_name", "p_partkey"):
+        try:
+            found.append((dropped, score.score_batch(fitted, parts.drop(dropped)).count(), None))
+        except steps.MissingColumns as error:
+            found.append((dropped, 0, str(error)))
+    return spark.createDataFrame(found, "dropped string, n_scored bigint, error string")
+
+
 @query
 def stream_score(spark, folder):
     fitted = _part_task(spark, folder).fit(_line())
@@ -601,7 +652,7 @@ def compare_regressors(spark, folder):
 
 def _exact_regressors():
     """Candidates whose fits SQL can follow."""
-    return {"linear_regression": _line(), "mean": lambda shape: candidates.Baseline(roles.REGRESSION)}
+    return {"linear_regression": _line(), "mean": _mean}
 
 
 @query
@@ -640,6 +691,21 @@ def tune_grid(spark, folder):
     return _tuned(spark, tune.tune(task, "random_forest", _family(task, "random_forest"), "grid", candidates.GRIDS["random_forest"]))
 
 
+@query
+def tune_without_space(spark, folder):
+    """A family without a space is fitted as it is; a method that is not known is refused."""
+    task = _part_task(spark, folder)
+    found = tune.tune(task, "mean", _mean)
+    try:
+        tune.tune(task, "mean", _mean, "annealing")
+        refused = None
+    except ValueError as error:
+        refused = str(error)
+    scored = score.score_batch(found.fitted, table(spark, folder, "part"))
+    return scored.select("p_partkey", F.lit(found.method).alias("method"), F.lit(found.tried).alias("tried"),
+                         F.lit(refused).alias("refused"), F.round("prediction", 4).alias("prediction"))
+
+
 def _tuned(spark, found):
     row = [(found.model, found.method, found.score, {k: str(v) for k, v in found.params.items()}, found.tried)]
     return spark.createDataFrame(row, "model string, method string, score double, params map<string,string>, tried int").select(
@@ -660,6 +726,14 @@ def feature_importance(spark, folder):
     return curves.top_features(curves.feature_importance(fitted, spark))
 
 
+@query
+def line_importance(spark, folder):
+    """Absolute coefficients of a line that one column decides alone."""
+    task = _event_task(spark, folder)
+    found = curves.top_features(curves.feature_importance(task.fit(_line()), spark))
+    return _rounded(found, 3, "importance")
+
+
 # Attribution.
 
 def _forest_on_orders(spark, folder):
@@ -699,6 +773,18 @@ def shap_global(spark, folder):
     return attribute.top_global(attribute.explain_sample(explainer, orders, ["o_orderkey"]))
 
 
+@query
+def shap_global_exact(spark, folder):
+    """Mean absolute attributions of a stump, which its two levels and the background's mean decide."""
+    parts = table(spark, folder, "part").select("p_partkey", "p_size", "p_retailprice", F.expr("IF(p_size > 25, 10D, 0D)").alias("y"))
+    numbers = {"p_size": roles.NUMERICAL, "p_retailprice": roles.NUMERICAL}
+    task = compare.Task.of(parts, "y", ["p_partkey"], numbers, roles.REGRESSION)
+    fitted = task.fit(DecisionTreeRegressor(maxDepth=1, maxBins=64))
+    explainer = attribute.make_explainer(fitted, parts, ["p_partkey"])
+    shap = attribute.global_importance(attribute.explain(explainer, parts, ["p_partkey"]))
+    return _rounded(shap, 6, "mean_abs_shap")
+
+
 @query
 def shap_one_row(spark, folder):
     """The attributions of the dearest order give its probability."""
@@ -780,6 +866,39 @@ def version_datasets(spark, folder):
     return versions.datasets_with_versions(saved, deleted)
 
 
+def _filled_store(spark, folder):
+    """A store written step by step: the last two of three versions come into force, one is deleted, the first is promoted."""
+    task, parts = _part_task(spark, folder), table(spark, folder, "part")
+    store = versions.ModelStore(spark, scratch_path(spark, "store"))
+    fits = {"line": task.fit(_line()), "mean": task.fit(_mean)}
+    rows = parts.count()
+    for name in ("line", "mean", "mean"):
+        errors = metrics.regression_scores(score.score_batch(fits[name], parts), "p_retailprice", "prediction").first()
+        store.save("Parts (all).csv", name, task.problem, fits[name], {"rmse": errors["rmse"]}, {"scaling": task.scaling}, list(task.roles), rows)
+    store.delete("Parts (all).csv", 3)
+    store.promote("Parts (all).csv", 1)
+    return store
+
+
+@query
+def store_scores(spark, folder):
+    """Every part scored by the version in force, loaded from the store."""
+    fitted = _filled_store(spark, folder).load("Parts (all).csv")
+    return _rounded(score.score_batch(fitted, table(spark, folder, "part")), 4, "prediction")
+
+
+@query
+def store_versions(spark, folder):
+    """What the store says about its versions, and which one is in force."""
+    store = _filled_store(spark, folder)
+    current = store.metadata("Parts (all).csv")["version"]
+    return store.list_versions("Parts (all).csv").select(
+        "dataset", "version", "model_name", "problem", F.round(F.col("metrics")["rmse"], 4).alias("rmse"),
+        F.col("hyperparameters")["scaling"].alias("scaling"), F.array_join("feature_columns", ",").alias("features"),
+        "n_train_rows", (F.col("version") == current).alias("in_force"),
+    )
+
+
 @query
 def sanitize_name(spark, folder):
     return table(spark, folder, "pages").select("page_id", safe_name(F.col("url")).alias("name"))

@@ -30,7 +30,7 @@ from colonnade.operators.split import FOLDS, SEED, with_folds
 from colonnade.operators.validate import drop_missing_target
 from colonnade.plans.candidates import Factory, Shape, candidates, with_columns_of_ours
 from colonnade.plans.ensembles import PLACE, Folds, TreeFamily
-from colonnade.plans.labels import LABEL, PREDICTION, LabelDecoder, indexed, sorted_labels
+from colonnade.plans.labels import LABEL, PREDICTION, LabelDecoder, Labels, indexed, sorted_labels
 from colonnade.plans.prepare import feature_names, feature_roles, fit_preparation
 from colonnade.session import scratch_path
 
@@ -54,7 +54,7 @@ class Task:
     problem: str
     roles: dict[str, str]
     key_cols: tuple[str, ...]
-    labels: list[str] | None
+    labels: Labels | None
     missing: str = "error"
     scaling: str = "standard"
     seed: int = SEED

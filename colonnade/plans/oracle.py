@@ -464,6 +464,44 @@ SELECT p_partkey, s.feature, place::INT AS place, round(shap, 6) AS shap,
 WITH ordered AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(shap) DESC, feature) AS place FROM ({_SHAP}))
 SELECT p_partkey, place::INT AS place, feature, round(value, 6) AS value, round(shap, 6) AS shap,
   CASE WHEN shap > 0 THEN 'up' ELSE 'down' END AS pushes FROM ordered WHERE place <= 2""",
+    "shape_rules": """
+SELECT 'region' AS table_name, 'min_rows' AS rule, 'error' AS severity, NULL::VARCHAR AS "column", count(*)::DOUBLE AS value
+FROM region HAVING count(*) < 10
+UNION ALL SELECT 'one_column', 'min_columns', 'error', NULL, 1.0
+UNION ALL SELECT 'one_column', 'duplicate_rows', 'warning', NULL, count(*) - count(DISTINCT c_custkey) FROM customer
+  HAVING count(*) > count(DISTINCT c_custkey)
+UNION ALL SELECT 'repeated', 'repeated_name', 'error', 'o_orderkey', 2.0
+UNION ALL SELECT 'repeated', 'duplicate_rows', 'warning', NULL, sum(n - 1) FROM
+  (SELECT count(*) AS n FROM orders GROUP BY o_orderkey, o_totalprice) HAVING sum(n - 1) > 0""",
+    "hinted_roles": """
+WITH facts AS (SELECT count(*) AS n, count(DISTINCT o_orderkey) AS d FROM orders),
+names AS (SELECT unnest(['amount', 'paid', 'Row-Index', 'GU_ID', 'height', 'in_dex']) AS "column")
+SELECT "column", CASE
+  WHEN n > 20 AND d / n::DOUBLE > 0.95 AND regexp_matches(replace(replace(lower("column"), '_', ''), '-', ''), 'id|uuid|guid|index') THEN 'id_like'
+  WHEN d <= 20 OR d / n::DOUBLE <= 0.05 THEN 'categorical' ELSE 'numerical' END AS role FROM names, facts""",
+    "overridden_roles": f"""SELECT "column", CASE WHEN "column" IN ('o_custkey', 'o_totalprice') THEN 'categorical' ELSE role END AS role
+FROM ({_roles(["orders"])})""",
+    "label_numbers": """SELECT c_custkey, c_name, (dense_rank() OVER (ORDER BY c_name) - 1)::DOUBLE AS by_name,
+  (dense_rank() OVER (ORDER BY c_custkey) - 1)::DOUBLE AS by_number FROM customer""",
+    "scoring_missing_columns": """SELECT 'p_name' AS dropped, count(*) AS n_scored, NULL::VARCHAR AS error FROM part
+UNION ALL SELECT 'p_partkey', 0, 'missing columns: p_partkey'""",
+    "tune_without_space": """SELECT p_partkey, 'none' AS method, 0 AS tried,
+  'method must be one of randomized, grid, not ''annealing''' AS refused, (SELECT round(avg(p_retailprice), 4) FROM part) AS prediction FROM part""",
+    "line_importance": """SELECT 'value' AS feature, round(3 * stddev_pop(value), 3) AS importance FROM events
+UNION ALL SELECT DISTINCT 'event_type_' || event_type, 0.0 FROM events""",
+    "shap_global_exact": """
+WITH background AS (SELECT IF(p_size > 25, 10, 0) AS y FROM part ORDER BY ('0x' || md5('42|' || p_partkey)[1:13])::BIGINT LIMIT 100),
+base AS (SELECT avg(y) AS base FROM background)
+SELECT 'p_size' AS feature, round(avg(abs(IF(p_size > 25, 10, 0) - base)), 6) AS mean_abs_shap FROM part, base
+UNION ALL SELECT unnest(['p_retailprice', 'p_size_x_p_retailprice']), 0.0""",
+    "store_scores": f"SELECT part.*, round(start + slope * p_partkey, 4) AS prediction FROM part, ({_SLOPE})",
+    "store_versions": f"""
+WITH errors AS (SELECT sqrt(avg((p_retailprice - start - slope * p_partkey) ** 2)) AS line, stddev_pop(p_retailprice) AS mean, count(*) AS n
+  FROM part, ({_SLOPE})),
+saved AS (SELECT 1 AS version, 'line' AS model_name, round(line, 4) AS rmse, n, TRUE AS in_force FROM errors
+  UNION ALL SELECT 2, 'mean', round(mean, 4), n, FALSE FROM errors)
+SELECT 'parts__all_' AS dataset, version, model_name, 'regression' AS problem, rmse, 'standard' AS scaling,
+  'p_partkey' AS features, n AS n_train_rows, in_force FROM saved""",
     "version_next": f"SELECT dataset, max(version) + 1 AS next_version FROM ({_SAVED}) GROUP BY dataset",
     "version_resolve": _current(_DELETED),
     "version_delete": _current(f"{_DELETED} UNION ALL SELECT dataset, version FROM ({_PROMOTED})"),

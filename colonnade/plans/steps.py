@@ -2,7 +2,8 @@
 
 What a step has learned is one JSON param, so the models save and load like any
 other ``pyspark.ml`` stage. Only the frequency table of a column with very many
-values is too large for that; it is kept and saved as a parquet table.
+values is too large for that; it is kept and saved as a parquet table, as are
+the labels of a target with very many classes.
 Columns without a role pass through every step untouched.
 """
 
@@ -282,25 +283,31 @@ class CategoryEncoderModel(_Fitted):
         frequencies = [F.coalesce(col(f"{c}_freq"), F.lit(0.0)).alias(f"{c}_freq") for c in shares]
         return df.select(*[col(c) for c in untouched], *indicators, *frequencies)
 
+    @property
+    def keeps_table(self) -> bool:
+        return any(v is None for v in self.learned["shares"].values())
+
     def write(self) -> MLWriter:
-        return _EncoderWriter(self)
+        return _TableWriter(self)
 
     @classmethod
     def read(cls) -> MLReader:
-        return _EncoderReader(cls)
+        return _TableReader(cls)
+
 
+class _TableWriter(DefaultParamsWriter):
+    """Saves a model whose state is partly a table."""
 
-class _EncoderWriter(DefaultParamsWriter):
     def saveImpl(self, path: str) -> None:
         super().saveImpl(path)
         if self.instance._table is not None:
             self.instance._table.write.parquet(f"{path}/levels")
 
 
-class _EncoderReader(DefaultParamsReader):
+class _TableReader(DefaultParamsReader):
     def load(self, path: str):
         model = super().load(path)
-        if any(v is None for v in model.learned["shares"].values()):
+        if model.keeps_table:
             model._table = self.sparkSession.read.parquet(f"{path}/levels")
         return model
 

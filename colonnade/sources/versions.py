@@ -2,12 +2,21 @@
 
 Nothing is rewritten in place. Saving adds a row to ``model_versions``,
 promoting adds one to ``promotions``, deleting adds one to ``deletions``; what
-is current is a query. Numbers are never used twice. Two writers saving the
-same dataset at the same moment can draw the same number: let one job save.
+is current is a query. Numbers are never used twice.
+
+Any number of sessions may write at once. Every entry is a folder of its own
+with one file that appears when it is complete, so writers do not share the
+folder in which Spark prepares its output. A writer first claims a number: it
+appends a claim and reads the claims back. Of two writers with one number at
+least the later reader sees both claims, so at most one keeps it; whoever sees
+a rival draws again. A version is there once its row is, after its model.
 """
 
 from __future__ import annotations
 
+import random
+import time
+import uuid
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
@@ -24,6 +33,9 @@ VERSION = (
     "n_train_rows bigint, notes string, path string"
 )
 EVENT = "dataset string, version bigint, at timestamp"
+CLAIM = "dataset string, version bigint, claimed_by string"
+# Tries at a number, and seconds that the wait between them grows from.
+CLAIM_TRIES, CLAIM_WAIT = 20, 0.2
 
 
 class UnknownVersion(LookupError):
@@ -73,14 +85,27 @@ class ModelStore:
 
     def _read(self, table: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.folder}/{table}")
+            return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{self.folder}/{table}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], schema)
 
     def _append(self, table: str, schema: str, row: Sequence) -> None:
-        self.spark.createDataFrame([tuple(row)], schema).coalesce(1).write.mode("append").parquet(f"{self.folder}/{table}")
+        entry = f"{self.folder}/{table}/entry-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([tuple(row)], schema).coalesce(1).write.parquet(entry)
+
+    def _claim(self, name: str) -> int:
+        """A version number that no other writer has or gets."""
+        mine = F.col("dataset") == name
+        for attempt in range(CLAIM_TRIES):
+            taken = self._read("claims", CLAIM).select("dataset", "version").unionByName(self.versions.select("dataset", "version"))
+            version = (taken.where(mine).agg(F.max("version")).first()[0] or 0) + 1
+            self._append("claims", CLAIM, (name, version, uuid.uuid4().hex))
+            if self._read("claims", CLAIM).where(mine & (F.col("version") == version)).count() == 1:
+                return version
+            time.sleep(random.uniform(0, CLAIM_WAIT * 2 ** min(attempt, 6)))
+        raise TimeoutError(f"no free version number of {name} after {CLAIM_TRIES} tries")
 
     @property
     def versions(self) -> DataFrame:
@@ -107,10 +132,12 @@ class ModelStore:
         promote: bool = True,
         notes: str = "",
     ) -> Row:
-        """Stores a fitted pipeline as the next version; returns its record."""
+        """Stores a fitted pipeline as the next version; returns its record.
+
+        A save that fails leaves its number unused.
+        """
         name = safe_name_of(dataset)
-        last = self.versions.where(F.col("dataset") == name).agg(F.max("version")).first()[0]
-        version = (last or 0) + 1
+        version = self._claim(name)
         path = f"{self.folder}/models/{name}/v{version}-{safe_name_of(model_name)}"
         fitted.write().save(path)
         self._append("model_versions", VERSION, (

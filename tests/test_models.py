@@ -1,6 +1,7 @@
 """Evaluation, comparison, tuning, scoring, attribution and versions."""
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
 import numpy as np
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 
 from colonnade.functions import shapley
 from colonnade.operators import attribute, metrics, running, score
-from colonnade.plans import candidates, compare, curves, tune
+from colonnade.plans import candidates, compare, curves, labels, tune
 from colonnade.plans.steps import MissingColumns
+from colonnade.sources import versions
 from colonnade.sources.runs import RunLog
 from colonnade.sources.tables import TableError, land, malformed_lines, read_csv, read_parquet, write_csv
 from colonnade.sources.versions import ModelStore, UnknownVersion
@@ -56,14 +58,75 @@ def test_auc_counts_ties_half_and_needs_two_labels(spark):
     assert metrics.roc_auc(df.withColumn("label", F.when(F.col("score") > 0.8, 2.0).otherwise(F.col("label")))).first()[0] is None
 
 
-def test_running_sums_over_many_buckets(spark, monkeypatch):
-    monkeypatch.setattr(running, "BUCKET_ROWS", 10)
+@pytest.mark.parametrize("bucket_rows", [1000, 63, 10, 1])
+def test_running_sums_over_many_buckets(spark, monkeypatch, bucket_rows):
+    monkeypatch.setattr(running, "BUCKET_ROWS", bucket_rows)
     df = spark.range(500).select((F.col("id") * 7 % 500).cast("double").alias("x"), F.lit(1).cast("bigint").alias("n"))
     out = running.running_sums(df, "x", ["n"])
     assert out.where(F.col("n_upto") != 500 - F.col("x")).isEmpty()
     assert out.where("n_total != 500").isEmpty() and out.count() == 500
 
 
+def test_points_do_not_depend_on_the_number_of_ranges(spark, monkeypatch):
+    df = spark.range(20_000).select(
+        (F.xxhash64("id") % 7919 / 100.0).alias("score"), (F.xxhash64("id", F.lit(1)) % 3 == 0).cast("double").alias("label"))
+    def results():
+        return rows(metrics.roc_points(df)), rows(metrics.pr_points(df)), metrics.roc_auc(df).first()[0]
+
+    monkeypatch.setattr(running, "BUCKET_ROWS", 1_000)
+    few = results()
+    monkeypatch.setattr(running, "BUCKET_ROWS", 80)
+    monkeypatch.setattr(running, "BROADCAST_RANGES", 100)
+    assert results() == few and len(few[0]) > 5_000
+
+
+@pytest.mark.parametrize("bucket_rows", [1000, 7])
+def test_dense_numbers_of_texts(spark, monkeypatch, bucket_rows):
+    monkeypatch.setattr(running, "BUCKET_ROWS", bucket_rows)
+    texts = ["", "A", "a", "ä", "zz", *(f"t{i}" for i in range(60))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert rows(running.dense_numbers(df, "text")) == sorted(((t, i) for i, t in enumerate(sorted(texts))), key=repr)
+    assert running.dense_numbers(df.limit(0), "text").isEmpty()
+
+
+def test_very_many_classes(spark, tmp_path, monkeypatch):
+    """50,000 labels are numbered, decoded and counted without coming to the driver."""
+    monkeypatch.setattr(running, "BUCKET_ROWS", 7_000)
+    df = spark.range(100_000).select("id", (F.col("id") % 50_000 * 3 - 1).alias("y"))
+    found = labels.sorted_labels(df, "y")
+    assert isinstance(found, labels.LabelTable) and len(found) == 50_000
+    numbered = labels.indexed(df, "y", found)
+    assert numbered.where(F.col(labels.LABEL) != F.col("id") % 50_000).isEmpty() and numbered.count() == 100_000
+    decoder = labels.LabelDecoder.for_target(df, "y", found)
+    decoder.write().save(str(tmp_path / "decoder"))
+    for model in (decoder, labels.LabelDecoder.load(str(tmp_path / "decoder"))):
+        out = model.transform(numbered.withColumn(labels.PREDICTION, F.col(labels.LABEL)))
+        assert out.columns == ["id", "y", "prediction"] and out.where("y = prediction").count() == 100_000
+    cells = metrics.confusion(out, "y", zero_filled=False)
+    assert cells.where("actual = predicted AND n = 2").count() == 50_000
+    with pytest.raises(Exception, match="unknown label: 1"):
+        labels.indexed(df.select("id", F.lit(1).alias("y")), "y", found).collect()
+
+
+def test_a_table_of_labels_is_the_same_as_a_list(spark, task, monkeypatch):
+    def scored(fitted):
+        out = score.score_batch(fitted, task.train)
+        return rows(out.withColumn("prediction_probability", F.round("prediction_probability", 9)))
+
+    expected = scored(task.fit(FEW["logistic_regression"]))
+    monkeypatch.setattr(labels, "INLINE_CLASSES", 1)
+    many = compare.Task.of(task.train, task.target, task.key_cols, task.roles)
+    assert isinstance(many.labels, labels.LabelTable) and len(many.labels) == len(task.labels)
+    assert scored(many.fit(FEW["logistic_regression"])) == expected
+
+
+def test_confusion_fills_pairs(spark):
+    df = spark.createDataFrame([("a", "b"), ("c", "c"), ("c", None)], "label string, prediction string")
+    filled = {(r["actual"], r["predicted"]): r["n"] for r in metrics.confusion(df).collect()}
+    assert len(filled) == 10 and {k: n for k, n in filled.items() if n} == {("a", "b"): 1, ("c", "c"): 1, ("c", None): 1}
+    assert metrics.confusion(df.limit(0)).isEmpty()
+
+
 # Models.
 
 FEW = {
@@ -332,6 +395,31 @@ def test_model_store(spark, task, tmp_path):
     assert rows(score.score_batch(store.load("my_data"), task.train)) == rows(score.score_batch(fitted, task.train))
 
 
+def test_numbers_of_writers_at_once(spark, tmp_path):
+    """Sessions that draw at the same time get numbers of their own."""
+    folder = str(tmp_path / "store")
+    stores = [ModelStore(spark.newSession(), folder) for _ in range(3)]
+    with ThreadPoolExecutor(3) as pool:
+        drawn = list(pool.map(lambda store: [store._claim("data"), store._claim("data")], stores))
+    numbers = [n for pair in drawn for n in pair]
+    assert len(set(numbers)) == 6 and all(first < second for first, second in drawn)
+
+
+def test_a_rival_claim_is_seen(spark, tmp_path, monkeypatch):
+    """A claim that arrives between reading and writing makes the writer draw again."""
+    monkeypatch.setattr(versions, "CLAIM_WAIT", 0.0)
+    store, rival = ModelStore(spark, str(tmp_path / "store")), ModelStore(spark, str(tmp_path / "store"))
+    append, late = store._append, [1, 2]
+
+    def append_late(table, schema, row):
+        if late and row[1] == late[0]:
+            rival._append(table, schema, (row[0], late.pop(0), "rival"))
+        append(table, schema, row)
+
+    monkeypatch.setattr(store, "_append", append_late)
+    assert store._claim("data") == 3 and rival._claim("data") == 4
+
+
 def test_run_log(spark, task, tmp_path):
     log = RunLog(spark, str(tmp_path / "runs"))
     first = log.append("by hand", {"depth": 3}, {"accuracy": 0.5}, {"stage": "trial"})

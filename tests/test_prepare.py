@@ -196,6 +196,25 @@ def test_lookup_of_a_value_hot_only_now(spark, monkeypatch):
     assert rows(found.groupBy("v", "found").count()) == sorted([("a", 1.0, 100), ("c", 3.0, 500), ("unseen", None, 200), (None, None, 100)], key=repr)
 
 
+def test_equal_hot_rows_are_spread(spark, monkeypatch):
+    """A table of one column in which a value that was rare now holds nearly all rows."""
+    monkeypatch.setattr(lookup, "BROADCAST_ENTRIES", 1)
+    entries = spark.createDataFrame([("=a", 1.0, 0.00001), ("=b", 2.0, 0.3)], "key string, value double, share double")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        df = spark.range(80_000, numPartitions=8).select(F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("v"))
+        found = lookup.lookup(df, F.concat(F.lit("="), "v"), entries, 2, "found")
+        sizes = [r["n"] for r in found.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert rows(found.groupBy("v", "found").count()) == [("a", 1.0, 72_000), ("b", 2.0, 8_000)]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert max(sizes) < 60_000 and len(sizes) > 2
+
+
 def test_many_classes_do_not_reach_the_driver(spark, labelled, monkeypatch):
     expected = rows(split.with_folds(labelled, 5, ["id"], stratify="target"))
     monkeypatch.setattr(split, "INLINE_CLASSES", 1)
