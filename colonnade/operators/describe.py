@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colonnade.functions.columns import OTHER, col, kinds, nan_to_null
 from colonnade.functions.moments import adjusted_kurtosis, adjusted_skewness
-from colonnade.operators.profile import modes, ordered_values, value_histogram
+from colonnade.operators.profile import frequent_values, modes, value_histogram
 from colonnade.operators.quantiles import DIRECT_CELLS, exact_quantiles, linear_percentile
 from colonnade.operators.roles import NUMERICAL, UNSUPPORTED, infer_roles, of_role
+from colonnade.session import scratch_path
 
 # Fixed values of the report.
 TOP_VALUES = 10
@@ -79,34 +79,27 @@ def categorical_summary(df: DataFrame, roles: Mapping[str, str] | None = None) -
     names = described_by_values(df, roles)
     if not names:
         return df.sparkSession.createDataFrame([], CATEGORICAL_SUMMARY)
-    ranked = ordered_values(value_histogram(df, names), kinds(df))
-    best = F.min(F.struct((-F.col("n")).alias("minus_n"), F.col("place")))
-    return ranked.groupBy("column").agg(
-        F.sum("n").alias("n_present"), F.count(F.lit(1)).alias("n_distinct"), best.alias("best")
-    ).select(
-        "column", "n_present", "n_distinct",
-        F.col("best.place.text").alias("mode"), (-F.col("best.minus_n")).alias("mode_count"),
-    )
+    # Counted once: the totals and the modes both follow from it.
+    path = scratch_path(df.sparkSession, "histogram")
+    value_histogram(df, names, prefix=True).write.parquet(path)
+    counted = df.sparkSession.read.parquet(path)
+    totals = counted.groupBy("column").agg(F.sum("n").alias("n_present"), F.count(F.lit(1)).alias("n_distinct"))
+    best = frequent_values(df, names, 1, counted).select("column", F.col("value").alias("mode"), F.col("n").alias("mode_count"))
+    return totals.join(best, "column")
 
 
 def top_values(df: DataFrame, roles: Mapping[str, str] | None = None, top: int = TOP_VALUES) -> DataFrame:
     """``(column, rank, value, n)``: the most frequent values, equal counts by value.
 
-    The rank limit is applied inside every task before the shuffle, so the last
-    step sees ``top`` rows per column and task at most.
+    The rank limit is applied inside every task before the shuffle, and long
+    texts are not shuffled but for those that are among the first.
     """
     df = nan_to_null(df)
     roles = infer_roles(df) if roles is None else roles
     names = described_by_values(df, roles)
     if not names:
         return df.sparkSession.createDataFrame([], "column string, rank int, value string, n bigint")
-    ranked = ordered_values(value_histogram(df, names), kinds(df))
-    order = W.partitionBy("column").orderBy(F.col("n").desc(), F.col("place"))
-    return (
-        ranked.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= top)
-        .select("column", "rank", "value", "n")
-    )
+    return frequent_values(df, names, top)
 
 
 def column_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

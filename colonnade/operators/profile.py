@@ -13,7 +13,8 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colonnade.functions.columns import (
@@ -21,11 +22,16 @@ from colonnade.functions.columns import (
 )
 from colonnade.functions.dates import read_datetime
 from colonnade.functions.names import hints_at_id_column
+from colonnade.session import scratch_path
 
 # 2^14 registers: about 0.8 % standard error, 16 KB a column.
 SKETCH_SIZE = 14
 # Beyond this relative distance the sketch decides a threshold alone (7 standard errors).
 SKETCH_MARGIN = 0.06
+# Code points by which the order of long texts is first judged.
+PREFIX = 64
+# Keys of candidates, of some 300 bytes at most, are broadcast up to this many.
+BROADCAST_CANDIDATES = 10_000
 
 
 @dataclass(frozen=True)
@@ -88,11 +94,12 @@ def column_facts(df: DataFrame) -> list[ColumnFacts]:
     ]
 
 
-def value_histogram(df: DataFrame, columns: Sequence[str], digest: bool = False) -> DataFrame:
+def value_histogram(df: DataFrame, columns: Sequence[str], digest: bool = False, prefix: bool = False) -> DataFrame:
     """``(column, value, n)`` for every present value of the given columns.
 
     ``digest=True`` is for counting only: long texts are then represented by
-    their SHA-256.
+    their SHA-256. With ``prefix=True`` their first ``PREFIX`` code points stand
+    before it, so that the order of all but texts with a common beginning shows.
     """
     df = nan_to_null(df)
     kind = kinds(df)
@@ -101,7 +108,7 @@ def value_histogram(df: DataFrame, columns: Sequence[str], digest: bool = False)
     typed: dict[str, list[str]] = {}
     for c in columns:
         typed.setdefault(_counted_type(df, c, kind[c]), []).append(c)
-    parts = [_counted(df, names, as_type, digest) for as_type, names in typed.items()]
+    parts = [_counted(df, names, as_type, digest, prefix) for as_type, names in typed.items()]
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -113,12 +120,19 @@ def _counted_type(df: DataFrame, name: str, kind: str) -> str:
     return df.schema[name].dataType.simpleString() if kind == DATETIME else "string"
 
 
-def _counted(df: DataFrame, names: list[str], as_type: str, digest: bool) -> DataFrame:
+def _shortened(text: Column) -> Column:
+    """Texts of up to ``PREFIX`` code points as they are; of longer ones the beginning and the SHA-256."""
+    return F.when(F.char_length(text) > PREFIX, F.concat(F.substring(text, 1, PREFIX), F.sha2(text, 256))).otherwise(text)
+
+
+def _counted(df: DataFrame, names: list[str], as_type: str, digest: bool, prefix: bool) -> DataFrame:
     def value(c: str):
         if as_type == "double":
             return col(c).cast("double") + F.lit(0.0)
         if as_type == "string":
             kind = kinds(df)[c]
+            if prefix:
+                return _shortened(as_text(c, kind))
             return value_key(c, kind) if digest else as_text(c, kind)
         return col(c).cast(as_type)
 
@@ -170,16 +184,52 @@ def ordered_values(histogram: DataFrame, kind: dict[str, str]) -> DataFrame:
 
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column, value, n)`` of the most frequent value; ties go to the smallest."""
+    return frequent_values(df, columns, 1).select("column", "value", "n")
+
+
+def frequent_values(df: DataFrame, columns: Sequence[str], top: int, histogram: DataFrame | None = None) -> DataFrame:
+    """``(column, rank, value, n)``: the ``top`` most frequent values, equal counts by value.
+
+    Values are counted by keys of bounded length, exactly. The candidates are
+    the values up to the rank limit by count and beginning, with all that tie;
+    a second scan brings the whole text of the long ones, one copy from a task,
+    and these settle the order. ``histogram`` is one made with ``prefix=True``.
+    """
+    df = nan_to_null(df)
     kind = {c: k for c, k in kinds(df).items() if c in set(columns)}
-    ranked = ordered_values(value_histogram(df, columns), kind)
-    return (
-        ranked.groupBy("column")
-        .agg(F.min(F.struct((-F.col("n")).alias("minus_n"), F.col("place"))).alias("best"))
-        .select("column", F.col("best.place.text").alias("value"), (-F.col("best.minus_n")).alias("n"))
-    )
+    histogram = value_histogram(df, columns, prefix=True) if histogram is None else histogram
+    texts = [c for c in columns if _counted_type(df, c, kind[c]) == "string"]
+    begun = ordered_values(histogram.withColumn("key", F.col("value")).withColumn("value", F.substring("value", 1, PREFIX)), kind)
+    by_place = W.partitionBy("column").orderBy(F.col("n").desc(), F.col("place"))
+    found = begun.withColumn("rank", F.rank().over(by_place)).where(F.col("rank") <= top).select(
+        "column", F.col("key").alias("value"), "n")
+    if texts:
+        found = _with_whole_texts(df, texts, kind, found)
+    whole = ordered_values(found, kind).withColumn("rank", F.row_number().over(by_place))
+    return whole.where(F.col("rank") <= top).select("column", "rank", "value", "n")
+
+
+def _with_whole_texts(df: DataFrame, texts: list[str], kind: dict[str, str], found: DataFrame) -> DataFrame:
+    """``(column, value, n)`` with the texts that shortened values stand for."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "candidates")
+    found.write.parquet(path)
+    found = spark.read.schema(found.schema).parquet(path)
+    # Only whole long texts have keys that are longer than what a short text can be.
+    shortened = F.col("column").isin(texts) & (F.char_length("value") > PREFIX)
+    wanted = found.where(shortened).select("column", F.col("value").alias("key"))
+    candidates = wanted.count()
+    if not candidates:
+        return found
+    wanted = F.broadcast(wanted) if candidates <= BROADCAST_CANDIDATES else wanted
+    cells = df.select(*[as_text(c, kind[c]).alias(c) for c in texts]).unpivot([], [col(c) for c in texts], "column", "text")
+    long = cells.where(F.char_length("text") > PREFIX).withColumn("key", _shortened(F.col("text")))
+    # Equal keys have equal texts, so a set holds one.
+    named = long.join(wanted, ["column", "key"], "left_semi").groupBy("column", "key").agg(F.collect_set("text")[0].alias("text"))
+    return found.withColumn("key", F.when(shortened, F.col("value"))).join(named, ["column", "key"], "left").select(
+        "column", F.coalesce("text", "value").alias("value"), "n")
 
 
 __all__ = [
-    "ColumnFacts", "column_facts", "value_histogram", "distinct_counts", "exact_distinct", "modes",
+    "ColumnFacts", "column_facts", "value_histogram", "distinct_counts", "exact_distinct", "modes", "frequent_values",
     "ordered_values", "DATETIME", "SKETCH_MARGIN",
 ]

@@ -2,6 +2,7 @@
 
 import random
 import statistics
+from collections import Counter
 
 import pandas as pd
 import numpy as np
@@ -168,6 +169,23 @@ def test_mode_ties_go_to_the_smallest(spark):
     assert rows(profile.modes(df, ["n", "s"]), "column", "value") == [("n", "9"), ("s", "a")]
 
 
+@pytest.mark.parametrize("broadcast", [10_000, 0])
+def test_frequent_long_texts(spark, monkeypatch, broadcast):
+    """Texts that share a beginning are ordered by what follows, short ones among them."""
+    monkeypatch.setattr(profile, "BROADCAST_CANDIDATES", broadcast)
+    begin = "w" * profile.PREFIX
+    texts = [begin + "b"] * 3 + [begin + "a"] * 3 + [begin] * 3 + ["z" * 200] * 4 + ["short"] * 3 + [begin + f"{i:02}" for i in range(20)] + [None]
+    df = spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "t string, n int")
+    counts = Counter(t for t in texts if t is not None)
+    expected = sorted(counts.items(), key=lambda item: (-item[1], item[0]))
+    for top in (1, 3, 4, 9, 40):
+        found = profile.frequent_values(df.select("t"), ["t"], top).orderBy("rank").collect()
+        assert [(r["value"], r["n"]) for r in found] == expected[:top] and [r["rank"] for r in found] == list(range(1, len(found) + 1))
+    assert rows(profile.modes(df, ["t", "n"]), "column", "value") == [("n", "0"), ("t", "z" * 200)]
+    summary = describe.categorical_summary(df, {"t": "categorical", "n": "categorical"})
+    assert rows(summary.where("column = 't'")) == [("t", 36, 25, "z" * 200, 4)]
+
+
 def test_long_texts_are_told_apart(spark):
     df = spark.createDataFrame([("x" * 100 + "1",), ("x" * 100 + "2",), ("x" * 100 + "1",)], "t string")
     assert profile.exact_distinct(df, ["t"]) == {"t": 2}
@@ -178,12 +196,12 @@ def test_long_texts_are_told_apart(spark):
 def test_quantiles_by_narrowing_are_exact(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     shares = [0.0, 0.1, 0.5, 0.77, 1.0]
-    quantiles_before = quantiles.SMALL_INTERVAL
-    quantiles.SMALL_INTERVAL = 3
+    quantiles_before = quantiles.SKETCH_SIZE
+    quantiles.SKETCH_SIZE = 8
     try:
         found = quantiles.exact_quantiles(df, ["x"], shares, direct_cells=0)["x"]
     finally:
-        quantiles.SMALL_INTERVAL = quantiles_before
+        quantiles.SKETCH_SIZE = quantiles_before
     present = pd.Series([v for v in values if v is not None], dtype=float)
     if present.empty:
         assert found == [None] * len(shares)
