@@ -456,6 +456,29 @@ def test_csv_quoting_and_errors(spark, tmp_path):
         read_csv(spark, str(tmp_path / "late.csv"), "a int, b int")
 
 
+@pytest.mark.parametrize("split", [37, 64, 1000])
+def test_csv_line_breaks_by_many_tasks(spark, tmp_path, split):
+    """Records that cross any number of splits, in two files, with every kind of line break and the mark itself."""
+    cells = [f"row {i}" + ["", "\n\nmore", ' "quoted"\n', "\r\nwindows", "\u0001n", "\n" * 40 + "long", ',"",'][i % 7] for i in range(60)]
+    for part in range(2):
+        with open(tmp_path / f"part{part}.csv", "w", encoding="utf-8", newline="") as file:
+            file.write("number,words\n")
+            for i in range(part, 60, 2):
+                quoted = '"' + cells[i].replace('"', '""') + '"'
+                file.write(f"{i},{quoted}\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        for schema in (None, "number int, words string"):
+            read = read_csv(spark, str(tmp_path), schema)
+            assert read.dtypes == [("number", "int"), ("words", "string")]
+            assert rows(read) == sorted(enumerate(cells), key=repr)
+        with pytest.raises(TableError, match="header"):
+            read_csv(spark, str(tmp_path), "number int, text string")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_malformed_lines(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("a,b\n1,2\nx,3\n4,5\n")
     schema = spark.createDataFrame([], "a int, b int").schema
