@@ -2,15 +2,16 @@
 
 Markup is stripped so that every block element is a line; what stands in menus, forms, notices and the like becomes blank
 lines, and so do the borders of sections. The text lengths over a sliding window of lines then surge where the article
-begins and dive to nothing where it ends. All text between is kept, short lines too, and all text of the container around the
-largest surge, as a section or an advert in it does not end the article.
+begins and dive to nothing where it ends. On a page with ``article`` or ``main`` elements, lines outside of them weigh nothing.
+All text between is kept, short lines too, and all text of the container around the largest surge, as a section or an advert
+in it does not end the article.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -28,17 +29,23 @@ SURGE = 0.3
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr "
+    "math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup "
+    "mtable mtd mtext mtr munder munderover semantics".split()
 )
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video xmp".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object canvas audio video xmp annotation annotation-xml".split())
 APART = frozenset("head nav header footer aside form button select menu dialog fieldset datalist option".split())
 SCOPE = frozenset("article main".split())
 SECTION = frozenset("article main section body table".split()) | APART
-PART_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|cookie|cookies|"
-    r"consent|disqus|footer|header|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo|related|share|sharing|"
-    r"sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])", re.I
+PART_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus "
+    "footer header menu modal nav navbar navigation newsletter notice pagination popup promo related share sharing sidebar social "
+    "sponsor sponsored subscribe toolbar widget".split()
 )
+#: In an article a heading or paragraph is left out only if one of these is a class of its own.
+NOTICES = frozenset("ad ads advert adverts advertisement advertising sponsored promo notice cookie cookies consent".split())
+BODY_TEXT = frozenset("h1 h2 h3 h4 h5 h6 hgroup p".split())
+NAME_PARTS = re.compile(r"[\s_-]+")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -70,22 +77,34 @@ NEVER_WRAPS = frozenset("head nav footer button select menu datalist option".spl
 NO_CONTAINER = INLINE | P_ENDERS - {"div", "center"} | TABLE_PARTS | OPTIONAL_END
 
 
-def _named_apart(tag: str, attributes: str) -> bool:
-    """Whether an element's names, role or state say that it is none of the article's business."""
+def _named_apart(tag: str, attributes: str, inside: bool = False) -> bool:
+    """Whether an element's names, role or state say that it is none of the article's business.
+
+    Inside an article a header is the article's own, and names of headings and paragraphs count only if they are notices.
+    """
     if not attributes or tag in ("html", "body"):
         return False
     if HIDDEN.search(attributes):
         return True
     for name, *values in NAMES.findall(attributes):
-        value = "".join(values)
-        if value.lower() in ROLES if name.lower() == "role" else PART_NAMES.search(value):
+        value = "".join(values).lower()
+        if name.lower() == "role":
+            apart = value in ROLES
+        elif inside and tag in BODY_TEXT:
+            apart = not NOTICES.isdisjoint(value.split())
+        else:
+            words = PART_NAMES.intersection(NAME_PARTS.split(value))
+            apart = bool(words - {"header"} if inside else words)
+        if apart:
             return True
     return False
 
 
-def _apart(tag: str, attributes: str) -> bool:
-    """Whether an element is none of the article's business."""
-    return tag in APART or tag not in SCOPE and _named_apart(tag, attributes)
+def _apart(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element is none of the article's business; ``inside``: it stands in an article."""
+    if tag in SCOPE:
+        return False
+    return tag in APART and not (inside and tag == "header") or _named_apart(tag, attributes, inside)
 
 
 def _pieces(page: str) -> list[tuple[int, int, str, bool, str]]:
@@ -111,6 +130,8 @@ class Element:
     text: int
     articles: int
     parts: int
+    parent: int
+    named: bool = False
     end: int = 0
     closed: bool = False
 
@@ -171,16 +192,17 @@ def _elements(page: str, pieces: list[tuple[int, int, str, bool, str]]) -> tuple
                 end_from(k, begin, begin, True)
         if tag in VOID or re.search(r"(?:^|[\s\"'])/\Z", attributes):
             continue
-        apart = _apart(tag, attributes)
+        apart = _apart(tag, attributes, opened["article"] + opened["main"] > 0)
         if tag in INLINE and not apart and not opened[tag]:
             continue
-        e = Element(tag, begin, apart, text, articles, parts)
+        e = Element(tag, begin, apart, text, articles, parts, stack[-1].begin if stack else -1)
         found.append(e)
         stack.append(e)
         opened[tag] += 1
         if tag in SCOPE:
             articles += 1
-            parts += _named_apart(tag, attributes)
+            e.named = _named_apart(tag, attributes)
+            parts += e.named
     text += len(page[at:].strip())
     end_from(0, len(page), len(page), False)
 
@@ -191,25 +213,40 @@ def _elements(page: str, pieces: list[tuple[int, int, str, bool, str]]) -> tuple
     return found, {e.begin for e in found if e.apart and e.closed and not stays(e)}
 
 
-def _lines(page: str) -> tuple[list[tuple[str, bool, int]], list[Element]]:
-    """Lines of a page with whether they stand in an article and where they end; blank ones at borders and for what was stripped."""
+def _scopes(elements: list[Element], left_out: set[int]) -> list[Element]:
+    """The outermost articles and mains that stay; ones named as parts, as comments are, only if there are no others."""
+    outer: list[Element] = []
+    until = hidden = -1
+    for e in elements:
+        if e.begin < hidden:
+            continue
+        if e.begin in left_out:
+            hidden = e.end
+        elif e.tag in SCOPE and e.begin >= until:
+            outer.append(e)
+            until = e.end
+    return [e for e in outer if not e.named] or outer
+
+
+def _lines(page: str) -> tuple[list[tuple[str, int]], list[Element], list[Element]]:
+    """Lines of a page with where they end, elements, articles; blank lines at borders and for what was stripped."""
     pieces = _pieces(page)
     elements, left_out = _elements(page, pieces)
     resume = {e.begin: e.end for e in elements if e.begin in left_out}
-    lines: list[tuple[str, bool, int]] = []
+    lines: list[tuple[str, int]] = []
     parts: list[str] = []
-    at, scope = 0, 0
+    at = 0
 
     def end_line() -> None:
         if parts:
             line = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if line:
-                lines.append((line, scope > 0, at))
+                lines.append((line, at))
 
     def border() -> None:
         end_line()
-        lines.extend((b, False, at) for b in BLANK)
+        lines.extend((b, at) for b in BLANK)
 
     for begin, end, tag, closing, attributes in pieces:
         if begin < at:
@@ -229,18 +266,11 @@ def _lines(page: str) -> tuple[list[tuple[str, bool, int]], list[Element]]:
                 border()
             else:
                 end_line()
-            if tag in SCOPE:
-                scope = max(0, scope - 1) if closing else scope + 1
         at = end
     parts.append(page[at:])
     at = len(page)
     end_line()
-    return lines, elements
-
-
-def text_lines(page: str) -> list[tuple[str, bool]]:
-    """Lines of a page with whether they stand in an article; blank lines at borders and for what was stripped."""
-    return [(line, inside) for line, inside, _ in _lines(page)[0]]
+    return lines, elements, _scopes(elements, left_out)
 
 
 def _container(elements: list[Element], inside: list[int], others: list[int]) -> tuple[int, int]:
@@ -252,13 +282,9 @@ def _container(elements: list[Element], inside: list[int], others: list[int]) ->
     return 0, max([inside[-1], *others])
 
 
-def main_text(page: str | None) -> str:
-    """The article of a page: its blocks joined by line breaks; empty if there is no text."""
-    lines, elements = _lines(page or "")
-    if any(inside for line, inside, _ in lines if line):
-        return "\n".join(line for line, inside, _ in lines if line and inside)
-    sizes = [len(line) for line, _, _ in lines]
-    # sums[i]: text in the window that starts at line i. It surges from 0 and dives to 0 around each region of text.
+def _regions(sizes: list[int]) -> list[tuple[int, int, int]]:
+    """Begin, end and text of each run of lines between a surge of the window sums from 0 and the dive to 0."""
+    # sums[i]: text in the window that starts at line i.
     sums, total = [], sum(sizes[:WINDOW])
     for i, size in enumerate(sizes):
         sums.append(total)
@@ -270,12 +296,45 @@ def main_text(page: str | None) -> str:
         elif not total and start is not None:
             regions.append((start, i, sum(sizes[start:i])))
             start = None
+    return regions
+
+
+def _main_scopes(scopes: list[Element], held: list[int]) -> set[int]:
+    """Which articles are the page's: the one that holds most text, and those beside it that hold a like amount."""
+    most = max(range(len(scopes)), key=lambda k: held[k])
+    first = scopes[most]
+    return {k for k, e in enumerate(scopes) if k == most or e.tag == first.tag and e.parent == first.parent and held[k] >= SURGE * held[most]}
+
+
+def main_text(page: str | None) -> str:
+    """The article of a page: its blocks joined by line breaks; empty if there is no text."""
+    lines, elements, scopes = _lines(page or "")
+    begins = [e.begin for e in scopes]
+
+    def scope_of(at: int) -> int:
+        """The article that a line ending at ``at`` stands in, -1 if none."""
+        k = bisect_left(begins, at) - 1
+        return k if k >= 0 and at <= scopes[k].end else -1
+
+    within = [scope_of(at) for _, at in lines]
+    scoped = any(line and k >= 0 for (line, _), k in zip(lines, within))
+    sizes = [len(line) if k >= 0 or not scoped else 0 for (line, _), k in zip(lines, within)]
+    regions = _regions(sizes)
     if not regions:
         return ""
-    a, b, most = max(regions, key=lambda r: r[2])
-    begin, end = _container(elements, [at for line, _, at in lines[a:b] if line], [at for line, _, at in [*lines[:a], *lines[b:]] if line])
-    kept = [r for r in regions if r[2] >= SURGE * most or any(line and begin < at <= end for line, _, at in lines[r[0]:r[1]])]
-    return "\n".join(line for a, b, _ in kept for line, _, _ in lines[a:b] if line)
+    if scoped:
+        held = [0] * len(scopes)
+        # Borders part the articles, so a region lies in one of them.
+        owners = [next(k for k, size in zip(within[a:b], sizes[a:b]) if size) for a, b, _ in regions]
+        for k, (_, _, text) in zip(owners, regions):
+            held[k] += text
+        chosen = _main_scopes(scopes, held)
+        kept = [r for k, r in zip(owners, regions) if k in chosen]
+    else:
+        a, b, most = max(regions, key=lambda r: r[2])
+        begin, end = _container(elements, [at for line, at in lines[a:b] if line], [at for line, at in [*lines[:a], *lines[b:]] if line])
+        kept = [r for r in regions if r[2] >= SURGE * most or any(line and begin < at <= end for line, at in lines[r[0]:r[1]])]
+    return "\n".join(line for a, b, _ in kept for (line, _), size in zip(lines[a:b], sizes[a:b]) if size)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 pytest.importorskip("colonnade.llm.queries")
-from colonnade.llm import mixing, queries, spot_signatures  # noqa: E402
+from colonnade.llm import html_text, mixing, queries, spot_signatures  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -230,6 +230,9 @@ def test_op9_finds_the_article(spark, medium, texts, result):
         words = html.unescape(re.sub(r"<[^>]*>", " ", body)).split()
         assert row["text"].split() == words and row["n_chars"] == len(row["text"])
         assert not any(line != " ".join(line.split()) or not line for line in row["text"].split("\n"))
+        # The same page without the element that names the article: the windows alone find it.
+        bare = re.sub(r"<(/?)(?:article|main)\b[^>]*>", r"<\1div>", page["html"])
+        assert html_text.main_text(bare) == row["text"]
 
 
 def test_op10_equals_the_library(texts, result):
