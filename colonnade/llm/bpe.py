@@ -30,6 +30,25 @@ CHUNK_CHARS = 2_000_000
 #: What is white space for ``str.split`` but not for the vocabulary's patterns.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 WHITE = regex.compile(r"\s+")
+#: Pieces that are merged together at least; fewer, and so all very long ones, are merged one by one.
+TOGETHER = 16
+
+# The library lower-cases by Unicode 17 ...
+LATER_LOWER = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+# ... but tells letters and digits by Unicode 16, to which these are neither.
+LATER_LETTERS = (
+    "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 "
+    "10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 "
+    "18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 "
+    "1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+LATER_DIGITS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+LATER = "".join("-".join(f"\\U{int(end, 16):08X}" for end in r.split("-")) for r in f"{LATER_LETTERS} {LATER_DIGITS}".split())
+IS_LATER = regex.compile(f"[{LATER}]")
+HAS_LATER_CASE = regex.compile("[" + "".join(map(chr, LATER_LOWER)) + "]")
 
 
 class WordBpe:
@@ -43,6 +62,8 @@ class WordBpe:
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(split)
+        older = regex.sub(r"\\p\{(L|N)\}", lambda m: f"[{m[0]}--[{LATER}]]", split)
+        self.older_letters = regex.compile(older, regex.V1)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         letters = _byte_letters()
         self.inner = np.array([self.ids[c] for c in letters])
@@ -53,6 +74,8 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([c for _, _, c in pairs], np.int64)
+        self.rank_of = dict(zip(self.keys.tolist(), self.ranks.tolist()))
+        self.merged_list = self.merged.tolist()
         self.known: dict[str, tuple[bytes, str]] = {}
         self.older: dict[str, tuple[bytes, str]] = {}
         self.known_pieces: dict[str, tuple[bytes, str]] = {}
@@ -85,6 +108,10 @@ class WordBpe:
             step = max(1, (1 << 19) >> bits)
             for at in range(0, len(rows), step):
                 some = rows[at:at + step]
+                if len(some) < TOGETHER:
+                    for i in some:
+                        out[i] = self._merge_one(pieces[i], 1 << int(bits))
+                    continue
                 for i, ids in zip(some, self._merge([pieces[i] for i in some], 1 << int(bits))):
                     out[i] = ids
         return out
@@ -140,14 +167,63 @@ class WordBpe:
         ids, ends = flat[kept].tolist(), np.cumsum(kept.sum(axis=1)).tolist()
         return (ids[a:b] for a, b in zip([0, *ends], ends))
 
+    def _merge_one(self, piece: bytes, width: int) -> list[int]:
+        """Token ids of one piece by the same tree, stepped in plain numbers: a merge takes microseconds however long the piece."""
+        size, span, merged = len(piece), self.span, self.merged_list
+        rank_of = self.rank_of.get
+        first = self.inner[np.frombuffer(piece, np.uint8)]
+        first[-1] = self.last[piece[-1]]
+        levels = np.full(2 * width, NONE, np.int64)
+        found = self.rank(first[:-1], first[1:])
+        levels[width:width + size - 1] = np.where(found == NONE, NONE, np.where(found == NONE, 0, found) * width + np.arange(size - 1))
+        level = width
+        while level > 1:
+            level //= 2
+            levels[level:2 * level] = np.minimum(levels[2 * level:4 * level:2], levels[2 * level + 1:4 * level:2])
+        tree, symbol = array("q", levels.tobytes()), array("q", first.tobytes())
+        # ``size`` stands behind the last symbol and -1 before the first one; neither has a pair.
+        after, before = array("q", range(1, size + 1)), array("q", range(-1, size))
+
+        def put(place: int, value: int) -> None:
+            node = width + place
+            tree[node] = value
+            while node > 1:
+                node >>= 1
+                left, right = tree[2 * node], tree[2 * node + 1]
+                least = left if left < right else right
+                if tree[node] == least:
+                    break
+                tree[node] = least
+
+        none = int(NONE)
+        while tree[1] != none:
+            rank, at = divmod(tree[1], width)
+            gone, behind = after[at], before[at]
+            ahead = after[gone]
+            made = symbol[at] = merged[rank]
+            symbol[gone] = -1
+            after[at] = ahead
+            before[ahead] = at
+            put(gone, none)
+            rank = rank_of(made * span + symbol[ahead]) if ahead < size else None
+            put(at, none if rank is None else rank * width + at)
+            if behind >= 0:
+                rank = rank_of(symbol[behind] * span + made)
+                put(behind, none if rank is None else rank * width + behind)
+        return [s for s in symbol if s >= 0]
+
     def normal(self, text: str) -> str:
         """Composed and lower-cased character by character (a final sigma gets no form of its own)."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if HAS_LATER_CASE.search(text):
+                text = text.translate(LATER_LOWER)
         return text.lower()
 
     def _pieces_of(self, word: str) -> list[str]:
         """The pieces of a normal word; the two commonest forms need no pattern."""
+        if not word.isascii() and IS_LATER.search(word):
+            return self.older_letters.findall(word)
         if word.isalpha():
             return [word]
         if word[-1] in ".,!?;:" and word[:-1].isalpha():

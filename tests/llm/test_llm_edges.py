@@ -183,6 +183,22 @@ def test_bpe_equals_the_library(texts):
         assert decoded == own.decode(ids) == library.decode(expected, skip_special_tokens=False)
 
 
+def test_bpe_of_long_words_and_of_letters_that_python_does_not_know():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.vocabulary_path())
+    own = bpe.vocabulary(queries.vocabulary_path())
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    long = [letters[rng.integers(0, n, 30_000)].tobytes().decode() for n in (1, 2, 26)] + ["é中" * 5000, "!?" * 999, "1" * 70]
+    new = [chr(c) for c in (0x1C89, 0xA7CB, 0xA7CE, 0xA7D2, 0xA7D4, 0xA7DA, 0xA7DC, 0x10D55, 0x16EA0, 0x16EB8, 0x88F, 0x11DE3, 0x3D001, 0x1246F)]
+    texts = long + [shape.format(c) for c in new for shape in ("{0}", "a{0}b", "1{0}{0}2", "x {0}. ü{0}")]
+    for text, (ids, decoded) in zip(texts, own.encode_many(texts)):
+        expected = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == expected, text[:20]
+        assert decoded == library.decode(expected, skip_special_tokens=False)
+
+
 def test_a_passage_in_very_many_contexts_is_dealt_out(spark):
     rng = np.random.default_rng(5)
     letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
@@ -233,6 +249,15 @@ MUCH = ("A long text that goes on and on. " * 20).strip()
     (f"<body><form><div>{MUCH}</div><nav>cut</nav></form></body>", MUCH),
     (f"<main><article>{MUCH}</article><div class=comments-area><article class=comment-body>cut</article></div></main>", MUCH),
     ("<nav>cut</nav><footer>cut</footer>", ""),
+    (f"<article><h2 class='section-header'>Head</h2><p>{MUCH}</p></article>", f"Head\n{MUCH}"),
+    (f"<article><p>{MUCH}</p><p class='social'>Social life</p><p class='ad big'>cut</p></article>", f"{MUCH}\nSocial life"),
+    (f"<article><p>{MUCH}</p><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>", f"{MUCH}\nso x=1 holds"),
+    (f"<header>cut</header><article><header class=entry-header><h1>Title</h1></header><p>{MUCH}</p></article>", f"Title\n{MUCH}"),
+    (f"<main><p>{MUCH}</p></main><section><h3>cut</h3><article>cut one</article><article>cut two</article></section>", MUCH),
+    (f"<div><article>{MUCH}</article><article class=comment>cut</article><article>cut</article></div>", MUCH),
+    (f"<div><article>one {MUCH}</article><article>two {MUCH}</article></div>", f"one {MUCH}\ntwo {MUCH}"),
+    (f"<div><article><p>{MUCH}</div><div>cut</div>", MUCH),
+    ("<article></article><p>only</p>", "only"),
 ])
 def test_html_parts_end_where_html_says_and_never_hold_the_article(page, text):
     assert html_text.main_text(page) == text
