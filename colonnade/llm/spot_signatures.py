@@ -29,6 +29,8 @@ PART = 1024
 MARK = "\u0001"
 #: Buckets of neighbouring ids at most, and ids that each gets about; the table of their borders is broadcast.
 MOST_BUCKETS, BUCKET_ROWS, CUTS = 1 << 16, 2048, 256
+#: Texts, about, that a task gets where there are more than the session's partitions would hold.
+TASK_ROWS = 4096
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
@@ -110,7 +112,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
     both = dealt.select("id", "text", "bucket", "row", F.lit(1).alias("own")).unionByName(copies)
     # Signatures are computed after the shuffle, which then carries texts only, and once for each text.
-    signed = both.repartition("bucket").withColumn("own_signatures", signatures(F.col("text")))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, math.ceil(seen["n"] / TASK_ROWS)))
+    signed = both.repartition(parts, "bucket").withColumn("own_signatures", signatures(F.col("text")))
     neighbours = Window.partitionBy("bucket").orderBy("own", F.col("id").asc_nulls_first(), "row")
     return (
         signed.select("id", "text", "own", F.col("own_signatures"), F.lag("text").over(neighbours).alias("next_text"), F.lag("own_signatures").over(neighbours).alias("following"))
