@@ -225,9 +225,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # At most train_rows ids and labels are broadcast.
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("body")).join(F.broadcast(known), "key")
     stats = with_stats(rows.select(F.struct("key", "label").alias("who"), "body"), "who", "body")
-    # Copies of one labelled id would exceed the bound; one of them stands for all.
-    numbers = stats.where(~base_failed()).select("id.key", "id.label", *(c.alias(f) for f, c in feature_columns().items()))
-    table = numbers.dropDuplicates(["key"]).toPandas().sort_values("key")
+    # Copies of one labelled id would exceed the bound; the one with the smallest numbers stands for all.
+    numbers = stats.where(~base_failed()).select("id.key", "id.label", F.struct(*(c.alias(f) for f, c in feature_columns().items())).alias("numbers"))
+    one = numbers.groupBy("key", "label").agg(F.min("numbers").alias("numbers"))
+    table = one.select("key", "label", "numbers.*").toPandas().sort_values("key")
     return learn_rules({f: table[f].to_numpy(float) for f in FEATURES}, table["label"].to_numpy() == 0)
 
 
