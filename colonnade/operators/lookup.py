@@ -7,7 +7,9 @@ values are shuffled. A value that was rare when the table was made, or unknown
 to it, may hold many of the rows now, so these are salted by the number of
 their task: equal rows of different tasks go apart, a task that is run again
 deals its rows as before, and no task gets more than a few inputs' rows of one
-value. Adaptive execution splits what is still too large.
+value. Adaptive execution splits what is still too large. That join is asked
+for as a merge: the copies of the rarer entries count as one where Spark
+judges by the size of the file whether to broadcast them.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ def lookup(df: DataFrame, key: Column, table: DataFrame, entries: int, output: s
         _COLD, F.when(F.col(_PAYLOAD).isNull() & F.col(_KEY).isNotNull(), F.col(_KEY)).otherwise(spread)
     ).withColumn(_SALT, F.spark_partition_id() % SALTS)
     return (
-        routed.join(cold, [_COLD, _SALT], "left")
+        routed.join(cold.hint("merge"), [_COLD, _SALT], "left")
         .withColumn(output, F.coalesce(F.col(_PAYLOAD)["value"], F.col(_PAYLOAD + "_cold")["value"]))
         .drop(_KEY, _COLD, _SALT, _PAYLOAD, _PAYLOAD + "_cold")
     )

@@ -215,6 +215,19 @@ def test_equal_hot_rows_are_spread(spark, monkeypatch):
     assert max(sizes) < 60_000 and len(sizes) > 2
 
 
+def test_many_entries_are_never_broadcast(spark, monkeypatch, tmp_path):
+    """The file of a table is small, its salted copies are not: no threshold may send them all to the driver."""
+    monkeypatch.setattr(lookup, "BROADCAST_ENTRIES", 1)
+    spark.range(300).select(F.concat(F.lit("="), "id").alias("key"), F.col("id").alias("value"), F.lit(0.00001).alias("share")).write.parquet(
+        str(tmp_path / "entries"))
+    entries = spark.read.parquet(str(tmp_path / "entries"))
+    found = lookup.lookup(spark.range(400), F.concat(F.lit("="), "id"), entries, 300, "found")
+    assert found.where("found = id").count() == 300 and found.where("found IS NULL").count() == 100
+    joins = found._jdf.queryExecution().executedPlan().toString()
+    # The entries of many rows are broadcast, the others are not.
+    assert joins.count("BroadcastHashJoin") == 1 and "SortMergeJoin" in joins
+
+
 def test_many_classes_do_not_reach_the_driver(spark, labelled, monkeypatch):
     expected = rows(split.with_folds(labelled, 5, ["id"], stratify="target"))
     monkeypatch.setattr(split, "INLINE_CLASSES", 1)
