@@ -28,6 +28,9 @@ from colonnade.session import scratch_path
 SKETCH_SIZE = 14
 # Beyond this relative distance the sketch decides a threshold alone (7 standard errors).
 SKETCH_MARGIN = 0.06
+# What any of the layouts of a date has: it begins with a number or the short name of a month, and has nothing but digits,
+# letters and a few signs. Trying a layout in vain costs far more than this look.
+DATE_LIKE = "^(?:[A-Za-z]{3,4}[.]? |[+-]?[0-9])[0-9A-Za-z:/.,+ -]*$"
 # Code points by which the order of long texts is first judged.
 PREFIX = 64
 # Keys of candidates, of some 300 bytes at most, are broadcast up to this many.
@@ -59,8 +62,9 @@ def _sketched(name: str, kind: str):
 
 
 def _date_of(text):
-    """The date that a text is; most texts are told by their length, without trying every layout."""
-    return F.when(F.length(F.trim(text)).between(8, 40) & text.rlike("[0-9]{2}"), read_datetime(text))
+    """The date that a text is; most texts are told by their length and signs, without trying every layout."""
+    trimmed = F.trim(text)
+    return F.when(F.length(trimmed).between(8, 40) & text.rlike("[0-9]{2}") & trimmed.rlike(DATE_LIKE), read_datetime(text))
 
 
 def column_facts(df: DataFrame) -> list[ColumnFacts]:

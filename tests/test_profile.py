@@ -320,3 +320,14 @@ def test_outlier_filter_reaches_the_reader(spark, small):
     df = read_parquet(spark, f"{small}/events.parquet")
     found = outliers.outlier_rows(df, outliers.fit_bounds(df, columns=["value"]), ["event_id"])
     assert "PushedFilters: [Or(" in found._jdf.queryExecution().toString()
+
+
+def test_texts_that_cannot_be_dates_are_told_without_trying(spark):
+    """Texts of two digits in a frame of signs are no dates; whatever a layout reads still counts as one."""
+    dates = ["2024-01-31T10:11:12.123456+02:00", "2024-01-31T10:11:12Z", "2024-01-31 10:11:12.5", "2024-01-31 10:11", " 2024-01-31 ", "2024/01/31",
+             "2024/01/31 10:11:12", "01/31/2024", "01/31/2024 10:11:12", "01-31-2024", "31.01.2024", "31 Jan 2024", "Jan 31, 2024", "20240131"]
+    others = ['{"k": 76}', "Customer#000000012", "2024-01-31_2", "(12) 34 56"]
+    df = spark.createDataFrame([(t,) for t in dates + others], "t string")
+    assert profile.column_facts(df)[0].dates == len(dates)
+    tried = {r["t"] for r in df.where(F.trim("t").rlike(profile.DATE_LIKE)).collect()}
+    assert tried == set(dates)
