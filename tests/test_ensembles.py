@@ -72,6 +72,45 @@ def test_boosting_follows_its_formula():
     assert losses == sorted(losses, reverse=True)
 
 
+@pytest.mark.parametrize("link, outputs", [(growth.IDENTITY, 1), (growth.LOGISTIC, 1), (growth.SOFTMAX, 3), ("shares", 1), ("forest of numbers", 1)])
+@pytest.mark.parametrize("rate", [1.0, 0.6])
+def test_rows_of_equal_bins_are_one(monkeypatch, link, outputs, rate):
+    """Trees grown on kinds of rows are those grown on the rows, and many rows are few kinds."""
+    rng, sizes = np.random.default_rng(4), [16, 3, 2, 2]
+    x = np.stack([rng.integers(0, s, 6000) for s in sizes]).astype(np.uint8)
+    y = x[0] + x[1] * x[2] + rng.normal(size=6000) * 3
+    start, spread = np.array([y.mean()]), np.abs(y - y.mean()).max()
+    numbers = link in (growth.IDENTITY, "forest of numbers")
+    if not numbers:
+        y, start, spread = np.clip(y // 6, 0, max(1, outputs - 1)), np.zeros(outputs), 1.0
+    boosted, place, cells = link in (growth.IDENTITY, growth.LOGISTIC, growth.SOFTMAX), rng.integers(0, 1 << 52, 6000), Cells.of(sizes)
+    rule = Rule(boosted, growth.IDENTITY if numbers else link, outputs, 3, 5, step=0.3, rate=rate, subset=0 if boosted else 2)
+    found = []
+    for rows in (growth.ROWS_A_KIND, 1 << 30):
+        monkeypatch.setattr(growth, "ROWS_A_KIND", rows)
+        assert (growth.Alike(x, y, place, start, spread, rule, cells).x.shape[1] < 600) == (rows < 1 << 30)
+        trees = []
+        if boosted:
+            growth.boost(x, y, place, start, spread, rule, cells, lambda _, new: trees.extend(new))
+        else:
+            growth.plant(x, y, place, start, spread, rule, cells, range(3), lambda _, new: trees.extend(new))
+        found.append(trees)
+    assert len(found[0]) == 3 * (outputs if boosted else 1)
+    for a, b in zip(*found):
+        assert all(np.array_equal(getattr(a, k), getattr(b, k)) for k in ("feature", "cut", "left", "rows", "gain", "value"))
+
+
+def test_bundles_count_what_single_features_count():
+    rng, sizes = np.random.default_rng(5), [64, 2, 50, 64, 7]
+    x = np.stack([rng.integers(0, s, 50_000) for s in sizes]).astype(np.uint8)
+    cells, rows, target = Cells.of(sizes), np.flatnonzero(rng.random(50_000) < 0.7), np.rint(rng.normal(size=50_000) * 1000)
+    slot, bundles = rng.integers(0, 3, len(rows)), growth.bundled(x, cells)
+    assert len(bundles) < len(sizes) and sorted(f for b in bundles for f in b.features) == list(range(5)) and bundles[0].pays(len(rows), 3)
+    got = growth.bundle_histograms(x, bundles, rows, slot, 3, cells, None, [target])
+    expected = growth.histograms(x, rows, slot, 3, None, cells, None, [target])
+    assert np.array_equal(got[0], expected[0]) and np.array_equal(got[1], expected[1])
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(8)
