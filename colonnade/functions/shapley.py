@@ -4,7 +4,8 @@ For one leaf, one row x and one background row z only the features on the
 leaf's path matter. Hybrids of x and z reach the leaf exactly if every path
 feature that z fails is taken from x and every one that x fails is taken from z,
 so a leaf's share of the Shapley value follows from two counts: features only x
-satisfies, and features only z satisfies.
+satisfies, and features only z satisfies. Where the leaf can be reached, these are the features that z fails and those
+that x fails, so one follows from the pattern of z and the other from that of x.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from math import factorial
 import numpy as np
 
 # Rows explained at a time where each pair has its own scale; bounds the row-by-background matrices.
-CHUNK = 512
+CHUNK = 2048
 # Paths of at most so many features have their patterns counted in a table.
 TABLE_BITS = 12
+# Paths of at most so many have the weights of all pairs of patterns in a table: 8 MB for the longest.
+PAIR_BITS = 10
 
 
 @dataclass(frozen=True)
@@ -50,6 +53,48 @@ class Ensemble:
         self._low = np.concatenate([np.zeros(0), *[leaf.low for leaf in leaves]])
         self._high = np.concatenate([np.zeros(0), *[leaf.high for leaf in leaves]])
         self._values = np.array([leaf.value for leaf in leaves], dtype=float)
+        # The bounds that features are compared with, and each condition as places among them: from, to.
+        self._grids, self._from, self._to = [], np.zeros(len(self._low), np.int64), np.zeros(len(self._low), np.int64)
+        for f in range(n_features):
+            mine = np.flatnonzero(self._features == f)
+            bounds = np.concatenate([self._low[mine], self._high[mine]])
+            grid = np.unique(bounds[np.isfinite(bounds)])
+            self._grids.append(grid)
+            self._from[mine] = np.where(np.isfinite(self._low[mine]), np.searchsorted(grid, self._low[mine]) + 1, 0)
+            self._to[mine] = np.searchsorted(grid, self._high[mine])
+
+    def ranks(self, x: np.ndarray) -> list[np.ndarray]:
+        """By feature, how many bounds lie below each row's value; a value that is not a number is above all ranks."""
+        out = []
+        for f, grid in enumerate(self._grids):
+            kind = np.uint8 if len(grid) < 255 else np.uint32
+            rank = np.searchsorted(grid, x[:, f], side="left").astype(kind)
+            rank[np.isnan(x[:, f])] = len(grid) + 1
+            out.append(rank)
+        return out
+
+    def patterns(self, *ranked: list[np.ndarray]) -> Iterator[tuple[np.ndarray, float, tuple[np.ndarray, ...]]]:
+        """For each leaf its features, its value and, for each table of ranks, a bit per condition that a row meets."""
+        # By feature and bound, who is above it: one byte per row, the same for all leaves.
+        above = [[[(rank >= i).view(np.uint8) for i in range(len(grid) + 2)] for rank, grid in zip(ranks, self._grids)] for ranks in ranked]
+        # A value that is no number is above every bound, also the last one; where there is none, no row is.
+        odd = [[bool(len(rank)) and int(rank.max()) > len(grid) for rank, grid in zip(ranks, self._grids)] for ranks in ranked]
+        start = 0
+        for end, value in zip(self._ends.tolist(), self._values.tolist()):
+            features = self._features[start:end]
+            kind = np.uint8 if end - start <= 8 else np.uint16 if end - start <= 16 else np.int64
+            conditions = list(zip(features.tolist(), self._from[start:end].tolist(), self._to[start:end].tolist()))
+            found = []
+            for ranks, sides, unknown in zip(ranked, above, odd):
+                code = np.zeros(len(ranks[0]) if ranks else 0, kind)
+                for k, (f, low, high) in enumerate(conditions):
+                    met = sides[f][low]
+                    if high < len(self._grids[f]) or unknown[f]:
+                        met = met - sides[f][high + 1]
+                    code |= met if not k else met * kind(1 << k)
+                found.append(code)
+            yield features, value, tuple(found)
+            start = end
 
     @property
     def leaves(self) -> Iterator[Leaf]:
@@ -60,8 +105,8 @@ class Ensemble:
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
-        for leaf in self.leaves:
-            total += leaf.value * (leaf.satisfied(x).prod(axis=1) if len(leaf.features) else 1.0)
+        for features, value, (codes,) in self.patterns(self.ranks(x)):
+            total += value * (codes == (1 << len(features)) - 1)
         return total
 
     def output(self, x: np.ndarray) -> np.ndarray:
@@ -108,38 +153,59 @@ def shapley_values(ensemble: Ensemble, x: np.ndarray, background: np.ndarray) ->
     if ensemble.logistic:
         return _scaled_values(ensemble, x, background)
     own, other = _weights(ensemble.depth)
-    columns, behind = np.ascontiguousarray(x.T), np.ascontiguousarray(background.T)
-    values = np.zeros((ensemble.n_features, len(x)))
-    for leaf in ensemble.leaves:
-        size = len(leaf.features)
+    values, ways = np.zeros((ensemble.n_features, len(x))), {}
+    for features, value, (codes, behind) in ensemble.patterns(ensemble.ranks(x), ensemble.ranks(background)):
+        size = len(features)
         if not size:
             continue
         # What a leaf gives a row depends only on which of its conditions the row meets: far fewer patterns than rows.
-        patterns, pattern_of = _distinct(_met(leaf, columns), size)
-        theirs, times = np.unique(_met(leaf, behind), return_counts=True)
-        in_x, in_z = _bits(patterns, size), _bits(theirs, size)
-        both = in_x @ in_z.T
-        only_x, only_z = in_x.sum(1)[:, None] - both, in_z.sum(1)[None, :] - both
-        reachable = (only_x + only_z + both == size) * times
-        a, b = only_x.astype(int), only_z.astype(int)
-        gain = in_x * ((own[a, b] * reachable) @ (1.0 - in_z))
-        loss = (1.0 - in_x) * ((other[a, b] * reachable) @ in_z)
-        given = leaf.value * (gain - loss)
-        rows = np.flatnonzero(given.any(axis=1)[pattern_of])
-        if len(rows):
-            part = pattern_of[rows]
-            for k, feature in enumerate(leaf.features):
-                values[feature, rows] += given[part, k]
+        if size <= PAIR_BITS:
+            if size not in ways:
+                every = np.arange(1 << size)
+                ways[size] = _pairs(every, every, size, own, other)
+            given, pattern_of = _given(behind, size, ways[size]), codes
+        else:
+            patterns, pattern_of = _distinct(codes, size)
+            theirs, place = np.unique(behind, return_inverse=True)
+            given = _given(place, size, _pairs(patterns, theirs, size, own, other))
+        given *= value
+        some = given.any(axis=0).take(pattern_of)
+        active = np.count_nonzero(some)
+        if not active:
+            continue
+        if 4 * active > len(x):
+            part = pattern_of.astype(np.int64)
+            for k, feature in enumerate(features.tolist()):
+                values[feature] += given[k].take(part)
+        else:
+            rows = np.flatnonzero(some)
+            part = pattern_of[rows].astype(np.int64)
+            for k, feature in enumerate(features.tolist()):
+                values[feature, rows] += given[k].take(part)
     return values.T / len(background)
 
 
-def _met(leaf: Leaf, columns: np.ndarray) -> np.ndarray:
-    """A bit per condition of the leaf, for every column of a features x rows matrix."""
-    code = np.zeros(columns.shape[1], np.int64)
-    for k, (feature, low, high) in enumerate(zip(leaf.features, leaf.low, leaf.high)):
-        column = columns[feature]
-        code |= ((column > low) & (column <= high)).astype(np.int64) << k
-    return code
+def _pairs(patterns: np.ndarray, theirs: np.ndarray, size: int, own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Weights by background pattern and row pattern, 0 where they do not reach the leaf together; and the bits of both."""
+    in_x, in_z = _bits(patterns, size), _bits(theirs, size)
+    fails_x, fails_z = (size - in_x.sum(1)).astype(int)[None, :], (size - in_z.sum(1)).astype(int)[:, None]
+    reached = _reached(patterns, theirs, size).T
+    return own[fails_z, fails_x] * reached, other[fails_z, fails_x] * reached, np.ascontiguousarray(in_x.T), 1.0 - in_z
+
+
+def _given(behind: np.ndarray, size: int, pairs: tuple[np.ndarray, ...]) -> np.ndarray:
+    """What a leaf of value 1 gives each of its features, by the pattern of the row."""
+    gains, losses, in_x, fails_z = pairs
+    times = np.bincount(behind, minlength=len(gains))
+    theirs = np.flatnonzero(times)
+    times = times[theirs].astype(float)
+    gain = (fails_z[theirs] * times[:, None]).T @ gains[theirs]
+    return in_x * gain - (1.0 - in_x) * (times @ losses[theirs])
+
+
+def _reached(patterns: np.ndarray, theirs: np.ndarray, size: int) -> np.ndarray:
+    """Which patterns of rows and of the background together meet all conditions."""
+    return (patterns.astype(np.int64)[:, None] | theirs.astype(np.int64)[None, :]) == (1 << size) - 1
 
 
 def _distinct(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,34 +216,41 @@ def _distinct(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     place[codes] = 1
     found = np.flatnonzero(place)
     place[found] = np.arange(len(found))
-    return found, place[codes]
+    return found, place.take(codes)
 
 
 def _bits(codes: np.ndarray, size: int) -> np.ndarray:
-    return ((codes[:, None] >> np.arange(size)) & 1).astype(float)
+    return ((codes.astype(np.int64)[:, None] >> np.arange(size)) & 1).astype(float)
 
 
 def _scaled_values(ensemble: Ensemble, x: np.ndarray, background: np.ndarray) -> np.ndarray:
     """The same behind a logistic link, whose slope differs from pair to pair."""
-    values = np.zeros((len(x), ensemble.n_features))
+    values = np.zeros((ensemble.n_features, len(x)))
     own, other = _weights(ensemble.depth)
-    raw_z = ensemble.raw(background)
+    raw_z, ranks_z = ensemble.raw(background), ensemble.ranks(background)
     for start in range(0, len(x), CHUNK):
-        rows = slice(start, start + CHUNK)
-        scale = _link_scale(ensemble.raw(x[rows]), raw_z)
-        for leaf in ensemble.leaves:
-            size = len(leaf.features)
+        some = x[start:start + CHUNK]
+        ranks, mine = ensemble.ranks(some), values[:, start:start + CHUNK]
+        scale = _link_scale(ensemble.raw(some), raw_z)
+        for features, value, (codes, behind) in ensemble.patterns(ranks, ranks_z):
+            size = len(features)
             if not size:
                 continue
-            in_x, in_z = leaf.satisfied(x[rows]), leaf.satisfied(background)
-            both = in_x @ in_z.T
-            only_x, only_z = in_x.sum(1)[:, None] - both, in_z.sum(1)[None, :] - both
-            reachable = (only_x + only_z + both == size) * scale
-            a, b = only_x.astype(int), only_z.astype(int)
-            gain = in_x * ((own[a, b] * reachable) @ (1.0 - in_z))
-            loss = (1.0 - in_x) * ((other[a, b] * reachable) @ in_z)
-            values[rows, leaf.features] += leaf.value * (gain - loss)
-    return values / len(background)
+            patterns, pattern_of = _distinct(codes, size)
+            reached = _reached(patterns, behind, size)
+            rows = np.flatnonzero(reached.any(axis=1)[pattern_of])
+            if not len(rows):
+                continue
+            in_x, in_z = _bits(patterns, size), _bits(behind, size)
+            fails_x, fails_z = (size - in_x.sum(1)).astype(int), (size - in_z.sum(1)).astype(int)
+            part, slope = pattern_of[rows], scale[rows]
+            gain = ((own[fails_z[None, :], fails_x[:, None]] * reached)[part] * slope) @ (1.0 - in_z)
+            loss = np.einsum("ij,ij->i", (other[fails_z[None, :], fails_x[:, None]] * reached)[part], slope)
+            met = in_x[part]
+            given = value * (met * gain - (1.0 - met) * loss[:, None])
+            for k, feature in enumerate(features.tolist()):
+                mine[feature, rows] += given[:, k]
+    return values.T / len(background)
 
 
 def _link_scale(raw_x: np.ndarray, raw_z: np.ndarray) -> np.ndarray:

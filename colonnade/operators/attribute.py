@@ -1,7 +1,7 @@
 """Attribution of tree-model predictions to features, as a Spark job.
 
 The trees and a background sample of fixed size go to every task; the rows to
-explain stay where they are, and nothing is shuffled. A leaf's share is worked out
+explain are dealt evenly to many tasks, as vectors. A leaf's share is worked out
 once per pattern of met conditions in a batch, not per row and background row.
 """
 
@@ -40,6 +40,8 @@ cloudpickle.register_pickle_by_value(shapley)
 TOP_GLOBAL, TOP_BEESWARM, TOP_WATERFALL = 15, 12, 10
 
 BACKGROUND_ROWS = 100
+# A row costs a task some milliseconds, so a file of a few megabytes is work for many: rows of a task, at least and at most.
+LEAST_ROWS, MOST_ROWS = 250, 10_000
 # Nodes are sent to every task; an ensemble larger than this is refused unless a caller raises the bound.
 MAX_NODES = 1_000_000
 
@@ -167,9 +169,12 @@ def explain(explainer: Explainer, df: DataFrame, key_cols: Sequence[str]) -> Dat
 
     ``value`` is the prepared feature value. The attributions of a row add up to
     its output - the probability of the positive class, or the predicted number -
-    minus ``base_value``.
+    minus ``base_value``. The rows are dealt evenly, whatever files they come from.
     """
     rows = _vectors(explainer.fitted, df, key_cols)
+    n = df.count()
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST_ROWS))
+    rows = rows.repartition(max(1, cores, -(-n // MOST_ROWS)))
     ensemble, background = explainer.ensemble, explainer.background
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

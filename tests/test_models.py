@@ -235,6 +235,19 @@ def test_learning_curve_and_importance(spark, task):
 
 # Scoring.
 
+def test_parts_of_a_curve_read_their_own_rows(line_task):
+    """The table lies by the thresholds that rows have passed; each part has the rows below its own."""
+    shares = (1.0, 0.2, 0.6)
+    found = {(r["share"], r["fold"]): r["train_rows"] for r in curves.learning_scores(line_task, LinearRegression(solver="normal"), 2, shares).collect()}
+    place = F.pmod(curves.row_hash(line_task.train, line_task.key_cols or None, line_task.seed + 1), F.lit(1_000_000))
+    folded = line_task.folded(2, **{curves.PASSED: F.when(place < 200_000, 0).when(place < 600_000, 1).otherwise(2)})
+    for (share, k), n in found.items():
+        assert n == folded.where((F.col(compare.FOLD) != k) & (place < round(share * 1_000_000))).count()
+    first = folded.where((F.col(compare.FOLD) == 0) & (F.col(curves.PASSED) == 0))
+    assert first.count()
+    assert "PartitionFilters: [" in first._jdf.queryExecution().toString() and curves.PASSED in first._jdf.queryExecution().toString().split("PartitionFilters")[1]
+
+
 def test_scoring_checks_and_keeps_columns(classified, task):
     fitted = task.fit(FEW["logistic_regression"])
     new = classified.select("feature_b", F.lit(7).alias("extra"), "feature_a")
@@ -336,6 +349,36 @@ def test_patterns_of_long_and_short_paths():
         assert (shapley._bits(found, size) @ (1 << np.arange(size)) == found).all()
 
 
+def test_long_paths_and_odd_values_are_attributed_alike(monkeypatch):
+    """Paths beyond the table of pairs give what those within it give; a value that is no number meets no condition."""
+    source = np.random.default_rng(6)
+    leaves = []
+    for size in (1, 4, 12, 3):
+        features = np.sort(source.choice(14, size, replace=False))
+        low, high = source.normal(-1.5, 1, size), source.normal(1.5, 1, size)
+        low[source.random(size) < 0.3], high[source.random(size) < 0.3] = -np.inf, np.inf
+        leaves.append(shapley.Leaf(features, low, high, float(source.normal())))
+    ensemble = shapley.Ensemble(leaves, 14)
+    x, background = source.normal(size=(40, 14)), source.normal(size=(30, 14))
+    found = []
+    for bits in (shapley.PAIR_BITS, 0):
+        monkeypatch.setattr(shapley, "PAIR_BITS", bits)
+        found.append(shapley.shapley_values(ensemble, x, background))
+    assert found[0] == pytest.approx(found[1], abs=1e-12)
+    assert found[0].sum(axis=1) == pytest.approx(ensemble.raw(x) - ensemble.raw(background).mean(), abs=1e-12)
+    x[:, leaves[0].features[0]] = np.nan
+    assert ensemble.raw(x) == pytest.approx(sum(leaf.value * leaf.satisfied(x).prod(axis=1) for leaf in leaves), abs=1e-12)
+
+
+def test_rows_of_one_file_are_explained_by_many_tasks(explained, monkeypatch):
+    monkeypatch.setattr(attribute, "MOST_ROWS", 20)
+    df = explained.drop("size").coalesce(1)
+    explainer = attribute.make_explainer(compare.Task.of(df, "y", ["id"], NUMBERS).fit(TREES["forest_numbers"][1]), df, ["id"], 5)
+    shap = attribute.explain(explainer, df, ["id"])
+    sizes = [r["n"] for r in shap.groupBy(F.spark_partition_id()).agg(F.count_distinct("id").alias("n")).collect()]
+    assert len(sizes) > 1 and sum(sizes) == 80 and max(sizes) <= 21 and shap.count() == 80 * len(explainer.names)
+
+
 def test_fits_do_not_depend_on_parts(explained):
     df = explained.drop("size")
     guesses = []
