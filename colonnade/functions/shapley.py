@@ -90,7 +90,7 @@ class Ensemble:
                 for k, (f, low, high) in enumerate(conditions):
                     met = sides[f][low]
                     if high < len(self._grids[f]) or unknown[f]:
-                        met = met - sides[f][high + 1]
+                        met = (met > sides[f][high + 1]).view(np.uint8)
                     code |= met if not k else met * kind(1 << k)
                 found.append(code)
             yield features, value, tuple(found)
