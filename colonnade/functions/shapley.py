@@ -6,18 +6,29 @@ feature that z fails is taken from x and every one that x fails is taken from z,
 so a leaf's share of the Shapley value follows from two counts: features only x
 satisfies, and features only z satisfies. Where the leaf can be reached, these are the features that z fails and those
 that x fails, so one follows from the pattern of z and the other from that of x.
+
+Neighbouring leaves of a tree share most of their path, so they are explained together: the bounds of their conditions cut
+the features into cells, a table has what all of them give a row of each cell, and a row is one look into it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from math import factorial
+from math import factorial, prod
 
 import numpy as np
 
 # Rows explained at a time where each pair has its own scale; bounds the row-by-background matrices.
-CHUNK = 2048
+CHUNK = 131_072
+# Rows that look into the tables at a time, so that what they read and add up stays in the cache.
+LOOKS = 16_384
+# Cells of a table of several leaves, at most, and how many rows there are for each; fewer where each pair has its own scale.
+MOST_CELLS, ROWS_A_CELL = 4096, 4
+SCALED_CELLS, SCALED_ROWS = 4096, 16
+LEAST_CELLS = 256
+# How far slopes may be off, all of which are 0.5 at most, where they are kept as a product of narrow matrices.
+NARROWED = 1e-13
 # Paths of at most so many features have their patterns counted in a table.
 TABLE_BITS = 12
 # Paths of at most so many have the weights of all pairs of patterns in a table: 8 MB for the longest.
@@ -38,6 +49,25 @@ class Leaf:
         return ((part > self.low) & (part <= self.high)).astype(float)
 
 
+@dataclass(frozen=True)
+class Group:
+    """Leaves that are explained together: their features, how many cells each has and what a rank adds to the number of the
+    cell; and by leaf the axes of its features, the bits that a cell meets, and its value."""
+
+    features: list[int]
+    shape: list[int]
+    steps: list[np.ndarray]
+    leaves: list[tuple[list[int], np.ndarray, float]]
+
+    def cell(self, ranks: list[np.ndarray]) -> np.ndarray:
+        found = np.zeros(len(ranks[0]) if ranks else 0, np.int64)
+        part = np.empty_like(found)
+        for f, step in zip(self.features, self.steps):
+            # No rank lies outside, so nothing is clipped; this is the mode that writes without a copy.
+            found += step.take(ranks[f], out=part, mode="clip")
+        return found
+
+
 class Ensemble:
     """Leaves whose values add up over the trees; ``logistic`` marks margins of log-odds halves.
 
@@ -53,6 +83,8 @@ class Ensemble:
         self._low = np.concatenate([np.zeros(0), *[leaf.low for leaf in leaves]])
         self._high = np.concatenate([np.zeros(0), *[leaf.high for leaf in leaves]])
         self._values = np.array([leaf.value for leaf in leaves], dtype=float)
+        self._groups: dict[int, list[tuple[int, int]]] = {}
+        self._cells: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
         # The bounds that features are compared with, and each condition as places among them: from, to.
         self._grids, self._from, self._to = [], np.zeros(len(self._low), np.int64), np.zeros(len(self._low), np.int64)
         for f in range(n_features):
@@ -67,8 +99,7 @@ class Ensemble:
         """By feature, how many bounds lie below each row's value; a value that is not a number is above all ranks."""
         out = []
         for f, grid in enumerate(self._grids):
-            kind = np.uint8 if len(grid) < 255 else np.uint32
-            rank = np.searchsorted(grid, x[:, f], side="left").astype(kind)
+            rank = np.searchsorted(grid, x[:, f], side="left")
             rank[np.isnan(x[:, f])] = len(grid) + 1
             out.append(rank)
         return out
@@ -96,6 +127,78 @@ class Ensemble:
             yield features, value, tuple(found)
             start = end
 
+    def groups(self, most: int) -> list[tuple[int, int]]:
+        """Runs of leaves (from, to) whose conditions make at most ``most`` cells; leaves of long paths stay alone."""
+        if most not in self._groups:
+            found, start, kinds = [], 0, {}
+            ends = [0, *self._ends.tolist()]
+            features, low, high = self._features.tolist(), self._from.tolist(), self._to.tolist()
+            for i, (a, b) in enumerate(zip(ends, ends[1:])):
+                new = dict(kinds)
+                for f, condition in zip(features[a:b], zip(low[a:b], high[a:b])):
+                    before = new.get(f, ((), 1))
+                    if condition not in before[0]:
+                        every = (*before[0], condition)
+                        new[f] = every, len(self._cells_of(f, every)[1])
+                long = b - a > PAIR_BITS
+                if i > start and (long or prod(n for _, n in new.values()) > most):
+                    found.append((start, i))
+                    start = i
+                    new = {f: ((c,), len(self._cells_of(f, (c,))[1])) for f, c in zip(features[a:b], zip(low[a:b], high[a:b]))}
+                kinds = new
+                if long:
+                    found.append((i, i + 1))
+                    start, kinds = i + 1, {}
+            if start < len(self._ends):
+                found.append((start, len(self._ends)))
+            self._groups[most] = found
+        return self._groups[most]
+
+    def long(self, leaf: int) -> bool:
+        return self._ends[leaf] - (self._ends[leaf - 1] if leaf else 0) > PAIR_BITS
+
+    def path(self, leaf: int, *ranked: list[np.ndarray]) -> tuple:
+        """Features and value of a leaf and, for each table of ranks, a bit per condition that a row meets."""
+        a, b = (int(self._ends[leaf - 1]) if leaf else 0), int(self._ends[leaf])
+        conditions = list(zip(self._features[a:b].tolist(), self._from[a:b].tolist(), self._to[a:b].tolist()))
+        codes = (sum(((ranks[f] >= low) & (ranks[f] <= high)).astype(np.int64) << k for k, (f, low, high) in enumerate(conditions)) for ranks in ranked)
+        return [f for f, _, _ in conditions], float(self._values[leaf]), *codes
+
+    def _cells_of(self, feature: int, conditions: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each rank of a feature, and which of the conditions (columns) each cell meets."""
+        key = feature, conditions
+        if key not in self._cells:
+            rank = np.arange(len(self._grids[feature]) + 2)
+            code = sum(((rank >= low) & (rank <= high)).astype(np.int64) << i for i, (low, high) in enumerate(conditions))
+            kinds, cell = np.unique(code, return_inverse=True)
+            self._cells[key] = cell.astype(np.int64), ((kinds[:, None] >> np.arange(len(conditions))) & 1).astype(np.int64)
+        return self._cells[key]
+
+    def group(self, start: int, end: int) -> Group:
+        ends = [0, *self._ends[start:end].tolist()] if not start else self._ends[start - 1:end].tolist()
+        conditions: dict[int, list[tuple[int, int]]] = {}
+        leaves = []
+        for a, b, value in zip(ends, ends[1:], self._values[start:end].tolist()):
+            of = list(zip(self._features[a:b].tolist(), self._from[a:b].tolist(), self._to[a:b].tolist()))
+            for f, low, high in of:
+                known = conditions.setdefault(f, [])
+                if (low, high) not in known:
+                    known.append((low, high))
+            if of:
+                leaves.append((of, value))
+        features = sorted(conditions)
+        cells, meets = zip(*(self._cells_of(f, tuple(conditions[f])) for f in features)) if features else ((), ())
+        shape = [len(m) for m in meets]
+        axis, strides = {f: i for i, f in enumerate(features)}, [prod(shape[i + 1:]) for i in range(len(shape))]
+        met = []
+        for of, value in leaves:
+            code = np.zeros([1] * len(features), np.int64)
+            for k, (f, low, high) in enumerate(of):
+                side = [-1 if i == axis[f] else 1 for i in range(len(features))]
+                code = code + (meets[axis[f]][:, conditions[f].index((low, high))] << k).reshape(side)
+            met.append(([axis[f] for f, _, _ in of], code, value))
+        return Group(features, shape, [c * s for c, s in zip(cells, strides)], met)
+
     @property
     def leaves(self) -> Iterator[Leaf]:
         start = 0
@@ -153,38 +256,62 @@ def shapley_values(ensemble: Ensemble, x: np.ndarray, background: np.ndarray) ->
     if ensemble.logistic:
         return _scaled_values(ensemble, x, background)
     own, other = _weights(ensemble.depth)
-    values, ways = np.zeros((ensemble.n_features, len(x))), {}
-    for features, value, (codes, behind) in ensemble.patterns(ensemble.ranks(x), ensemble.ranks(background)):
-        size = len(features)
-        if not size:
+    values, ways = np.zeros((ensemble.n_features, len(x))), _Ways(own, other)
+    ranks, ranks_z = ensemble.ranks(x), ensemble.ranks(background)
+    most, taken = cells_for(ensemble, len(x)), np.empty(min(LOOKS, len(x)))
+    for start, end in ensemble.groups(most):
+        if ensemble.long(start):
+            _add_long(ensemble, start, ranks, ranks_z, own, other, values)
             continue
-        # What a leaf gives a row depends only on which of its conditions the row meets: far fewer patterns than rows.
-        if size <= PAIR_BITS:
-            if size not in ways:
-                every = np.arange(1 << size)
-                ways[size] = _pairs(every, every, size, own, other)
-            given, pattern_of = _given(behind, size, ways[size]), codes
-        else:
-            patterns, pattern_of = _distinct(codes, size)
-            theirs, place = np.unique(behind, return_inverse=True)
-            given = _given(place, size, _pairs(patterns, theirs, size, own, other))
-        given *= value
-        some = given.any(axis=0).take(pattern_of)
-        active = np.count_nonzero(some)
-        if not active:
+        group = ensemble.group(start, end)
+        if not group.features:
             continue
-        if 4 * active > len(x):
-            part = pattern_of.astype(np.int64)
-            for k, feature in enumerate(features.tolist()):
-                values[feature] += given[k].take(part)
-        else:
-            rows = np.flatnonzero(some)
-            part = pattern_of[rows].astype(np.int64)
-            for k, feature in enumerate(features.tolist()):
-                values[feature, rows] += given[k].take(part)
+        # What some leaves give a row depends only on its cell: far fewer than rows.
+        behind = group.cell(ranks_z)
+        table = np.zeros((len(group.features), *group.shape))
+        for axes, met, value in group.leaves:
+            size = len(axes)
+            given = _given(np.broadcast_to(met, group.shape).reshape(-1)[behind], size, ways[size]) * value
+            for k, axis in enumerate(axes):
+                table[axis] += given[k].take(met)
+        table = table.reshape(len(group.features), -1)
+        for a in range(0, len(x), LOOKS):
+            cell = group.cell([rank[a:a + LOOKS] for rank in ranks])
+            there = taken[:len(cell)]
+            for row, f in zip(table, group.features):
+                values[f, a:a + LOOKS] += row.take(cell, out=there, mode="clip")
     return values.T / len(background)
 
 
+def cells_for(ensemble: Ensemble, rows: int) -> int:
+    """Cells of a table at most, where so many rows look into it: a power of two, so that few groupings are made."""
+    most, each = (SCALED_CELLS, SCALED_ROWS) if ensemble.logistic else (MOST_CELLS, ROWS_A_CELL)
+    return min(most, max(LEAST_CELLS, 1 << max(rows // each, 1).bit_length() - 1))
+
+
+class _Ways(dict):
+    """By the length of a path the weights of all pairs of patterns."""
+
+    def __init__(self, own: np.ndarray, other: np.ndarray):
+        super().__init__()
+        self.own, self.other = own, other
+
+    def __missing__(self, size: int) -> tuple[np.ndarray, ...]:
+        every = np.arange(1 << size)
+        self[size] = _pairs(every, every, size, self.own, self.other)
+        return self[size]
+
+
+def _add_long(ensemble: Ensemble, leaf: int, ranks, ranks_z, own: np.ndarray, other: np.ndarray, values: np.ndarray) -> None:
+    """Adds what a leaf gives whose path is too long for a table of all patterns: only those that occur are worked out."""
+    features, value, codes, behind = ensemble.path(leaf, ranks, ranks_z)
+    patterns, pattern_of = _distinct(codes, len(features))
+    theirs, place = np.unique(behind, return_inverse=True)
+    given = _given(place, len(features), _pairs(patterns, theirs, len(features), own, other)) * value
+    for k, feature in enumerate(features):
+        values[feature] += given[k].take(pattern_of)
+
+
 def _pairs(patterns: np.ndarray, theirs: np.ndarray, size: int, own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
     """Weights by background pattern and row pattern, 0 where they do not reach the leaf together; and the bits of both."""
     in_x, in_z = _bits(patterns, size), _bits(theirs, size)
@@ -203,6 +330,16 @@ def _given(behind: np.ndarray, size: int, pairs: tuple[np.ndarray, ...]) -> np.n
     return in_x * gain - (1.0 - in_x) * (times @ losses[theirs])
 
 
+def _of_pairs(patterns: np.ndarray, behind: np.ndarray, size: int, own: np.ndarray, other: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """What a leaf of value 1 gives, by row pattern, column of ``basis`` (background rows x columns) and feature."""
+    in_x, in_z = _bits(patterns, size), _bits(behind, size)
+    fails_x, fails_z = (size - in_x.sum(1)).astype(int)[:, None], (size - in_z.sum(1)).astype(int)[None, :]
+    reached = _reached(patterns, behind, size)
+    gain, loss = own[fails_z, fails_x] * reached, other[fails_z, fails_x] * reached
+    gains = np.stack([(gain * (1.0 - in_z[:, k])) @ basis for k in range(size)], axis=-1)
+    return in_x[:, None, :] * gains - (1.0 - in_x)[:, None, :] * (loss @ basis)[:, :, None]
+
+
 def _reached(patterns: np.ndarray, theirs: np.ndarray, size: int) -> np.ndarray:
     """Which patterns of rows and of the background together meet all conditions."""
     return (patterns.astype(np.int64)[:, None] | theirs.astype(np.int64)[None, :]) == (1 << size) - 1
@@ -224,40 +361,67 @@ def _bits(codes: np.ndarray, size: int) -> np.ndarray:
 
 
 def _scaled_values(ensemble: Ensemble, x: np.ndarray, background: np.ndarray) -> np.ndarray:
-    """The same behind a logistic link, whose slope differs from pair to pair."""
-    values = np.zeros((ensemble.n_features, len(x)))
+    """The same behind a logistic link, whose slope differs from pair to pair: rows of a cell are one product of matrices."""
+    values = np.zeros((len(x), ensemble.n_features))
     own, other = _weights(ensemble.depth)
     raw_z, ranks_z = ensemble.raw(background), ensemble.ranks(background)
     for start in range(0, len(x), CHUNK):
         some = x[start:start + CHUNK]
-        ranks, mine = ensemble.ranks(some), values[:, start:start + CHUNK]
-        scale = _link_scale(ensemble.raw(some), raw_z)
-        for features, value, (codes, behind) in ensemble.patterns(ranks, ranks_z):
-            size = len(features)
-            if not size:
-                continue
-            patterns, pattern_of = _distinct(codes, size)
-            reached = _reached(patterns, behind, size)
-            rows = np.flatnonzero(reached.any(axis=1)[pattern_of])
-            if not len(rows):
-                continue
-            in_x, in_z = _bits(patterns, size), _bits(behind, size)
-            fails_x, fails_z = (size - in_x.sum(1)).astype(int), (size - in_z.sum(1)).astype(int)
-            part, slope = pattern_of[rows], scale[rows]
-            gain = ((own[fails_z[None, :], fails_x[:, None]] * reached)[part] * slope) @ (1.0 - in_z)
-            loss = np.einsum("ij,ij->i", (other[fails_z[None, :], fails_x[:, None]] * reached)[part], slope)
-            met = in_x[part]
-            given = value * (met * gain - (1.0 - met) * loss[:, None])
-            for k, feature in enumerate(features.tolist()):
-                mine[feature, rows] += given[:, k]
-    return values.T / len(background)
+        ranks, mine = ensemble.ranks(some), values[start:start + CHUNK]
+        scale, basis = _narrowed(ensemble.raw(some), raw_z)
+        for first, end in ensemble.groups(cells_for(ensemble, len(some))):
+            if ensemble.long(first):
+                features, value, codes, behind = ensemble.path(first, ranks, ranks_z)
+                patterns, cell = _distinct(codes, len(features))
+                table = value * _of_pairs(patterns, behind, len(features), own, other, basis)
+            else:
+                group = ensemble.group(first, end)
+                features, inside = group.features, group.cell(ranks_z)
+                if not features:
+                    continue
+                present, cell = _distinct(group.cell(ranks), (prod(group.shape) - 1).bit_length())
+                table = np.zeros((len(present), basis.shape[1], len(features)))
+                for axes, met, value in group.leaves:
+                    codes = np.broadcast_to(met, group.shape).reshape(-1)
+                    patterns, pattern_of = _distinct(codes[present], len(axes))
+                    table[:, :, axes] += (value * _of_pairs(patterns, codes[inside], len(axes), own, other, basis))[pattern_of]
+            order = np.argsort(cell.astype(np.uint16 if len(table) < 1 << 16 else np.int64), kind="stable")
+            ends = np.cumsum(np.bincount(cell, minlength=len(table))).tolist()
+            given = np.zeros((len(some), len(features)))
+            for part, a, b in zip(table, [0, *ends], ends):
+                if a < b and part.any():
+                    given[order[a:b]] = scale[order[a:b]] @ part
+            mine[:, features] += given
+    return values / len(background)
+
+
+def _narrowed(raw_x: np.ndarray, raw_z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slopes of all pairs as a product of a narrow matrix and the transposed second one, the same but for rounding.
+
+    Slopes are a smooth function of two margins, so the columns of the background rows are mixtures of few. These are taken
+    from some rows and kept only if all rows are given back.
+    """
+    parts = [raw_x[a:a + LOOKS] for a in range(0, len(raw_x), LOOKS)]
+    some = np.sort(raw_x)[np.linspace(0, len(raw_x) - 1, min(len(raw_x), 4 * len(raw_z))).astype(int)]
+    _, sizes, mixtures = np.linalg.svd(_link_scale(some, raw_z), full_matrices=False)
+    basis, narrow = np.ascontiguousarray(mixtures[sizes > 1e-15 * sizes[0]].T), []
+    for part in parts:
+        scale = _link_scale(part, raw_z)
+        narrow.append(scale @ basis)
+        if np.abs(narrow[-1] @ basis.T - scale).max() > NARROWED:
+            return np.concatenate([_link_scale(p, raw_z) for p in parts]), np.eye(len(raw_z))
+    return np.concatenate(narrow), basis
 
 
 def _link_scale(raw_x: np.ndarray, raw_z: np.ndarray) -> np.ndarray:
-    """Slope of the logistic link between the margins of each pair."""
+    """Slope of the logistic link between the margins of each pair.
+
+    The difference of the chances is ``sinh(x - z) / (2 cosh(x) cosh(z))``, which does not cancel where margins are near.
+    """
     p_x, p_z = 1.0 / (1.0 + np.exp(-2.0 * raw_x)), 1.0 / (1.0 + np.exp(-2.0 * raw_z))
     run = raw_x[:, None] - raw_z[None, :]
-    rise = p_x[:, None] - p_z[None, :]
-    near = np.abs(run) < 1e-9
-    at = np.broadcast_to((2.0 * p_x * (1.0 - p_x))[:, None], run.shape)
-    return np.where(near, at, rise / np.where(near, 1.0, run))
+    near = np.abs(run) < 1.0
+    small = np.where(near & (run != 0.0), run, 1.0)
+    flat_x, flat_z = (2.0 * np.exp(-np.abs(raw)) / (1.0 + np.exp(-2.0 * np.abs(raw))) for raw in (raw_x, raw_z))
+    at = 0.5 * flat_x[:, None] * flat_z[None, :] * np.where(run == 0.0, 1.0, np.sinh(small) / small)
+    return np.where(near, at, (p_x[:, None] - p_z[None, :]) / np.where(near, 1.0, run))

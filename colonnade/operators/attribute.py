@@ -1,8 +1,8 @@
 """Attribution of tree-model predictions to features, as a Spark job.
 
 The trees and a background sample of fixed size go to every task; the rows to
-explain are dealt evenly to many tasks, as vectors. A leaf's share is worked out
-once per pattern of met conditions in a batch, not per row and background row.
+explain are dealt evenly to many tasks, as vectors. Neighbouring leaves
+are tabled together for all rows of a task, so a row is one look into each table.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
@@ -40,8 +40,10 @@ cloudpickle.register_pickle_by_value(shapley)
 TOP_GLOBAL, TOP_BEESWARM, TOP_WATERFALL = 15, 12, 10
 
 BACKGROUND_ROWS = 100
-# A row costs a task some milliseconds, so a file of a few megabytes is work for many: rows of a task, at least and at most.
-LEAST_ROWS, MOST_ROWS = 250, 10_000
+# A row costs a task some tenths of a millisecond and the tables of all leaves some seconds: rows of a task at least, and at
+# most, which are also those that a task explains at once; and rows that it gives back at a time.
+LEAST_ROWS, MOST_ROWS = 250, 131_072
+BATCH_ROWS = 10_000
 # Nodes are sent to every task; an ensemble larger than this is refused unless a caller raises the bound.
 MAX_NODES = 1_000_000
 
@@ -174,21 +176,36 @@ def explain(explainer: Explainer, df: DataFrame, key_cols: Sequence[str]) -> Dat
     rows = _vectors(explainer.fitted, df, key_cols)
     n = df.count()
     cores = min(df.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST_ROWS))
-    rows = rows.repartition(max(1, cores, -(-n // MOST_ROWS)))
+    tasks = max(1, cores, -(-n // MOST_ROWS))
+    rows = rows.repartition(tasks)
     ensemble, background = explainer.ensemble, explainer.background
+    # The grouping of the leaves, for the rows that a task has, travels with them.
+    ensemble.groups(shapley.cells_for(ensemble, -(-n // tasks)))
+
+    def attribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, held = [], 0
+
+        def explained() -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(waiting).combine_chunks()
+            x = whole.column("x").combine_chunks()
+            made = shapley_values(ensemble, x.flatten().to_numpy(zero_copy_only=False).reshape(whole.num_rows, -1), background)
+            ends = np.arange(whole.num_rows + 1, dtype=np.int32) * made.shape[1]
+            yield from whole.append_column("shap", pa.ListArray.from_arrays(ends, made.ravel()).cast(x.type)).to_batches(BATCH_ROWS)
 
-    def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                x = np.stack(batch["x"].to_numpy())
-                batch["shap"] = list(shapley_values(ensemble, x, background))
-                yield batch
+            if batch.num_rows:
+                waiting, held = [*waiting, batch], held + batch.num_rows
+            if held >= MOST_ROWS:
+                yield from explained()
+                waiting, held = [], 0
+        if waiting:
+            yield from explained()
 
     schema = rows.select("*", F.col("x").alias("shap")).schema
     names = F.array(*[F.lit(n) for n in explainer.names])
     cells = F.arrays_zip(names.alias("feature"), F.col("x").alias("value"), F.col("shap").alias("shap"))
     return (
-        rows.mapInPandas(attribute, schema)
+        rows.mapInArrow(attribute, schema)
         .select(*[col(c) for c in key_cols], F.explode(cells).alias("cell"))
         .select(
             *[col(c) for c in key_cols], F.col("cell")["feature"].alias("feature"), F.col("cell")["value"].alias("value"),
