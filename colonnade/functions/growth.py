@@ -88,12 +88,30 @@ def hashed(place: np.ndarray, *keys: int) -> np.ndarray:
     return x
 
 
+class Steps:
+    """How many of some rising limits (as parts of all hashes) a hash has passed, by its first bits where these tell."""
+
+    def __init__(self, limits):
+        self.limits = np.asarray(limits, float) * 2.0**64
+        edges = np.arange(4097) * 2.0**52
+        passed = np.searchsorted(self.limits, edges, side="right")
+        self.passed, self.open = passed[:-1], passed[:-1] != passed[1:]
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        first = (hashes >> np.uint64(52)).astype(np.int64)
+        found = self.passed.take(first)
+        some = np.flatnonzero(self.open.take(first))
+        found[some] = np.searchsorted(self.limits, hashes[some].astype(np.float64), side="right")
+        return found
+
+
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
+_DRAWN = Steps(_POISSON)
 
 
 def bootstrap(place: np.ndarray, seed: int, tree: int) -> np.ndarray:
     """How often each row is drawn for a tree: Poisson numbers of mean 1."""
-    return np.searchsorted(_POISSON, hashed(place, seed, tree, 1) / 2.0**64, side="right").astype(np.float64)
+    return _DRAWN.of(hashed(place, seed, tree, 1)).astype(np.float64)
 
 
 def drawn(place: np.ndarray, rule: Rule, tree: int) -> np.ndarray | None:
@@ -407,6 +425,36 @@ class Alike:
         return np.bincount(self.of, weights, count), summed
 
 
+class Counted:
+    """Kinds whose rows were counted where they lie: by tree the weights and, of numbers, the sums, None for every tree alike."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, cells: Cells, counts: dict, sums: dict):
+        self.x, self.y, self.bundles, self.counts, self.sums = x, y, bundled(x, cells), counts, sums
+
+    def drawn(self, tree: int) -> tuple[np.ndarray, np.ndarray]:
+        key = tree if tree in self.counts else None
+        return self.counts[key], self.sums.get(key, self.y)
+
+
+def codes_of(x: np.ndarray, y: np.ndarray | None, sizes: list[int], classes: int) -> np.ndarray:
+    """A whole number for each combination of bins and, of classes, the label."""
+    code = np.zeros(x.shape[1], np.int64) if y is None else y.astype(np.int64)
+    width = 1 if y is None else classes
+    for column, size in zip(x, sizes):
+        code += column.astype(np.int64) * width
+        width *= size
+    return code
+
+
+def kinds_from(codes: np.ndarray, labelled: bool, sizes: list[int], classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bins (features x kinds) and labels that codes stand for."""
+    y, rest = (codes % classes, codes // classes) if labelled else (np.zeros(len(codes), np.int64), codes)
+    x = np.empty((len(sizes), len(codes)), np.uint8)
+    for f, size in enumerate(sizes):
+        x[f], rest = rest % size, rest // size
+    return x, y.astype(float)
+
+
 def kinds_of(columns: list[tuple[np.ndarray, int]], rows: int) -> tuple[np.ndarray, int] | None:
     """A number for each distinct combination and how many there are; None if there are too few rows for each."""
     of, kinds, most = np.zeros(rows, np.int64), 1, rows // ROWS_A_KIND
@@ -467,7 +515,10 @@ def finished(tree: Tree, rule: Rule, spread: float, sums: np.ndarray | None = No
 
 def boost(x, y, place, start, spread, rule: Rule, cells: Cells, seen) -> None:
     """Grows a tree per output in each round and shows them to ``seen``."""
-    alike = Alike(x, y, place, start, spread, rule, cells)
+    boost_on(Alike(x, y, place, start, spread, rule, cells), start, spread, rule, cells, seen)
+
+
+def boost_on(alike: Alike | Counted, start, spread, rule: Rule, cells: Cells, seen) -> None:
     margins = np.repeat(np.asarray(start, float)[:, None], alike.x.shape[1], axis=1)
     for t in range(rule.trees):
         weights, own = alike.drawn(t)
@@ -506,7 +557,10 @@ def averaged(tree: Tree, rule: Rule, start: np.ndarray, spread: float) -> Tree:
 
 def plant(x, y, place, start, spread, rule: Rule, cells: Cells, numbers, seen) -> None:
     """Grows the trees of a forest with the given numbers and shows each to ``seen``."""
-    alike = Alike(x, y, place, start, spread, rule, cells)
+    plant_on(Alike(x, y, place, start, spread, rule, cells), start, spread, rule, cells, numbers, seen)
+
+
+def plant_on(alike: Alike | Counted, start, spread, rule: Rule, cells: Cells, numbers, seen) -> None:
     for t in numbers:
         weights, own = alike.drawn(t)
         # The sums of numbers have the weights in them; labels say where each class is.

@@ -53,7 +53,12 @@ KEEP_ROUNDS = 8
 # Cells of histograms that a task of a level's job holds.
 TASK_CELLS = 8_000_000
 
+# Rows of a fold from which kinds are counted where the rows lie, and how many kinds of a fold there may be for that.
+COUNT_ROWS = 50_000
+MOST_KINDS = 20_000
+
 BLOCKS = "fold int, held boolean, block bigint, n int, y binary, place binary, x binary"
+PREDICTIONS = "model int, fold int, label double, prediction double"
 OUTPUTS = "model int, fold int, part int, block bigint, y binary, raw binary, seconds double"
 
 
@@ -206,8 +211,10 @@ class Folds:
     def models(self) -> dict[tuple[int, str], TreeModel]:
         """The fitted models, whose trees come to the driver. Only for models that are kept."""
         jobs = self.jobs()
-        if self.few():
-            rows = _in_tasks(self, _trees_of_part, "job int, round int, trees binary").collect()
+        counted = _Counted.of(self)
+        if counted or self.few():
+            trees = "job int, round int, trees binary"
+            rows = counted.in_tasks(_trees_of_part, trees).collect() if counted else _in_tasks(self, _trees_of_part, trees).collect()
             grown: list[list[list[Tree]]] = [[] for _ in jobs]
             for r in sorted(rows, key=lambda r: (r["job"], r["round"])):
                 grown[r["job"]].append([Tree(*parts) for parts in pickle.loads(r["trees"])])
@@ -223,7 +230,8 @@ class Folds:
 
     def scores(self, problem_is_classes: bool) -> list[tuple]:
         """(fold, name, {metric: score}, seconds) of each model on its fold's held-out rows."""
-        outputs = self.outputs()
+        counted = _Counted.of(self)
+        outputs = counted.outputs() if counted else self.outputs()
         rules = dict(enumerate(self.rules))
         seconds = {r["model"]: r["s"] for r in outputs.groupBy("model", "part").agg(F.max("seconds").alias("s")).groupBy("model").agg(F.sum("s").alias("s")).collect()}
 
@@ -234,7 +242,10 @@ class Folds:
             raw = reduce(np.add, [np.frombuffer(b.as_py()) for b in found.column("raw")]).reshape(rule.outputs, len(y))
             return pa.table({"model": pa.array([model] * len(y), pa.int32()), "fold": pa.array([fold] * len(y), pa.int32()), "label": y, "prediction": decided(raw, rule)})
 
-        predictions = outputs.groupBy("model", "fold", "block").applyInArrow(guesses, "model int, fold int, label double, prediction double")
+        if counted:
+            predictions = counted.predictions(outputs)
+        else:
+            predictions = outputs.groupBy("model", "fold", "block").applyInArrow(guesses, PREDICTIONS)
         by = ["model", "fold"]
         if problem_is_classes:
             scored = classification_scores(predictions, by=by).select(*by, F.create_map(F.lit("accuracy"), "accuracy", F.lit("f1"), "f1").alias("scores"))
@@ -337,11 +348,7 @@ def _arrays(y: bytes, place: bytes, x: bytes, n: int) -> tuple[np.ndarray, np.nd
 
 def _in_tasks(folds: Folds, of_part, schema: str) -> DataFrame:
     """``of_part`` over the rows of each part's fold: a part is a job, or some trees of a forest."""
-    parts = []
-    for j, job in enumerate(folds.jobs()):
-        share = 1 if job.rule.boosted else min(FOREST_PARTS, job.rule.trees)
-        parts += [(j, job, range(p, job.rule.trees, share), p) for p in range(share)]
-    known = folds.known
+    parts, known = _parts(folds.jobs()), folds.known
     # A row for each part, with a key: models times parts of a forest at most.
     listed = folds.spark.createDataFrame([(i, job.fold) for i, (_, job, _, _) in enumerate(parts)], "part int, fold int")
     arrow = _arrow_schema(folds.spark, schema)
@@ -366,6 +373,15 @@ def _in_tasks(folds: Folds, of_part, schema: str) -> DataFrame:
     return paired.groupBy("part").applyInArrow(run, schema)
 
 
+def _parts(jobs: list[Job]) -> list[tuple[int, Job, range, int]]:
+    """What tasks grow: the number of a job, the job, the numbers of its trees, and which part of the job that is."""
+    parts = []
+    for j, job in enumerate(jobs):
+        share = 1 if job.rule.boosted else min(FOREST_PARTS, job.rule.trees)
+        parts += [(j, job, range(p, job.rule.trees, share), p) for p in range(share)]
+    return parts
+
+
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -426,6 +442,203 @@ def _trees_of_part(j: int, job: Job, part: int, held, fold: Fold, grow, began: f
     return iter(found)
 
 
+# Kinds of rows, counted where the rows lie.
+
+class _Counted:
+    """Rows of equal bins (and, of classes, equal labels) by kind, where kinds are few.
+
+    What a tree sees of the rows are weights and sums by kind. These are counted by jobs over the blocks, once for all models
+    that draw by the same seed: boosting by several rates shares the hashes, and forests share the draws of a tree. Trees then
+    grow on kinds, as many as they are, however many rows there are.
+    """
+
+    def __init__(self, folds: Folds, codes: dict[int, np.ndarray]):
+        self.folds, self.codes, self.jobs = folds, codes, folds.jobs()
+        # By fold and way of drawing: the trees that draw by it and the rates, () for bootstraps, (1.0,) for all rows.
+        self.ways: dict[int, dict[tuple, tuple[int, list[float]]]] = {}
+        for job in self.jobs:
+            way, rate = self._way(job.rule)
+            trees, rates = self.ways.setdefault(job.fold, {}).get(way, (0, []))
+            self.ways[job.fold][way] = max(trees, job.rule.trees), sorted({*rates, rate})
+
+    @staticmethod
+    def _way(rule: Rule) -> tuple[tuple, float]:
+        if not rule.boosted:
+            return ("bootstrap", rule.seed), 1.0
+        return (("all", 0), 1.0) if rule.rate >= 1 else (("rate", rule.seed), rule.rate)
+
+    @classmethod
+    def of(cls, folds: Folds) -> _Counted | None:
+        """None where the rows are few, or the kinds are not."""
+        if "counted" not in vars(folds):
+            folds.counted = cls._made(folds)
+        return folds.counted
+
+    @classmethod
+    def _made(cls, folds: Folds) -> _Counted | None:
+        shapes = _shapes(folds)
+        most = min(MOST_KINDS, TASK_CELLS // (2 * max(len(folds.names), 1)), min(k.rows for k in folds.known.values()) // growth.ROWS_A_KIND)
+        if max(k.rows for k in folds.known.values()) < COUNT_ROWS or any(w >= 2**62 for _, _, _, w in shapes.values()):
+            return None
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for fold, n, y, x in zip(*(batch.column(c).to_pylist() for c in ("fold", "n", "y", "x"))):
+                    codes = _codes(shapes[fold], np.frombuffer(y), np.frombuffer(x, np.uint8).reshape(-1, n))
+                    found[fold] = np.union1d(found.get(fold, codes[:0]), codes)
+                    if len(found[fold]) > most:
+                        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary())], ["fold", "codes"])
+                        return
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([*found], pa.int32()), pa.array([c.tobytes() for c in found.values()], pa.binary())], ["fold", "codes"])
+
+        def merge(table: pa.Table) -> pa.Table:
+            codes = np.unique(np.concatenate([np.frombuffer(b.as_py(), np.int64) for b in table.column("codes")]))
+            return pa.table({"fold": table.column("fold")[:1], "codes": pa.array([codes[:most + 1].tobytes()], pa.binary())})
+
+        rows = folds.blocks.mapInArrow(run, "fold int, codes binary").groupBy("fold").applyInArrow(merge, "fold int, codes binary").collect()
+        found = {r["fold"]: np.frombuffer(r["codes"], np.int64) for r in rows}
+        return None if -1 in found or any(len(c) > most for c in found.values()) else cls(folds, found)
+
+    def _draws(self) -> DataFrame:
+        """``(fold, way, rate, tree, counts, sums)``: weights and sums of numbers by kind, written once."""
+        shapes, known, codes_by_fold = _shapes(self.folds), self.folds.known, self.codes
+        ways = {fold: list(enumerate(mine.items())) for fold, mine in self.ways.items()}
+        # Weights and sums of all folds by tree that a task holds at once.
+        cells = 2 * sum(len(codes_by_fold[f]) * sum(len(rates) for _, (_, (_, rates)) in mine) for f, mine in ways.items())
+        at_once = max(1, TASK_CELLS // max(cells, 1))
+        trees = max(n for mine in ways.values() for _, (_, (n, _)) in mine)
+        schema, path = "fold int, way int, rate int, tree int, counts binary, sums binary", scratch_path(self.folds.spark, "draws")
+        names = [c.split()[0] for c in schema.split(", ")]
+
+        def job(first: int, end: int) -> None:
+            def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                totals: dict[tuple, np.ndarray] = {}
+                steps = {(fold, way): growth.Steps(rates) for fold, mine in ways.items() for way, ((name, _), (_, rates)) in mine if name == "rate"}
+
+                def add(fold: int, way: int, tree: int, kind, place, weights, own, kinds: int) -> None:
+                    """``place`` is the first rate that a row is drawn at, None if it is at all."""
+                    index, n = (kind, kinds) if place is None else (place * kinds + kind, kinds * (len(ways[fold][way][1][1][1]) + 1))
+                    new = np.stack([np.bincount(index, weights, n), np.bincount(index, own if weights is None else own * weights, n)])
+                    key = fold, way, tree
+                    totals[key] = totals[key] + new if key in totals else new
+
+                for batch in batches:
+                    for fold, n, *data in zip(*(batch.column(c).to_pylist() for c in ("fold", "n", "y", "place", "x"))):
+                        y, place, x = _arrays(*data, n)
+                        kinds = len(codes_by_fold[fold])
+                        kind = np.searchsorted(codes_by_fold[fold], _codes(shapes[fold], y, x))
+                        own = np.zeros(n) if shapes[fold][0] else np.rint((y - known[fold].mean) * (growth.SCALE / known[fold].spread))
+                        for way, ((name, seed), (count, rates)) in ways[fold]:
+                            if name == "all":
+                                if not first:
+                                    add(fold, way, 0, kind, None, None, own, kinds)
+                                continue
+                            for t in range(first, min(end, count)):
+                                if name == "bootstrap":
+                                    add(fold, way, t, kind, None, growth.bootstrap(place, seed, t), own, kinds)
+                                else:
+                                    add(fold, way, t, kind, steps[fold, way].of(growth.hashed(place, seed, t, 2)), None, own, kinds)
+                for (fold, way, tree), (counts, sums) in totals.items():
+                    yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.int32()) for v in (fold, way, 0, tree)), *(pa.array([v.tobytes()], pa.binary()) for v in (counts, sums))], names)
+
+            def added(table: pa.Table) -> pa.Table:
+                fold, way, tree = (table.column(c)[0].as_py() for c in ("fold", "way", "tree"))
+                counts, sums = (reduce(np.add, (np.frombuffer(b.as_py()) for b in table.column(c))).reshape(-1, len(codes_by_fold[fold])) for c in ("counts", "sums"))
+                rates = ways[fold][way][1][1][1]
+                if len(counts) > 1:
+                    # Rows that are drawn at a rate are drawn at all higher ones.
+                    counts, sums = counts.cumsum(axis=0)[:-1], sums.cumsum(axis=0)[:-1]
+                return pa.Table.from_arrays([*(pa.array([v] * len(rates), pa.int32()) for v in (fold, way)), pa.array(range(len(rates)), pa.int32()), pa.array([tree] * len(rates), pa.int32()),
+                                             *(pa.array([v.tobytes() for v in values], pa.binary()) for values in (counts, sums))], names)
+
+            rows = self.folds.blocks.where("NOT held")
+            tasks = max(1, min(rows.rdd.getNumPartitions(), self.folds.spark.sparkContext.defaultParallelism * 2))
+            rows.coalesce(tasks).mapInArrow(run, schema).groupBy("fold", "way", "tree").applyInArrow(added, schema).write.mode("append").parquet(path)
+
+        for first in range(0, trees, at_once):
+            job(first, min(trees, first + at_once))
+            if all(name == "all" for mine in ways.values() for _, ((name, _), _) in mine):
+                break
+        return self.folds.spark.read.schema(schema).parquet(path)
+
+    def in_tasks(self, of_part, schema: str) -> DataFrame:
+        """``of_part`` over the kinds of each part's fold: a part is a job, or some trees of a forest."""
+        parts, listed = _parts(self.jobs), []
+        for i, (_, job, _, p) in enumerate(parts):
+            way, rate = self._way(job.rule)
+            order = list(self.ways[job.fold])
+            listed.append((i, job.fold, order.index(way), self.ways[job.fold][way][1].index(rate), 1 if job.rule.boosted else min(FOREST_PARTS, job.rule.trees), p, job.rule.trees))
+        wanted = self.folds.spark.createDataFrame(listed, "part int, fold int, way int, rate int, share int, number int, trees int")
+        arrow, known, codes, shapes = _arrow_schema(self.folds.spark, schema), self.folds.known, self.codes, _shapes(self.folds)
+
+        def run(found: pa.Table) -> pa.Table:
+            began = time.perf_counter()
+            j, job, numbers, p = parts[found.column("part")[0].as_py()]
+            fold, rule = known[job.fold], job.rule
+            x, y = growth.kinds_from(codes[job.fold], *shapes[job.fold][:3])
+            every = rule.boosted and rule.rate >= 1
+            trees = [None] if every else found.column("tree").to_pylist()
+            counts, sums = (dict(zip(trees, (np.frombuffer(b.as_py()) for b in found.column(c)))) for c in ("counts", "sums"))
+            counted = growth.Counted(x, y, fold.cells, counts, sums if rule.link == IDENTITY else {})
+
+            def grow(seen) -> None:
+                ours = counted, fold.start(rule), fold.scale(rule), rule, fold.cells
+                growth.boost_on(*ours, seen) if rule.boosted else growth.plant_on(*ours, numbers, seen)
+
+            held = [(0, y, None, x)]
+            return pa.Table.from_pylist(list(of_part(j, job, p, held, fold, grow, began)), arrow)
+
+        mine = (F.col("tree") % F.col("share") == F.col("number")) & (F.col("tree") < F.col("trees"))
+        paired = self._draws().join(F.broadcast(wanted), ["fold", "way", "rate"]).where(mine).repartitionByRange(max(1, len(parts)), "part")
+        return paired.groupBy("part").applyInArrow(run, schema)
+
+    def outputs(self) -> DataFrame:
+        """What each model makes of the kinds of its fold: sums over the trees of a part."""
+        path = scratch_path(self.folds.spark, "tree-outputs")
+        self.in_tasks(_outputs_of_part, OUTPUTS).write.parquet(path)
+        return self.folds.spark.read.schema(OUTPUTS).parquet(path)
+
+    def predictions(self, outputs: DataFrame) -> DataFrame:
+        rules, codes, shapes = dict(enumerate(self.folds.rules)), self.codes, _shapes(self.folds)
+
+        def added(table: pa.Table) -> pa.Table:
+            table = table.sort_by("part")
+            model = table.column("model")[0].as_py()
+            raw = reduce(np.add, [np.frombuffer(b.as_py()) for b in table.column("raw")]).reshape(rules[model].outputs, -1)
+            return pa.table({"model": table.column("model")[:1], "fold": table.column("fold")[:1], "guess": pa.array([decided(raw, rules[model]).tobytes()], pa.binary())})
+
+        # A number for each kind and model, within TASK_CELLS.
+        guesses: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for r in outputs.groupBy("model").applyInArrow(added, "model int, fold int, guess binary").collect():
+            guesses.setdefault(r["fold"], []).append((r["model"], np.frombuffer(r["guess"])))
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for fold, n, y, x in zip(*(batch.column(c).to_pylist() for c in ("fold", "n", "y", "x"))):
+                    y = np.frombuffer(y)
+                    kind = np.searchsorted(codes[fold], _codes(shapes[fold], y, np.frombuffer(x, np.uint8).reshape(-1, n)))
+                    for model, guess in guesses.get(fold, []):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, model, np.int32)), pa.array(np.full(n, fold, np.int32)), pa.array(y), pa.array(guess[kind])], ["model", "fold", "label", "prediction"])
+
+        return self.folds.blocks.where("held").mapInArrow(run, PREDICTIONS)
+
+
+def _shapes(folds: Folds) -> dict[int, tuple[bool, list[int], int, int]]:
+    """By fold: whether labels are classes, bins by feature, number of classes, number of codes."""
+    out = {}
+    for fold, known in folds.known.items():
+        sizes, classes = [len(e) + 1 for e in known.edges], max(len(known.shares), 1)
+        out[fold] = bool(known.shares), sizes, classes, reduce(lambda a, b: a * b, sizes, classes)
+    return out
+
+
+def _codes(shape: tuple, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    labelled, sizes, classes, _ = shape
+    return growth.codes_of(x, y if labelled else None, sizes, classes)
+
+
 # A level of all trees at a time.
 
 class _Spread:

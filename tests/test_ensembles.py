@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from colonnade.functions import growth
@@ -263,3 +264,34 @@ def test_faults_of_models_and_of_the_cluster():
     for text in ("ExecutorLostFailure", "Job 3 cancelled because SparkContext was shut down"):
         assert not compare.is_models_fault(RuntimeError(text)) and not compare.is_models_fault(ValueError(text))
     assert not compare.is_models_fault(ConnectionRefusedError()) and not compare.is_models_fault(RuntimeError("unknown"))
+
+
+@pytest.mark.parametrize("target", ["number", "half", "third"])
+def test_kinds_counted_where_rows_lie_give_the_same_models(vectors, target, monkeypatch):
+    monkeypatch.setattr(ensembles, "IN_TASK_BYTES", 1 << 30)
+    spark, classes = vectors.sparkSession, {"number": 0, "half": 2, "third": 3}[target]
+    rng = np.random.default_rng(5)
+    x, n = rng.integers(0, 4, (6_000, 3)), 6_000
+    y = x[:, 0] * 1.7 + rng.normal(size=n) if not classes else (x[:, 0] + rng.integers(0, 2, n)) % classes
+    rows = [(float(v), [float(c) for c in r], int(p)) for v, r, p in zip(y, x, rng.integers(0, 1 << 52, n))]
+    df = spark.createDataFrame(rows, f"{LABEL} double, x array<double>, {ensembles.PLACE} bigint").withColumn("features", array_to_vector("x")).drop("x")
+    families = {
+        "few": TreeForest(numTrees=5, maxDepth=3, classes=classes, featureSubset="sqrt"), "more": TreeForest(numTrees=14, maxDepth=6, classes=classes, featureSubset="sqrt"),
+        "all": TreeBoosting(maxIter=4, maxDepth=3, classes=classes), "part": TreeBoosting(maxIter=5, maxDepth=3, subsamplingRate=0.7, classes=classes),
+        "most": TreeBoosting(maxIter=3, maxDepth=2, subsamplingRate=0.9, classes=classes),
+    }
+    found = []
+    for least in (1 << 40, 1):
+        monkeypatch.setattr(ensembles, "COUNT_ROWS", least)
+        monkeypatch.setattr(ensembles, "TASK_CELLS", 40_000)
+        folds = ensembles.Folds(spark)
+        for k in range(2):
+            folds.add(k, df.where(F.col(ensembles.PLACE) % 2 != k), df.where(F.col(ensembles.PLACE) % 2 == k), families)
+        assert (ensembles._Counted.of(folds) is not None) == (least == 1)
+        found.append((folds.models(), [r[:3] for r in folds.scores(classes > 0)]))
+    (one, scores), (two, others) = found
+    for (k, name, score, *_), (fold, same, other, *_) in zip(scores, others, strict=True):
+        assert (k, name) == (fold, same) and score == pytest.approx(other, rel=1e-12)
+    for name, model in one.items():
+        for (a, limits), (b, same) in zip(model.trees, two[name].trees, strict=True):
+            assert all((getattr(a, f) == getattr(b, f)).all() for f in ("feature", "cut", "left", "rows", "value")) and (limits == same).all()
