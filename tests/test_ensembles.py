@@ -295,3 +295,20 @@ def test_kinds_counted_where_rows_lie_give_the_same_models(vectors, target, monk
     for name, model in one.items():
         for (a, limits), (b, same) in zip(model.trees, two[name].trees, strict=True):
             assert all((getattr(a, f) == getattr(b, f)).all() for f in ("feature", "cut", "left", "rows", "value")) and (limits == same).all()
+
+
+def test_spread_trees_of_a_forest_share_their_jobs(vectors, monkeypatch):
+    df = task_for(vectors, "half")
+    prepared = df.prepare(df.train)
+    rows = df.kept_vectors(prepared, df.train)
+    forest, found, calls = TreeForest(numTrees=7, maxDepth=3, classes=2, featureSubset="sqrt"), [], []
+    cuts = ensembles._Spread._cuts
+    monkeypatch.setattr(ensembles._Spread, "_cuts", lambda self, *rest: calls.append(1) or cuts(self, *rest))
+    for limit in (1 << 40, 0):
+        monkeypatch.setattr(ensembles, "IN_TASK_BYTES", limit)
+        monkeypatch.setattr(ensembles, "TOGETHER", 5)
+        found.append(forest.fit(rows))
+    # Three levels of the first five trees and three of the other two.
+    assert len(calls) <= 6
+    for (a, _), (b, _) in zip(found[0].trees, found[1].trees, strict=True):
+        assert all((getattr(a, f) == getattr(b, f)).all() for f in ("feature", "cut", "left", "rows", "value"))
