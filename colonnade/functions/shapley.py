@@ -83,7 +83,7 @@ class Ensemble:
         self._low = np.concatenate([np.zeros(0), *[leaf.low for leaf in leaves]])
         self._high = np.concatenate([np.zeros(0), *[leaf.high for leaf in leaves]])
         self._values = np.array([leaf.value for leaf in leaves], dtype=float)
-        self._groups: dict[int, list[tuple[int, int]]] = {}
+        self._groups: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self._cells: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
         # The bounds that features are compared with, and each condition as places among them: from, to.
         self._grids, self._from, self._to = [], np.zeros(len(self._low), np.int64), np.zeros(len(self._low), np.int64)
@@ -129,7 +129,8 @@ class Ensemble:
 
     def groups(self, most: int) -> list[tuple[int, int]]:
         """Runs of leaves (from, to) whose conditions make at most ``most`` cells; leaves of long paths stay alone."""
-        if most not in self._groups:
+        key = most, PAIR_BITS
+        if key not in self._groups:
             found, start, kinds = [], 0, {}
             ends = [0, *self._ends.tolist()]
             features, low, high = self._features.tolist(), self._from.tolist(), self._to.tolist()
@@ -151,8 +152,8 @@ class Ensemble:
                     start, kinds = i + 1, {}
             if start < len(self._ends):
                 found.append((start, len(self._ends)))
-            self._groups[most] = found
-        return self._groups[most]
+            self._groups[key] = found
+        return self._groups[key]
 
     def long(self, leaf: int) -> bool:
         return self._ends[leaf] - (self._ends[leaf - 1] if leaf else 0) > PAIR_BITS
